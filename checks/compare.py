@@ -54,7 +54,10 @@ def main(argv: list[str]) -> int:
     sf_dir = "/root/testdata/sf0.01"
     if argv and argv[0].startswith("/"):
         sf_dir = argv.pop(0)
-    keys = [k for k in CHECKS if not argv or any(k == a or (a.endswith("*") and k.startswith(a[:-1])) for a in argv)]
+    keys = [k for k in CHECKS if not argv or argv[0].endswith(".py") or any(k == a or (a.endswith("*") and k.startswith(a[:-1])) for a in argv)]
+    if argv and argv[0].endswith(".py"):
+        module = f"checks.{argv.pop(0)[:-3]}"
+        keys = [k for k in CHECKS if CHECKS[k].run.__module__ == module]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

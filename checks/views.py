@@ -18,6 +18,33 @@ BASE_TABLES = (
 ).split()
 
 
+def pick(values: list, index: str) -> str:
+    items = ", ".join("null" if v is None else repr(v) for v in values)
+    return f"element_at(array({items}), cast({index} as int) + 1)"
+
+
+ATTRS = {
+    "bpm": "if(c_custkey % 9 = 0, null, if(c_custkey % 5 = 0, 120, 40 + c_custkey % 200))",
+    "audio_key": pick(["cmajor", "c#minor", "bbmajor", "hmajor", None], "c_nationkey % 5"),
+    "time_signature": pick(["4/4", "3/4", "5/8", "6/8", None], "c_custkey % 5"),
+    "pitch_range": pick(["low", "mid", "very_high", None], "c_custkey % 4"),
+    "num_measures": pick([4, 8, None, 5], "(c_custkey div 4) % 4"),
+    "inst": "cast(c_custkey % 140 as string)",
+    "genre": pick(["newage", "country", "polka", None], "(c_custkey div 3) % 4"),
+    "min_velocity": "if(c_custkey % 11 = 0, null, c_custkey % 100)",
+    "max_velocity": "if(c_custkey % 11 = 0, null, c_custkey % 100 + 20)",
+    "track_category": pick(["bass", "riff", "drums", None], "(c_custkey div 7) % 4"),
+    "chord_progression": "if(c_custkey % 2 = 0, null, 'C')",
+    "rhythm": pick(["standard", "swing", None], "c_custkey % 3"),
+    "min_modulation": "if(c_custkey % 13 = 0, null, c_custkey % 90)",
+    "max_modulation": "if(c_custkey % 13 = 0, null, c_custkey % 90 + 33)",
+    "min_expression": "if(c_custkey % 7 = 0, null, c_custkey % 70)",
+    "max_expression": "if(c_custkey % 7 = 0, null, c_custkey % 70 + 41)",
+    "min_sustain": "if(c_custkey % 6 = 0, null, 0)",
+    "max_sustain": "if(c_custkey % 6 = 0, null, c_custkey % 128)",
+}
+
+
 class Tables:
     """Base tables and derived views of one data folder."""
 
@@ -148,6 +175,11 @@ class Tables:
                as chord_progressions""",
         )
 
+    @cached_property
+    def attrs(self) -> DataFrame:
+        """The 18 attributes of a file, with unknown and unmapped values."""
+        return self.customer.selectExpr("c_custkey as file_id", *[f"{e} as {n}" for n, e in ATTRS.items()])
+
     @cached_property
     def chords(self) -> DataFrame:
         df = self.lineitem.select(*LINE_ORDER)

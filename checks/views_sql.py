@@ -64,6 +64,28 @@ SELECT CAST(c_custkey AS VARCHAR) AS id, 'piano-' || c_nationkey AS inst,
   c_custkey % 3 = 0 AS auto_changed,
   CASE WHEN c_custkey % 7 = 0 THEN [] ELSE [['C', 'F', 'G'][c_custkey % 3 + 1], 'Am',
     ['Dm7', 'Bb'][c_custkey % 2 + 1]] END AS first_progression
+FROM customer""",
+    "v_attrs": """
+SELECT c_custkey AS file_id,
+  CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 120 ELSE 40 + c_custkey % 200
+    END AS bpm,
+  ['cmajor', 'c#minor', 'bbmajor', 'hmajor', NULL][c_nationkey % 5 + 1] AS audio_key,
+  ['4/4', '3/4', '5/8', '6/8', NULL][c_custkey % 5 + 1] AS time_signature,
+  ['low', 'mid', 'very_high', NULL][c_custkey % 4 + 1] AS pitch_range,
+  [4, 8, NULL, 5][c_custkey // 4 % 4 + 1] AS num_measures,
+  CAST(c_custkey % 140 AS VARCHAR) AS inst,
+  ['newage', 'country', 'polka', NULL][c_custkey // 3 % 4 + 1] AS genre,
+  CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 100 END AS min_velocity,
+  CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 100 + 20 END AS max_velocity,
+  ['bass', 'riff', 'drums', NULL][c_custkey // 7 % 4 + 1] AS track_category,
+  CASE WHEN c_custkey % 2 = 1 THEN 'C' END AS chord_progression,
+  ['standard', 'swing', NULL][c_custkey % 3 + 1] AS rhythm,
+  CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 90 END AS min_modulation,
+  CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 90 + 33 END AS max_modulation,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 70 END AS min_expression,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 70 + 41 END AS max_expression,
+  CASE WHEN c_custkey % 6 <> 0 THEN 0 END AS min_sustain,
+  CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % 128 END AS max_sustain
 FROM customer""",
     "v_chords": f"""
 SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LKEY}) - 1 AS idx,
