@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import q_meta, q_segments  # noqa: F401
+from checks import q_chords, q_meta, q_scalars, q_segments  # noqa: F401
