@@ -151,7 +151,7 @@ SEGMENTS = f"""
 
 @register(
     "chord_root", "file_id:l start_tick:l end_tick:l root:s quality:s bass:s score:l",
-    f"""WITH {SEGMENTS}
+    f"""WITH RECURSIVE {SEGMENTS}
         SELECT file_id, st AS start_tick, et AS end_tick, root, quality, bass, score FROM segs""",
 )
 def _(t):
@@ -160,7 +160,7 @@ def _(t):
 
 @register(
     "best_chord_segment", "file_id:l start_tick:l end_tick:l root:s score:l",
-    f"WITH {SEGMENTS} SELECT file_id, st AS start_tick, et AS end_tick, root, score FROM best",
+    f"WITH RECURSIVE {SEGMENTS} SELECT file_id, st AS start_tick, et AS end_tick, root, score FROM best",
 )
 def _(t):
     return chords.best_chord_segment(chords.chord_segments(t.notes_dense))
@@ -168,7 +168,7 @@ def _(t):
 
 @register(
     "greedy_chord_chain", "file_id:l start_tick:l end_tick:l chord:s",
-    f"WITH {SEGMENTS} SELECT * FROM chain",
+    f"WITH RECURSIVE {SEGMENTS} SELECT * FROM chain",
 )
 def _(t):
     return chords.greedy_chord_chain(
@@ -178,7 +178,7 @@ def _(t):
 
 @register(
     "merge_unknown_segments", "file_id:l start_tick:l end_tick:l chord:s",
-    f"WITH {SEGMENTS} SELECT * FROM merged",
+    f"WITH RECURSIVE {SEGMENTS} SELECT * FROM merged",
 )
 def _(t):
     chain = chords.greedy_chord_chain(

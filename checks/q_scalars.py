@@ -316,13 +316,11 @@ def _(t):
 
 @register(
     "P24", "doc_id:l ids:s",
-    """SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[0-9]{1,9}'),
-         lambda x: CAST(x AS INTEGER)), ',') AS ids
-       FROM documents WHERE NOT regexp_matches(text, '[0-9]{10}')""",
+    """SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[0-9]+'),
+         lambda x: TRY_CAST(x AS BIGINT)), ',') AS ids FROM documents""",
 )
 def _(t):
-    rows = t.documents.where(~F.col("text").rlike("[0-9]{10}"))
-    out = rows.select("doc_id", s.parse_ids(F.col("text")).alias("ids"))
+    out = t.documents.select("doc_id", s.parse_ids(F.col("text")).alias("ids"))
     return out.withColumn("ids", joined("ids"))
 
 

@@ -151,8 +151,9 @@ def quantize_step(tick: Column, bpm: Column, resolution: int = 480, per_second:
 
 
 def parse_ids(text: Column) -> Column:
-    """All digit runs of a text as integers."""
-    return F.regexp_extract_all(text, F.lit(r"(\d+)"), 1).cast("array<int>")
+    """All digit runs of a text as integers; one too long for 64 bits is null."""
+    runs = F.regexp_extract_all(text, F.lit(r"([0-9]+)"), 1)
+    return F.transform(runs, lambda x: x.try_cast("bigint"))
 
 
 def strip_inst_number(inst: Column) -> Column:
