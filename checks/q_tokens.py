@@ -191,28 +191,28 @@ def _(t):
 FIFO = """
   ordered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS rn FROM {events}
     WHERE d <> 0),
-  sim AS (SELECT {keys}, pos, at, d, rn, CASE WHEN d = 1 THEN 1 ELSE 0 END AS ons,
+  sim AS (SELECT {keys}, pos, tm, d, rn, CASE WHEN d = 1 THEN 1 ELSE 0 END AS ons,
       0 AS offs, false AS matched FROM ordered WHERE rn = 1
-    UNION ALL SELECT {o_keys}, o.pos, o.at, o.d, o.rn,
+    UNION ALL SELECT {o_keys}, o.pos, o.tm, o.d, o.rn,
       s.ons + CASE WHEN o.d = 1 THEN 1 ELSE 0 END,
       s.offs + CASE WHEN o.d = -1 AND s.ons > s.offs THEN 1 ELSE 0 END,
       o.d = -1 AND s.ons > s.offs
     FROM sim s JOIN ordered o USING ({keys}) WHERE o.rn = s.rn + 1)"""
 
 PAIRED = """
-  SELECT a.file_id, a.pos AS event_idx, a.pitch, a.at AS on_at, coalesce(b.at, l.last) AS off_at
+  SELECT a.file_id, a.pos AS event_idx, a.pitch, a.tm AS on_at, coalesce(b.tm, l.last) AS off_at
   FROM (SELECT * FROM sim WHERE d = 1) a
   LEFT JOIN (SELECT * FROM sim WHERE matched) b
     ON b.file_id = a.file_id AND b.pitch = a.pitch AND b.offs = a.ons
   JOIN lasts l ON l.file_id = a.file_id
-  WHERE coalesce(b.at, l.last) > a.at"""
+  WHERE coalesce(b.tm, l.last) > a.tm"""
 
 
 @register(
     "pair_notes_fifo", "file_id:l event_idx:l pitch:l on_at:l off_at:l",
-    f"""WITH RECURSIVE e AS (SELECT file_id, event_idx AS pos, note AS pitch, tick AS at, CASE type WHEN
+    f"""WITH RECURSIVE e AS (SELECT file_id, event_idx AS pos, note AS pitch, tick AS tm, CASE type WHEN
           'note_on' THEN 1 WHEN 'note_off' THEN -1 ELSE 0 END AS d FROM v_events),
-        lasts AS (SELECT file_id, max(at) AS last FROM e GROUP BY file_id),
+        lasts AS (SELECT file_id, max(tm) AS last FROM e GROUP BY file_id),
         {FIFO.format(keys='file_id, pitch', o_keys='o.file_id, o.pitch', events='e')} {PAIRED}""",
 )
 def _(t):
@@ -221,10 +221,10 @@ def _(t):
 
 @register(
     "performance_decode", "file_id:l event_idx:l pitch:l on_at:l off_at:l velocity:l",
-    f"""WITH RECURSIVE {CLOCK}, e AS (SELECT file_id, pos, step AS at, CASE kind WHEN 'note_on'
+    f"""WITH RECURSIVE {CLOCK}, e AS (SELECT file_id, pos, step AS tm, CASE kind WHEN 'note_on'
           THEN token - 2 WHEN 'note_off' THEN token - 130 END AS pitch, CASE kind WHEN 'note_on'
           THEN 1 WHEN 'note_off' THEN -1 ELSE 0 END AS d FROM clocked),
-        lasts AS (SELECT file_id, max(at) AS last FROM e GROUP BY file_id),
+        lasts AS (SELECT file_id, max(tm) AS last FROM e GROUP BY file_id),
         {FIFO.format(keys='file_id, pitch', o_keys='o.file_id, o.pitch', events='e')},
         done AS ({PAIRED})
         SELECT done.*, c.velocity FROM done JOIN clocked c ON c.file_id = done.file_id
@@ -254,7 +254,7 @@ KEYSWITCH = """(SELECT file_id, note_idx AS pos, CASE WHEN l_partkey % 4 = 0 THE
 @register(
     "drop_keyswitch_tokens", "file_id:l pos:l token:l",
     f"""WITH RECURSIVE st AS {KEYSWITCH},
-        e AS (SELECT file_id, pos, pos AS at, CASE WHEN token = 358 THEN 1
+        e AS (SELECT file_id, pos, pos AS tm, CASE WHEN token = 358 THEN 1
           WHEN token > 129 AND token < 229 THEN -1 ELSE 0 END AS d FROM st),
         {FIFO.format(keys='file_id', o_keys='o.file_id', events='e')},
         cuts AS (SELECT a.file_id, a.pos AS lo, b.pos AS hi FROM sim a JOIN sim b
@@ -290,9 +290,9 @@ def bar_sql(items: str) -> str:
     FROM items i WHERE EXISTS (SELECT 1 FROM items n WHERE n.file_id = i.file_id AND n.rb = i.rb
       AND n.name = 'Note')),
   lists AS (SELECT file_id, ord, list_filter(list_concat([CASE WHEN opens THEN 2 END,
-      398 + 1 + least(31, ((start_tick - rb * 1920) * 64 + 1919) // 3840) + 1,
+      401 + least(31, ((start_tick - rb * 1920) * 64 + 1919) // 3840),
       {sql_map(CHORD_IDS)}[chord]], CASE WHEN name = 'Note' THEN [131 + least(31, velocity // 4),
-      3 + pitch, 271 - 3 + 3 + least(127, greatest(0, (2 * (end_tick - start_tick) + 14) // 30 - 1))]
+      3 + pitch, 271 + least(127, greatest(0, (2 * (end_tick - start_tick) + 14) // 30 - 1))]
       ELSE [] END), lambda x: x IS NOT NULL) AS w FROM kept),
   bar_tokens AS (SELECT file_id, ord, unnest(range(0, len(w))) AS sub, unnest(w) AS token FROM lists
     UNION ALL SELECT DISTINCT file_id, 4611686018427387904, 0, 1 FROM items)"""
