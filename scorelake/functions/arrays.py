@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from scorelake import dims
 
 
-def literal_ids(ids: Sequence[int]) -> Column:
-    return F.array(*[F.lit(i) for i in ids])
-
-
 def repeated(value, times: Column) -> Column:
     """``value`` repeated, empty for a count below one."""
     item = F.lit(value) if not isinstance(value, Column) else value
@@ -64,3 +60,38 @@ def fraction(seed: int, row: Column, salt, place: Column | int = 0) -> Column:
 def random_below(limit: Column, seed: int, row: Column, salt: str, place=0) -> Column:
     """Reproducible integer in [0, limit)."""
     return F.floor(fraction(seed, row, salt, place) * limit).cast("int")
+
+
+def bracketed(ids: Column) -> Column:
+    """Ids as the text of a list: [1, 2, 3]."""
+    return F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]"))
+
+
+def mlm_mask(
+    ids: Column, seed: int, row: Column, rate: float = 0.15
+) -> tuple[Column, Column]:
+    """Masked ids and labels behind a start token.
+
+    A chosen token becomes the mask id (80%), a random note or attribute id (10%)
+    or stays (10%); labels hold the original where chosen, else 0.
+    """
+    low, high = dims.NOTE_START, dims.META_END
+
+    def masked(x, i):
+        r = fraction(seed, row, "mask", i) / rate
+        other = random_below(F.lit(high - low + 1), seed, row, "token", i) + low
+        return F.when(r >= 0.9, x).when(r >= 0.8, other).otherwise(F.lit(dims.MASK))
+
+    def chosen(i):
+        return fraction(seed, row, "mask", i) < rate
+
+    out = F.transform(ids, lambda x, i: F.when(chosen(i), masked(x, i)).otherwise(x))
+    labels = F.transform(ids, lambda x, i: F.when(chosen(i), x).otherwise(F.lit(dims.PAD)))
+    return shift_right(out, dims.SOS), shift_right(labels, dims.SOS)
+
+
+def random_crop(ids: Column, maxlen: int, seed: int, row: Column) -> Column:
+    """``maxlen`` ids from a random offset in [0, length - maxlen)."""
+    spare = F.greatest(F.size(ids) - maxlen, F.lit(0))
+    return F.slice(ids, random_below(spare, seed, row, "crop") + 1, F.lit(maxlen))
+

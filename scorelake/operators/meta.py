@@ -250,14 +250,17 @@ def shift_meta_for_bar(meta: Column, drop: int = 6, offset: int = 11) -> Column:
 
 def parse_meta(
     notes: DataFrame,
-    cc: DataFrame,
-    tracks: DataFrame,
+    cc: DataFrame | None,
+    tracks: DataFrame | None,
     header: DataFrame,
     profile: Profile,
     keys: Sequence[str] = ("file_id",),
 ) -> DataFrame:
     """The 18 attributes of each file or segment from its notes and controllers.
 
+    Segments cut from chunks carry notes only: without ``cc`` all controller
+    attributes are unknown.
+
     ``header`` brings the attributes that are not statistics (bpm, audio_key,
     time_signature, genre, track_category, chord_progression, rhythm), already
     per profile. All note statistics come from one aggregate over the notes.
@@ -274,9 +277,10 @@ def parse_meta(
         F.min_by("program", F.struct("track_idx", "note_idx")).alias("program"),
         F.min_by("start_tick", "note_idx").alias("a"),
         F.max_by("end_tick", "note_idx").alias("z"),
+        (F.max("bar_ticks") if "bar_ticks" in notes.columns else F.lit(1920)).alias("bar_ticks"),
     )
     loud = F.col("max_velocity") > 0
-    bar = F.lit(1920)
+    bar = F.col("bar_ticks")
     length = F.col("z") - idiv(F.col("a"), bar) * bar
     stats = stats.select(
         *keys,
@@ -288,7 +292,10 @@ def parse_meta(
     )
     if not profile.inst_by_program:
         stats = stats.drop("inst")
-    out = header.join(stats, list(keys), "left").join(
-        cc_ranges(cc, tracks, keys), list(keys), "left"
-    )
+    out = header.join(stats, list(keys), "left")
+    if cc is None:
+        unknown = [f"{side}_{name}" for name in dims.CONTROLS for side in ("min", "max")]
+        out = out.withColumns({c: F.lit(None).cast("int") for c in unknown})
+    else:
+        out = out.join(cc_ranges(cc, tracks, keys), list(keys), "left")
     return default_to_unknown(out) if profile.default_to_unknown else out

@@ -9,10 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake import dims
-from scorelake.functions.arrays import literal_ids
+from scorelake.functions.arrays import bracketed
 from scorelake.functions.scalars import parse_ids
 from scorelake.functions.scans import near, spread_join
+from scorelake.operators.tokens import order_notes
+
+PASSAGES_PER_SLOT = 8192
+QUERIES_PER_BLOCK = 1024
+SCORE_DECIMALS = 9
 
 
 def title_and_body(rows: DataFrame, ids: str = "ids", size: int = 5) -> DataFrame:
@@ -20,3 +24,107 @@ def title_and_body(rows: DataFrame, ids: str = "ids", size: int = 5) -> DataFram
     return rows.withColumns(
         {"title": F.slice(ids, 1, size), "body": F.slice(ids, 1, F.size(ids) - 1)}
     )
+
+
+def _tiles(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
+
+
+def retrieve_topk(
+    queries: DataFrame,
+    passages: DataFrame,
+    n_docs: int = 5,
+    slot_rows: int = PASSAGES_PER_SLOT,
+    block_rows: int = QUERIES_PER_BLOCK,
+) -> DataFrame:
+    """Best passages per query by inner product, ties by passage id.
+
+    ``queries`` is (query_id, vector), ``passages`` (vec_id, embedding). Both sides
+    are cut into tiles of bounded size; a task scores one passage slot against one
+    query block as a matrix product and returns only its ``n_docs`` best rows per
+    query, so no pair table exists and nothing is broadcast. Scores are rounded to
+    9 decimals so that equal vectors tie.
+    """
+    slots = _tiles(passages.count(), slot_rows)
+    blocks = _tiles(queries.count(), block_rows)
+    slot_ids = F.sequence(F.lit(0), F.lit(slots - 1))
+    block_ids = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = passages.select(
+        F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int").alias("slot"),
+        F.explode(block_ids).alias("block"), "vec_id", "embedding",
+    )
+    right = queries.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(slot_ids).alias("slot"), "query_id", "vector",
+    )
+
+    def best(tile_passages: pd.DataFrame, tile_queries: pd.DataFrame) -> pd.DataFrame:
+        if tile_passages.empty or tile_queries.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        tile_passages = tile_passages.sort_values("vec_id")
+        ids = tile_passages["vec_id"].to_numpy()
+        docs = np.stack(tile_passages["embedding"].to_numpy()).astype("float64")
+        asked = np.stack(tile_queries["vector"].to_numpy()).astype("float64")
+        scores = np.round(asked @ docs.T, SCORE_DECIMALS)
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :n_docs]
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat(tile_queries["query_id"].to_numpy(), top.shape[1]),
+                "vec_id": ids[top].ravel(),
+                "score": np.take_along_axis(scores, top, axis=1).ravel(),
+            }
+        )
+
+    keyed = left.groupBy("slot", "block").cogroup(right.groupBy("slot", "block"))
+    found = keyed.applyInPandas(best, "query_id bigint, vec_id bigint, score double")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n_docs)
+
+
+def retrieved_context(
+    hits: DataFrame, queries: DataFrame, texts: DataFrame, prefix: str = ""
+) -> DataFrame:
+    """Input ids of each query joined with each of its passages, last id dropped.
+
+    ``queries`` is (query_id, meta ids), ``texts`` (vec_id, text).
+    """
+    rows = hits.join(queries, "query_id").join(texts, "vec_id")
+    joined = F.concat(F.lit(prefix), bracketed(F.col("meta")), F.col("text"))
+    rows = rows.withColumn("__ids", parse_ids(joined))
+    return rows.withColumn(
+        "context_ids", F.slice("__ids", F.lit(1), F.size("__ids") - 1)
+    ).drop("__ids")
+
+
+def fingerprints(notes: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """Count of each (pitch, interval to the next note, ticks to it) per place."""
+    ordered = order_notes(notes, keys)
+    rows = near(ordered, list(keys), "note_ord", {"p2": ("pitch", 1), "t2": ("start_tick", 1)})
+    rows = rows.where(F.col("p2").isNotNull())
+    return rows.groupBy(
+        *keys, "pitch", (F.col("p2") - F.col("pitch")).alias("interval"),
+        (F.col("t2") - F.col("start_tick")).alias("gap"), F.col("start_tick").alias("tick"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fingerprint_match(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """Best (candidate, tick offset) of each query recording by matching prints.
+
+    Prints are counted before the join; a print that is frequent in the library is
+    spread over salts, and every match votes.
+    """
+    mark = ["pitch", "interval", "gap"]
+    asked = fingerprints(queries).select(
+        *mark, F.col("file_id").alias("query_id"), F.col("tick").alias("qt"), F.col("n").alias("qn")
+    )
+    known = fingerprints(library).select(
+        *mark, F.col("file_id").alias("candidate"), "tick", "n"
+    )
+    votes = spread_join(known, asked, mark).groupBy(
+        "query_id", "candidate", (F.col("tick") - F.col("qt")).alias("tick_offset")
+    ).agg(F.sum(F.col("n") * F.col("qn")).alias("votes"))
+    best = F.max_by(
+        F.struct("candidate", "tick_offset", "votes"),
+        F.struct("votes", -F.col("candidate"), -F.col("tick_offset")),
+    )
+    return votes.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import dims
-from scorelake.functions.arrays import pad_or_cut
+from scorelake.functions.arrays import bracketed, pad_or_cut, shift_right
 from scorelake.functions.scalars import chord_md5, idiv
 from scorelake.functions.scans import hash_rank
 
@@ -63,9 +63,7 @@ def write_chord_table(progressions: DataFrame, path: str) -> None:
 
 def passage_text(note_seq: Column, maxlen: int = 512) -> Column:
     """Start token, tokens and padding as the text of an array."""
-    framed = F.concat(F.array(F.lit(dims.SOS)), note_seq)
-    ids = pad_or_cut(framed, maxlen, dims.PAD)
-    return F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]"))
+    return bracketed(pad_or_cut(shift_right(note_seq, dims.SOS), maxlen, dims.PAD))
 
 
 def passage_export(examples: DataFrame, maxlen: int = 512) -> DataFrame:
