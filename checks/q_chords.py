@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import joined, register
 from scorelake import dims
 from scorelake.operators import chords, notes, windows
+from scorelake.session import cut_lineage
 
 SOURCES = """(SELECT file_id, progression FROM v_progressions WHERE file_id % 2 = 0),
      tagged AS (SELECT file_id, progression FROM v_progressions WHERE file_id % 2 = 1)"""
@@ -166,14 +167,16 @@ def _(t):
     return chords.best_chord_segment(chords.chord_segments(t.notes_dense))
 
 
+def best(t):
+    return cut_lineage(chords.best_chord_segment(chords.chord_segments(t.notes_dense)))
+
+
 @register(
     "greedy_chord_chain", "file_id:l start_tick:l end_tick:l chord:s",
     f"WITH RECURSIVE {SEGMENTS} SELECT * FROM chain",
 )
 def _(t):
-    return chords.greedy_chord_chain(
-        chords.best_chord_segment(chords.chord_segments(t.notes_dense))
-    )
+    return chords.greedy_chord_chain(best(t))
 
 
 @register(
@@ -181,10 +184,7 @@ def _(t):
     f"WITH RECURSIVE {SEGMENTS} SELECT * FROM merged",
 )
 def _(t):
-    chain = chords.greedy_chord_chain(
-        chords.best_chord_segment(chords.chord_segments(t.notes_dense))
-    )
-    return chords.merge_unknown_segments(chain)
+    return chords.merge_unknown_segments(chords.greedy_chord_chain(best(t)))
 
 
 CHANGES = """changes AS (SELECT file_id, idx, chord FROM (SELECT *, lag(chord) OVER

@@ -283,19 +283,17 @@ def bar_sql(items: str) -> str:
     """Tokens of ``items`` (file_id, name, start_tick, end_tick, pitch, velocity, note_idx, chord)."""
     return f"""
   items AS (SELECT *, start_tick // 1920 AS rb FROM {items}),
-  kept AS (SELECT i.*, row_number() OVER (PARTITION BY file_id ORDER BY start_tick,
-      CASE name WHEN 'Chord' THEN 0 ELSE 1 END, pitch, note_idx) - 1 AS ord,
-      row_number() OVER (PARTITION BY file_id, rb ORDER BY start_tick,
-      CASE name WHEN 'Chord' THEN 0 ELSE 1 END, pitch, note_idx) = 1 AS opens
+  kept AS (SELECT i.*, row_number() OVER (PARTITION BY file_id, rb ORDER BY start_tick,
+      CASE name WHEN 'Chord' THEN 0 ELSE 1 END, pitch, note_idx) AS place, place = 1 AS opens
     FROM items i WHERE EXISTS (SELECT 1 FROM items n WHERE n.file_id = i.file_id AND n.rb = i.rb
       AND n.name = 'Note')),
-  lists AS (SELECT file_id, ord, list_filter(list_concat([CASE WHEN opens THEN 2 END,
+  lists AS (SELECT file_id, rb, place, list_filter(list_concat([CASE WHEN opens THEN 2 END,
       401 + least(31, ((start_tick - rb * 1920) * 64 + 1919) // 3840),
       {sql_map(CHORD_IDS)}[chord]], CASE WHEN name = 'Note' THEN [131 + least(31, velocity // 4),
       3 + pitch, 271 + least(127, greatest(0, (2 * (end_tick - start_tick) + 14) // 30 - 1))]
       ELSE [] END), lambda x: x IS NOT NULL) AS w FROM kept),
-  bar_tokens AS (SELECT file_id, ord, unnest(range(0, len(w))) AS sub, unnest(w) AS token FROM lists
-    UNION ALL SELECT DISTINCT file_id, 4611686018427387904, 0, 1 FROM items)"""
+  bar_tokens AS (SELECT file_id, rb AS bar, place, unnest(range(0, len(w))) AS sub, unnest(w) AS token
+    FROM lists UNION ALL SELECT DISTINCT file_id, 4611686018427387904, 1, 0, 1 FROM items)"""
 
 
 NOTE_ITEMS = """(SELECT file_id, 'Note' AS name, start_tick, end_tick, pitch, velocity, note_idx,
@@ -317,7 +315,7 @@ def _(t):
 
 
 @register(
-    "bar_encode", "file_id:l ord:l sub:l token:l",
+    "bar_encode", "file_id:l bar:l place:l sub:l token:l",
     f"WITH {bar_sql(NOTE_ITEMS)} SELECT * FROM bar_tokens",
 )
 def _(t):
@@ -334,7 +332,7 @@ def _(t):
 
 
 @register(
-    "bar_encode_detected", "file_id:l ord:l sub:l token:l",
+    "bar_encode_detected", "file_id:l bar:l place:l sub:l token:l",
     f"""WITH RECURSIVE {SEGMENTS}, {bar_sql(f'(SELECT * FROM {NOTE_ITEMS} UNION ALL {CHORD_ITEMS})')}
         SELECT * FROM bar_tokens""",
 )
@@ -349,7 +347,7 @@ SHIFTED = f"""list_transform([chord], lambda c: ['a','bb','b','c','db','d','eb',
 
 
 @register(
-    "bar_encode_catalog", "file_id:l ord:l sub:l token:l",
+    "bar_encode_catalog", "file_id:l bar:l place:l sub:l token:l",
     f"""WITH {PLACED},
         sung AS (SELECT file_id, note_idx, arg_max({SHIFTED}, idx) AS chord FROM at_note GROUP BY ALL),
         {bar_sql('''(SELECT n.file_id, 'Note' AS name, start_tick, end_tick, pitch, velocity,
@@ -368,14 +366,14 @@ def _(t):
 
 
 @register(
-    "compound_encode", "file_id:l ord:l sub:l word:s",
+    "compound_encode", "file_id:l bar:l place:l sub:l word:s",
     f"""WITH {bar_sql(NOTE_ITEMS)},
-        c AS (SELECT file_id, ord, list_filter([CASE WHEN opens THEN [1, 1, 0, 0, 0, 0, 0] END,
+        c AS (SELECT file_id, rb AS bar, place, list_filter([CASE WHEN opens THEN [1, 1, 0, 0, 0, 0, 0] END,
           [1, 2 + least(31, ((start_tick - rb * 1920) * 64 + 1919) // 3840), 0, 0, 0, 0, 0],
           [2, 0, 0, 0, pitch + 1, least(127, greatest(0, (2 * (end_tick - start_tick) + 14) // 30 - 1))
             + 1, least(31, velocity // 4) + 1]], lambda x: x IS NOT NULL) AS w FROM kept)
-        SELECT file_id, ord, sub, array_to_string(word, ',') AS word FROM (
-          SELECT file_id, ord, unnest(range(0, len(w))) AS sub, unnest(w) AS word FROM c)""",
+        SELECT file_id, bar, place, sub, array_to_string(word, ',') AS word FROM (
+          SELECT file_id, bar, place, unnest(range(0, len(w))) AS sub, unnest(w) AS word FROM c)""",
 )
 def _(t):
     out = tokens.compound_encode(tokens.note_items(t.notes_dense, ["file_id"]))

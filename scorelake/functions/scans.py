@@ -20,9 +20,16 @@ TICKS_PER_BLOCK = 480 * 4 * 64
 STEPS_PER_BLOCK = 100 * 60
 SALTS = 16
 
+# A key naming one of these is one window or one example: few rows by construction.
+BOUNDED_KEYS = frozenset({"window_idx", "example_id"})
+
 _BLOCK = "__block"
 
 
+def bounded(keys: Sequence[str]) -> bool:
+    return not BOUNDED_KEYS.isdisjoint(keys)
+
+
 @dataclass(frozen=True)
 class Running:
     """One running aggregate: ``kind`` is sum, max, min or last (nulls skipped).
@@ -62,7 +69,19 @@ def running(
     order: Sequence[str],
     specs: dict[str, Running],
 ) -> DataFrame:
-    """Add running aggregates per key, first inside blocks, then across them."""
+    """Add running aggregates per key, first inside blocks, then across them.
+
+    The input is read twice (summaries and rows), so a costly input should be
+    behind ``cut_lineage``; bounded keys take one plain window instead.
+    """
+    if bounded(keys):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        plain = {}
+        for n, s in specs.items():
+            end = Window.currentRow if s.upto else -1
+            value = _over(s.kind, s.expr, whole.rowsBetween(Window.unboundedPreceding, end))
+            plain[n] = F.coalesce(value, F.lit(0)) if s.kind == "sum" else value
+        return df.withColumns(plain).select(*[c for c in df.columns if c not in specs], *specs)
     keyed = df.withColumn(_BLOCK, block)
     at = [*keys, _BLOCK]
     order_cols = [F.col(c) for c in order]
@@ -139,6 +158,9 @@ def near(
     size: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``column`` of the row ``offset`` places away (negative is earlier)."""
+    if bounded(keys):
+        whole = Window.partitionBy(*keys).orderBy(idx)
+        return df.withColumns({n: F.lead(c, o).over(whole) for n, (c, o) in specs.items()})
     before = max([-o for _, o in specs.values() if o < 0], default=0)
     after = max([o for _, o in specs.values() if o > 0], default=0)
     out, window, own = with_halo(df, keys, idx, before, after, size)

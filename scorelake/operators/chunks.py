@@ -8,14 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.scalars import idiv
-from scorelake.functions.scans import (
-    STEPS_PER_BLOCK,
-    TICKS_PER_BLOCK,
-    Running,
-    index_block,
-    running,
-    spread_join,
-)
+from scorelake.functions.scans import STEPS_PER_BLOCK, TICKS_PER_BLOCK, index_block
 
 
 def time_bin(tick: Column, bpm: Column, per_second: int = 10, resolution: int = 480) -> Column:
@@ -23,37 +16,6 @@ def time_bin(tick: Column, bpm: Column, per_second: int = 10, resolution: int =
     return idiv(tick * (60 * per_second), bpm * resolution)
 
 
-def _islands(
-    notes: DataFrame, keys: Sequence[str], gap: int, block: int
-) -> tuple[DataFrame, DataFrame]:
-    """Notes with a block-local island, and the chunk of every local island.
-
-    Islands are found inside blocks of bins first; only islands, not notes, meet
-    per key to be joined across block borders.
-    """
-    blocked = notes.withColumn("__b", index_block("start_bin", block))
-    at = [*keys, "__b"]
-    order = Window.partitionBy(*at).orderBy("start_bin", "note_idx")
-    prior = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocked = blocked.withColumn("__prev", F.max("end_bin").over(prior))
-    new = F.coalesce(F.col("start_bin") - F.col("__prev") - 1 >= gap, F.lit(True))
-    blocked = blocked.withColumn("__isle", F.sum(new.cast("int")).over(upto)).drop("__prev")
-    isles = blocked.groupBy(*at, "__isle").agg(
-        F.min("start_bin").alias("first_bin"), F.max("end_bin").alias("last_bin")
-    )
-    isles = running(
-        isles, keys, F.expr("__b div 64"), ["__b", "__isle"],
-        {"__prev": Running("max", F.col("last_bin"), upto=False)},
-    )
-    new = F.coalesce(F.col("first_bin") - F.col("__prev") - 1 >= gap, F.lit(True))
-    isles = running(
-        isles.withColumn("__new", new.cast("int")), keys, F.expr("__b div 64"),
-        ["__b", "__isle"], {"__chunk": Running("sum", F.col("__new"))},
-    )
-    return blocked, isles.withColumn("chunk_idx", (F.col("__chunk") - 1).cast("int"))
-
-
 def chunk_by_silence(
     notes: DataFrame,
     keys: Sequence[str] = ("file_id",),
@@ -63,36 +25,70 @@ def chunk_by_silence(
     compat: bool = False,
     block: int = STEPS_PER_BLOCK,
 ) -> DataFrame:
-    """Notes of chunks that last long enough, with ``chunk_idx`` and its bins.
+    """Notes of chunks that last long enough, with the chunk's index and extent.
 
     ``notes`` carries integer ``start_bin`` and ``end_bin``. A chunk ends where at
     least ``longest_space`` seconds of empty bins follow. ``compat`` also loses
     the last note of a key's last chunk, as upstream did.
+
+    Islands of sound are found inside blocks of bins first. Only islands, not
+    notes, then meet per key to be joined across block borders.
     """
     keys = list(keys)
-    blocked, isles = _islands(notes, keys, per_second * longest_space, block)
-    spans = isles.groupBy(*keys, "chunk_idx").agg(
-        F.min("first_bin").alias("chunk_first"), F.max("last_bin").alias("chunk_last")
+    gap, shortest = per_second * longest_space, per_second * min_seconds
+    at = [*keys, "__b"]
+    inside = Window.partitionBy(*at).orderBy("start_bin", "note_idx")
+    blocked = notes.withColumn("__b", index_block("start_bin", block))
+    blocked = blocked.withColumn("__prev", F.max("end_bin").over(_before(inside)))
+    blocked = blocked.withColumn("__isle", F.sum(_opens("start_bin", gap)).over(_upto(inside)))
+    blocked = blocked.drop("__prev")
+
+    isles = blocked.groupBy(*at, "__isle").agg(
+        F.min("start_bin").alias("first_bin"),
+        F.max("end_bin").alias("last_bin"),
+        F.min("start_tick").alias("first_tick"),
+        F.max(F.struct("start_bin", "note_idx")).alias("__last"),
+    )
+    along = Window.partitionBy(*keys).orderBy("__b", "__isle")
+    isles = isles.withColumn("__prev", F.max("last_bin").over(_before(along)))
+    isles = isles.withColumn("__n", F.sum(_opens("first_bin", gap)).over(_upto(along)))
+    chunk = Window.partitionBy(*keys, "__n")
+    isles = isles.withColumns(
+        {
+            "chunk_first": F.min("first_bin").over(chunk),
+            "chunk_last": F.max("last_bin").over(chunk),
+            "chunk_start": F.min("first_tick").over(chunk),
+            "__last": F.max("__last").over(Window.partitionBy(*keys)),
+        }
+    )
+    kept = isles.where(F.col("chunk_last") - F.col("chunk_first") >= shortest)
+    extent = ["chunk_first", "chunk_last", "chunk_start"]
+    out = blocked.join(
+        kept.select(*at, "__isle", (F.col("__n") - 1).cast("int").alias("chunk_idx"), *extent, "__last"),
+        [*at, "__isle"],
     )
-    long_enough = F.col("chunk_last") - F.col("chunk_first") >= per_second * min_seconds
-    spans = spans.where(long_enough)
-    chunk_of = isles.select(*keys, "__b", "__isle", "chunk_idx").join(spans, [*keys, "chunk_idx"])
-    out = blocked.join(chunk_of, [*keys, "__b", "__isle"])
     if compat:
-        last = notes.groupBy(*keys).agg(
-            F.max(F.struct("start_bin", "note_idx")).alias("__last")
-        )
-        here = F.struct("start_bin", "note_idx")
-        out = spread_join(out, last, keys).where(here != F.col("__last"))
-    return out.select(*notes.columns, "chunk_idx", "chunk_first", "chunk_last")
+        out = out.where(F.struct("start_bin", "note_idx") != F.col("__last"))
+    return out.select(*notes.columns, "chunk_idx", *extent)
+
+
+def _before(window: Window) -> Window:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _upto(window: Window) -> Window:
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _opens(start: str, gap: int) -> Column:
+    """1 where a row starts at least ``gap`` empty bins after all rows before."""
+    return F.coalesce(F.col(start) - F.col("__prev") - 1 >= gap, F.lit(True)).cast("int")
 
 
-def rebase(chunks: DataFrame, keys: Sequence[str] = ("file_id", "chunk_idx")) -> DataFrame:
+def rebase(chunks: DataFrame) -> DataFrame:
     """Move every chunk so that its first note starts at tick 0."""
-    first = chunks.groupBy(*keys).agg(F.min("start_tick").alias("chunk_start"))
-    out = spread_join(chunks, first, list(keys))
     shift = F.col("chunk_start")
-    return out.withColumns(
+    return chunks.withColumns(
         {"start_tick": F.col("start_tick") - shift, "end_tick": F.col("end_tick") - shift}
     )
 

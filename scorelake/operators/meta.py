@@ -263,7 +263,8 @@ def parse_meta(
 
     ``header`` brings the attributes that are not statistics (bpm, audio_key,
     time_signature, genre, track_category, chord_progression, rhythm), already
-    per profile. All note statistics come from one aggregate over the notes.
+    per profile; one keyed by file serves all segments of the file. All note
+    statistics come from one aggregate over the notes.
     """
     melody = F.col("track_name") != dims.CHORD_TRACK
     sounding = (F.col("pitch") != 0) & (F.col("velocity") != profile.keyswitch_velocity)
@@ -292,7 +293,10 @@ def parse_meta(
     )
     if not profile.inst_by_program:
         stats = stats.drop("inst")
-    out = header.join(stats, list(keys), "left")
+    if set(keys) <= set(header.columns):
+        out = header.join(stats, list(keys), "left")
+    else:
+        out = stats.join(header, [k for k in keys if k in header.columns])
     if cc is None:
         unknown = [f"{side}_{name}" for name in dims.CONTROLS for side in ("min", "max")]
         out = out.withColumns({c: F.lit(None).cast("int") for c in unknown})

@@ -97,14 +97,15 @@ def pair_notes_fifo(
         ),
         pitch, "event_idx", block,
     )
-    ons = rows.where("delta = 1").select(
-        *pitch, F.col("ons").alias("k"), F.col(at).alias("on_at"), "event_idx",
-        F.col("value").alias("velocity"),
+    on = F.col("delta") == 1
+    rows = rows.where(on | F.col("matched"))
+    paired = rows.groupBy(*pitch, F.when(on, F.col("ons")).otherwise(F.col("offs")).alias("k")).agg(
+        F.max(F.when(on, F.col("event_idx"))).alias("event_idx"),
+        F.max(F.when(on, F.col("value"))).alias("velocity"),
+        F.max(F.when(on, F.col(at))).alias("on_at"),
+        F.max(F.when(~on, F.col(at))).alias("off_at"),
     )
-    offs = rows.where("delta = -1 and matched").select(
-        *pitch, F.col("offs").alias("k"), F.col(at).alias("off_at")
-    )
-    paired = spread_join(ons.join(offs, [*pitch, "k"], "left"), last, keys)
+    paired = spread_join(paired, last, keys)
     paired = paired.withColumn("off_at", F.coalesce("off_at", "last_at"))
     return paired.where(F.col("off_at") > F.col("on_at")).select(
         *keys, "event_idx", F.col("note").alias("pitch"), "velocity", "on_at", "off_at"

@@ -1,7 +1,7 @@
 """Token encodings of notes and their decoders, in long form.
 
-Encoders return one row per token, ordered by (``ord``, ``sub``) inside a key, so
-a long file is never held in one row. ``pack_tokens`` makes arrays of segments,
+Encoders return one row per token with its order inside a key, (``ord``, ``sub``)
+or (``bar``, ``place``, ``sub``), so a long file is never held in one row. ``pack_tokens`` makes arrays of segments,
 whose length the window size bounds.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake import dims
@@ -19,6 +19,7 @@ from scorelake.functions.scans import (
     STEPS_PER_BLOCK,
     TICKS_PER_BLOCK,
     Running,
+    bounded,
     index_block,
     near,
     ordinal,
@@ -28,6 +29,7 @@ from scorelake.functions.scans import (
 from scorelake.operators.chords import chords_to_bars, transpose_chord
 from scorelake.operators.notes import matched_offs, pair_notes_fifo
 from scorelake.operators.windows import bar_bucket
+from scorelake.session import cut_lineage
 
 END = 2**62
 OFFSETS = dims.performance_offsets()
@@ -43,10 +45,15 @@ def order_notes(notes: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFra
     )
 
 
-def pack_tokens(tokens: DataFrame, keys: Sequence[str], column: str = "token") -> DataFrame:
-    """Token arrays per segment key, in order."""
+def pack_tokens(
+    tokens: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str] = ("ord", "sub"),
+    column: str = "token",
+) -> DataFrame:
+    """Token arrays per segment key; bar tokens are ordered by (bar, place, sub)."""
     packed = tokens.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "sub", column))).alias("s")
+        F.array_sort(F.collect_list(F.struct(*order, column))).alias("s")
     )
     return packed.select(*keys, F.col(f"s.{column}").alias("note_seq"))
 
@@ -63,44 +70,65 @@ def note_steps(notes: DataFrame, bpm: str = "bpm", resolution: int = 480) -> Dat
     )
 
 
-def order_performance_events(
+def performance_events(
     notes: DataFrame, cc: DataFrame | None = None, keys: Sequence[str] = ("file_id",)
 ) -> DataFrame:
-    """On, off and controller events in playing order, ``ord`` dense from 0.
+    """On, off and controller rows with the columns that order them.
 
-    Order: step, note index (0 for controllers), modulation, expression, sustain,
-    on, off; controllers of one kind by time.
+    Order: step, controllers before notes, modulation before expression before
+    sustain, notes by (start, pitch, list order), on before off.
     """
     keys = list(keys)
-    ordered = order_notes(notes, keys)
-    edge = F.explode(
-        F.array(
-            F.struct(F.lit("note_on").alias("kind"), F.col("start_step").alias("step"), F.lit(3).alias("prio")),
-            F.struct(F.lit("note_off").alias("kind"), F.col("end_step").alias("step"), F.lit(4).alias("prio")),
+
+    def edge(kind, step, prio):
+        return F.struct(
+            F.lit(kind).alias("kind"), F.col(step).alias("step"), F.lit(prio).alias("prio")
         )
+
+    edges = F.array(edge("note_on", "start_step", 3), edge("note_off", "end_step", 4))
+    events = notes.withColumn("e", F.explode(edges)).select(
+        *keys, "e.step", F.lit(1).alias("is_note"), F.col("start_tick").alias("tick"),
+        F.col("pitch").cast("int").alias("value"), F.col("note_idx").cast("bigint").alias("seq"),
+        "e.prio", "e.kind",
+        F.when(F.col("e.kind") == "note_on", s.performance_velocity_bin(F.col("velocity"))).alias(
+            "vbin"
+        ),
     )
-    events = ordered.withColumn("e", edge).select(
-        *keys, "e.step", F.col("note_ord").alias("idx"), "e.prio", "e.kind",
-        F.lit(0).cast("bigint").alias("seq"), F.col("pitch").cast("int").alias("value"),
-        F.col("velocity").cast("int").alias("velocity"),
+    if cc is None:
+        return events
+    names = {number: name for name, number in dims.CONTROLS.items()}
+    prio = {number: i for i, number in enumerate(dims.CONTROLS.values())}
+    control = F.col("control")
+    bins = F.when(
+        control == dims.CONTROLS["sustain"], s.cc_bin(F.col("value"), 2)
+    ).otherwise(s.cc_bin(F.col("value"), 64))
+    rows = cc.where(control.isin(*names)).select(
+        *keys, "step", F.lit(0).alias("is_note"), dims.lookup(prio, control).alias("tick"),
+        bins.cast("int").alias("value"), F.col("event_idx").cast("bigint").alias("seq"),
+        dims.lookup(prio, control).alias("prio"), dims.lookup(names, control).alias("kind"),
+        F.lit(None).cast("bigint").alias("vbin"),
     )
-    if cc is not None:
-        names = {number: name for name, number in dims.CONTROLS.items()}
-        prio = {number: i for i, number in enumerate(dims.CONTROLS.values())}
-        bins = F.when(F.col("control") == dims.CONTROLS["sustain"], s.cc_bin(F.col("value"), 2)).otherwise(
-            s.cc_bin(F.col("value"), 64)
-        )
-        rows = cc.where(F.col("control").isin(*dims.CONTROLS.values())).select(
-            *keys, "step", F.lit(0).cast("bigint").alias("idx"),
-            dims.lookup(prio, F.col("control")).alias("prio"),
-            dims.lookup(names, F.col("control")).alias("kind"),
-            F.col("event_idx").cast("bigint").alias("seq"),
-            bins.cast("int").alias("value"), F.lit(None).cast("int").alias("velocity"),
-        )
-        events = events.unionByName(rows)
-    return ordinal(
-        events, keys, index_block("step", STEPS_PER_BLOCK), ["step", "idx", "prio", "seq"], "ord"
+    return events.unionByName(rows)
+
+
+def order_performance_events(
+    notes: DataFrame, cc: DataFrame | None = None, keys: Sequence[str] = ("file_id",)
+) -> DataFrame:
+    """Events in playing order: ``ord`` from 0, the step before, the velocity bin before."""
+    events = performance_events(notes, cc, keys)
+    # controllers of one kind follow their time, notes their (start, pitch, list order)
+    pitch = F.when(F.col("is_note") == 1, F.col("value")).otherwise(0)
+    events = events.withColumn("by_pitch", pitch)
+    order = ["step", "is_note", "tick", "by_pitch", "seq", "prio"]
+    out = running(
+        events, list(keys), index_block("step", STEPS_PER_BLOCK), order,
+        {
+            "ord": Running("sum", F.lit(1), upto=False),
+            "prev_step": Running("last", F.col("step"), upto=False),
+            "prev_vbin": Running("last", F.col("vbin"), upto=False),
+        },
     )
+    return out.withColumn("ord", F.col("ord").cast("bigint"))
 
 
 def _shift_values(gap: Column, longest: int = 100) -> Column:
@@ -115,33 +143,24 @@ def _shift_values(gap: Column, longest: int = 100) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_previous(events: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """Events with the step before and the velocity bin of the note-on before."""
-    on = F.col("kind") == "note_on"
-    events = events.withColumn(
-        "vbin", F.when(on, s.performance_velocity_bin(F.col("velocity")))
-    )
-    return running(
-        events, list(keys), index_block("ord"), ["ord"],
-        {
-            "prev_step": Running("last", F.col("step"), upto=False),
-            "prev_vbin": Running("last", F.col("vbin"), upto=False),
-        },
+def _gap() -> Column:
+    return F.col("step") - F.coalesce(F.col("prev_step"), F.lit(0))
+
+
+def _velocity_changed() -> Column:
+    return (F.col("kind") == "note_on") & (
+        F.col("vbin") != F.coalesce(F.col("prev_vbin"), F.lit(0))
     )
 
 
 def time_shift_tokens(events: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """Time shifts in front of each event, (ord, sub, shift)."""
-    rows = near(events, list(keys), "ord", {"prev_step": ("step", -1)})
-    gap = F.col("step") - F.coalesce(F.col("prev_step"), F.lit(0))
-    return rows.select(*keys, "ord", F.posexplode(_shift_values(gap)).alias("sub", "shift"))
+    """Time shifts in front of each ordered event, (ord, sub, shift)."""
+    return events.select(*keys, "ord", F.posexplode(_shift_values(_gap())).alias("sub", "shift"))
 
 
 def velocity_changes(events: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
     """Note-ons whose velocity bin differs from the note-on before (0 at first)."""
-    rows = with_previous(events, keys).where(F.col("kind") == "note_on")
-    changed = F.col("vbin") != F.coalesce(F.col("prev_vbin"), F.lit(0))
-    return rows.where(changed).select(*keys, "ord", "vbin")
+    return events.where(_velocity_changed()).select(*keys, "ord", "vbin")
 
 
 def performance_encode(
@@ -149,14 +168,12 @@ def performance_encode(
 ) -> DataFrame:
     """Performance tokens (ord, sub, token) with a final end token per key."""
     keys = list(keys)
-    rows = with_previous(order_performance_events(notes, cc, keys), keys)
-    gap = F.col("step") - F.coalesce(F.col("prev_step"), F.lit(0))
-    shifts = F.transform(_shift_values(gap), lambda x: x + OFFSETS["time_shift"])
-    changed = (F.col("kind") == "note_on") & (
-        F.col("vbin") != F.coalesce(F.col("prev_vbin"), F.lit(0))
-    )
+    rows = order_performance_events(notes, cc, keys)
+    shifts = F.transform(_shift_values(_gap()), lambda x: x + OFFSETS["time_shift"])
     none = F.array().cast("array<bigint>")
-    velocity = F.when(changed, F.array(F.col("vbin") + OFFSETS["velocity"])).otherwise(none)
+    velocity = F.when(
+        _velocity_changed(), F.array(F.col("vbin") + OFFSETS["velocity"])
+    ).otherwise(none)
     event = F.array((F.col("value") + dims.lookup(OFFSETS, F.col("kind"))).cast("bigint"))
     tokens = rows.select(
         *keys, "ord", F.posexplode(F.concat(shifts, velocity, event)).alias("sub", "token")
@@ -199,6 +216,8 @@ def performance_decode(
     """Notes and controller events of token rows (keys, pos, token)."""
     keys = list(keys)
     timed = running_clock(classify_performance(tokens, keys), keys, block)
+    if not bounded(keys):
+        timed = cut_lineage(timed)
     events = timed.select(
         *keys, F.col("pos").alias("event_idx"), F.col("kind").alias("type"),
         F.col("val").alias("note"), F.col("velocity").alias("value"), "step",
@@ -257,34 +276,39 @@ def items_union(notes: DataFrame, chords: DataFrame, keys: Sequence[str] = ("fil
 def bar_events(
     items: DataFrame, keys: Sequence[str] = ("file_id",), bar: Column | int = 1920
 ) -> DataFrame:
-    """Items with bar, order and the grid indices of position, velocity, duration."""
+    """Items of bars that hold a note, with their place in the bar and grid indices.
+
+    Bars are numbered by time; one bar is the largest group.
+    """
     keys = list(keys)
     width = F.lit(bar) if isinstance(bar, int) else bar
-    placed = bar_bucket(items, keys, width)
-    placed = ordinal(
-        placed, keys, index_block("raw_bar", 64), ["raw_bar", "start_tick", "pitch", "note_idx"],
-        "ord",
+    placed = items.withColumn("bar", s.idiv(F.col("start_tick"), width))
+    measure = Window.partitionBy(*keys, "bar")
+    order = measure.orderBy("start_tick", "pitch", "note_idx")
+    placed = placed.withColumns(
+        {
+            "place": F.row_number().over(order),
+            "__sounds": F.max(F.col("name") == "Note").over(measure),
+        }
     )
-    first = placed.groupBy(*keys, "raw_bar").agg(F.min("ord").alias("__first"))
-    placed = placed.join(first, [*keys, "raw_bar"])
-    offset = F.col("start_tick") - F.col("raw_bar") * width
-    return placed.withColumns(
+    offset = F.col("start_tick") - F.col("bar") * width
+    return placed.where(F.col("__sounds")).withColumns(
         {
-            "opens_bar": F.col("ord") == F.col("__first"),
+            "opens_bar": F.col("place") == 1,
             "position": s.position_index(offset, width),
             "vel": F.least(s.velocity_bin(F.col("velocity")), F.lit(31)),
             "dur": s.duration_bin(F.col("end_tick") - F.col("start_tick"), width),
         }
-    ).drop("__first")
+    ).drop("__sounds")
 
 
 def bar_encode(
     items: DataFrame, keys: Sequence[str] = ("file_id",), bar: Column | int = 1920
 ) -> DataFrame:
-    """Bar tokens (ord, sub, token): Bar, then per item Position and its words.
+    """Bar tokens (bar, place, sub, token): Bar, then per item Position and its words.
 
-    ``inserted`` chords (column, may be absent) follow the item's position. A chord
-    word outside the vocabulary is dropped, its position stays.
+    An item's ``chord`` follows its position; a chord word outside the vocabulary
+    is dropped, its position stays.
     """
     keys = list(keys)
     rows = bar_events(items, keys, bar)
@@ -303,8 +327,11 @@ def bar_encode(
         F.filter(F.array(chord), lambda x: x.isNotNull()),
         F.when(F.col("name") == "Note", note).otherwise(F.array().cast("array<bigint>")),
     )
-    tokens = rows.select(*keys, "ord", F.posexplode(parts).alias("sub", "token"))
-    return tokens.unionByName(_end_tokens(items.where(F.col("name") == "Note"), keys))
+    tokens = rows.select(*keys, "bar", "place", F.posexplode(parts).alias("sub", "token"))
+    end = _end_tokens(items.where(F.col("name") == "Note"), keys)
+    return tokens.unionByName(
+        end.select(*keys, F.col("ord").alias("bar"), F.lit(1).alias("place"), "sub", "token")
+    )
 
 
 def bar_encode_catalog(
@@ -361,7 +388,7 @@ def compound_encode(
         body,
     )
     words = F.filter(words, lambda x: x.isNotNull())
-    return rows.select(*keys, "ord", F.posexplode(words).alias("sub", "word"))
+    return rows.select(*keys, "bar", "place", F.posexplode(words).alias("sub", "word"))
 
 
 def word_events(tokens: DataFrame, vocab: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -53,11 +53,11 @@ def chunk_notes(note_rows: DataFrame, facts: DataFrame, profile: Profile) -> Dat
             "end_bin": chunks.time_bin(F.col("end_tick"), F.col("bpm"), per_second),
         }
     )
-    keys = ["file_id", "track_idx"]
     cut = chunks.chunk_by_silence(
-        timed, keys, per_second, profile.longest_space, profile.min_chunk_seconds
+        timed, ["file_id", "track_idx"], per_second, profile.longest_space,
+        profile.min_chunk_seconds,
     )
-    return chunks.rebase(cut, [*keys, "chunk_idx"]).drop(
+    return chunks.rebase(cut).drop(
         "start_bin", "end_bin", "chunk_first", "chunk_last", "chunk_start"
     )
 
@@ -71,7 +71,7 @@ def cut_segments(chunk_rows: DataFrame, profile: Profile) -> DataFrame:
         F.max("bar_ticks").alias("bar_ticks"),
     )
     wins = windows.bar_windows(span, profile.window_bars, bar=F.col("bar_ticks")).drop("bar_ticks")
-    segments = windows.window_segments(chunk_rows, wins, keys)
+    segments = cut_lineage(windows.window_segments(chunk_rows, wins, keys))
     whole = windows.drop_gappy_files(wins, segments, keys).drop("n_windows")
     return spread_join(segments, whole, [*keys, "n_bars"], "left_semi")
 
@@ -85,7 +85,6 @@ def segment_examples(segments: DataFrame, facts: DataFrame, profile: Profile) ->
         unknown.alias("track_category"), unknown.alias("chord_progression"),
         unknown.alias("rhythm"),
     )
-    header = segments.select(*SEGMENT).distinct().join(header, "file_id")
     attrs = meta.parse_meta(segments, None, None, header, profile, SEGMENT)
     encoded = meta.encode_meta(attrs, profile).select(*SEGMENT, "meta")
     encoded_notes = tokens.performance_encode(tokens.note_steps(segments), None, SEGMENT)
@@ -97,12 +96,12 @@ def web_examples(
 ) -> DataFrame:
     """Training examples of a chunked corpus, one row per window segment.
 
-    The segments are read by three branches (attributes, order, tokens), so they
-    are written to the checkpoint folder once.
+    Facts, chunks and segments are each read by several branches, so each is
+    written to the checkpoint folder once.
     """
-    facts = file_facts(tempo, ends, header)
-    segments = cut_lineage(cut_segments(chunk_notes(note_rows, facts, profile), profile))
-    return segment_examples(segments, facts, profile)
+    facts = cut_lineage(file_facts(tempo, ends, header))
+    chunk_rows = cut_lineage(chunk_notes(note_rows, facts, profile))
+    return segment_examples(cut_segments(chunk_rows, profile), facts, profile)
 
 
 def catalog_examples(
