@@ -552,7 +552,7 @@ def encode_sql(source: str) -> str:
         return f"coalesce({offset} + CAST(ceil({name} / {step}.0) AS INTEGER), {unknown})"
 
     parts = [
-        "coalesce(423 + least(bpm, 199) // 5, 422)",
+        "CASE WHEN bpm IS NULL THEN 422 ELSE 423 + least(bpm, 199) // 5 END",
         coded("audio_key", 463, 464, dims.KEY_CODES),
         coded("time_signature", 488, 489, dims.METER_CODES),
         coded("pitch_range", 506, 507, ranges),

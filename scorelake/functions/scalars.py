@@ -57,7 +57,9 @@ def meter_parts(text: Column) -> tuple[Column, Column]:
 
 
 def bpm_bucket(bpm: Column) -> Column:
-    return idiv(F.least(bpm, F.lit(dims.MAX_BPM - 1)), dims.BPM_STEP)
+    # least() skips nulls, so an unknown tempo is kept apart
+    capped = F.least(bpm, F.lit(dims.MAX_BPM - 1))
+    return F.when(bpm.isNotNull(), idiv(capped, dims.BPM_STEP))
 
 
 def bpm_bucket_legacy(bpm: Column) -> Column:

@@ -110,7 +110,7 @@ def read_meta_csv(
         F.min_by(F.array(*cells), at).alias("top"),
         F.coalesce(F.min(F.when(is_header, at)), F.min(at)).alias("at"),
     ).first()
-    body = raw.where(at > F.struct(*[F.lit(v) for v in names["at"]]))
+    body = raw.where(at > F.struct(*[F.lit(names["at"][c]).alias(c) for c in order]))
     header = names["found"] or names["top"]
     picked = list(zip(cells, header))
     if names["found"]:
