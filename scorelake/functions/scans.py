@@ -99,7 +99,8 @@ def running(
         True: inside.rowsBetween(Window.unboundedPreceding, Window.currentRow),
         False: inside.rowsBetween(Window.unboundedPreceding, -1),
     }
-    out = keyed.join(carried, at)
+    # one summary row per block: hashing it spares a second sort of the rows
+    out = keyed.join(carried.hint("shuffle_hash"), at)
     here = {f"__h_{n}": _over(s.kind, s.expr, frames[s.upto]) for n, s in specs.items()}
     out = out.withColumns(here)
     out = out.withColumns(

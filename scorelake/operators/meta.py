@@ -130,10 +130,7 @@ def inst_codes(notes: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFram
 
 
 def program_family(program: Column) -> Column:
-    family = F.lit(None).cast("int")
-    for low, high, code in reversed(dims.PROGRAM_FAMILIES):
-        family = F.when(program.between(low, high), code).otherwise(family)
-    return family
+    return dims.indexed(list(dims.program_families().values()), program)
 
 
 def code_lookup(

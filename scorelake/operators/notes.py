@@ -142,7 +142,8 @@ def matched_offs(rows: DataFrame, keys: Sequence[str], idx: str, block: int) ->
     blocks = blocks.withColumns(carry)
     low = F.min(F.col("__cs") + F.col("__ms")).over(earlier)
     blocks = blocks.withColumn("__cm", F.least(F.lit(0), low))
-    out = local.join(blocks.select(*at, "__cs", "__con", "__coff", "__cm"), at)
+    carried = blocks.select(*at, "__cs", "__con", "__coff", "__cm")
+    out = local.join(carried.hint("shuffle_hash"), at)
     low_here = F.min(F.col("__s") + F.col("__cs")).over(inside)
     out = out.withColumn("__m", F.least(F.col("__cm"), low_here))
     out = out.withColumns(

@@ -189,13 +189,17 @@ def _end_tokens(notes: DataFrame, keys: list[str]) -> DataFrame:
 
 def classify_performance(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tokens as (kind, value) without reserved ids and leading time shifts."""
-    kind, value = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    for name, (low, size) in dims.PERFORMANCE_BLOCKS.items():
-        first = OFFSETS[name] + low
-        here = F.col("token").between(first, first + size - 1)
-        kind = F.when(here, F.lit(name)).otherwise(kind)
-        value = F.when(here, F.col("token") - OFFSETS[name]).otherwise(value)
-    rows = tokens.withColumns({"kind": kind, "val": value}).where(F.col("kind").isNotNull())
+    kinds = [""] * dims.RESERVED_IDS
+    starts = [0] * dims.RESERVED_IDS
+    for name, (_, size) in dims.PERFORMANCE_BLOCKS.items():
+        kinds += [name] * size
+        starts += [OFFSETS[name]] * size
+    rows = tokens.where(F.col("token").between(dims.RESERVED_IDS, len(kinds) - 1)).withColumns(
+        {
+            "kind": dims.indexed(kinds, F.col("token")),
+            "val": F.col("token") - dims.indexed(starts, F.col("token")),
+        }
+    )
     first = rows.where(F.col("kind") != "time_shift").groupBy(*keys).agg(F.min("pos").alias("__p"))
     return spread_join(rows, first, list(keys)).where(F.col("pos") >= F.col("__p")).drop("__p")
 
