@@ -538,7 +538,7 @@ def _(t):
     return meta.keep_measures(t.attrs)
 
 
-def encode_sql(source: str) -> str:
+def encode_sql(source: str, inst: dict | None = None) -> str:
     def coded(name, unknown, offset, codes):
         return (f"CASE WHEN {name} IS NULL THEN {unknown} ELSE {offset} + "
                 f"{sql_map(codes)}[{name}] END")
@@ -557,7 +557,7 @@ def encode_sql(source: str) -> str:
         coded("time_signature", 488, 489, dims.METER_CODES),
         coded("pitch_range", 506, 507, ranges),
         "CASE WHEN num_measures = 4 THEN 514 WHEN num_measures IS NOT NULL THEN 515 END",
-        coded("inst", 516, 517, dims.program_families()),
+        coded("inst", 516, 517, inst or dims.program_families()),
         coded("genre", 525, 526, dims.GENRE_CODES),
         low("min_velocity", 539, 540, 5), high("max_velocity", 539, 540, 5),
         coded("track_category", 567, 568, dims.CATEGORY_CODES),

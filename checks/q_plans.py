@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.q_meta import encode_sql
+from checks.q_meta import CC_SQL, encode_sql, track_table
 from checks.registry import joined, register
+from checks.views import pick
 from scorelake import dims
 from scorelake.plans import corpus
 
@@ -107,3 +108,87 @@ WEB_SQL = f"""
 def web_examples(t):
     out = corpus.web_examples(t.notes_dense, t.tempo, t.tempo_end, header(t))
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
+
+
+# --- catalogue --------------------------------------------------------------
+
+SAMPLES_SQL = """(SELECT CAST(c_custkey AS VARCHAR) AS id, 60 + c_custkey % 160 AS bpm,
+    ['c', 'f#', 'bbmajor', 'h'][c_custkey % 4 + 1] AS audio_key,
+    ['major', 'minor'][c_custkey % 2 + 1] AS chord_type, ['4/4', '3/4'][c_custkey % 2 + 1]
+      AS time_signature,
+    ['acoustic_piano-1', 'bell-22', 'flute', 'kazoo-1', 'synth_bass_808-3'][c_custkey % 5 + 1] AS inst,
+    ['jazz', 'edm', NULL][c_custkey % 3 + 1] AS genre,
+    ['main_melody', 'bass', 'drums', 'pad', 'percussion', 'riff'][c_custkey % 6 + 1] AS track_category,
+    ['standard', 'swing', NULL][c_custkey // 2 % 3 + 1] AS rhythm,
+    CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'C,Am' END AS chords FROM customer)"""
+
+CATALOG_SQL = f"""
+  smp AS (SELECT * FROM {SAMPLES_SQL} WHERE track_category NOT IN ('drums', 'percussion')
+    AND chords IS NOT NULL),
+  stems AS (SELECT DISTINCT file_id, CASE file_id % 3 WHEN 0 THEN [CAST(file_id AS VARCHAR)]
+    WHEN 1 THEN [CAST(file_id AS VARCHAR), 'gmajor', CAST(60 + file_id % 80 AS VARCHAR)]
+    ELSE [CAST(file_id AS VARCHAR), 'x'] END AS p FROM v_notes_dense),
+  head AS (SELECT file_id, CASE WHEN len(p) = 3 THEN CAST(p[3] AS BIGINT) ELSE bpm END AS bpm,
+      CASE WHEN len(p) = 3 THEN p[2] WHEN contains(audio_key, 'major') OR contains(audio_key, 'minor')
+        THEN audio_key ELSE audio_key || chord_type END AS audio_key, time_signature,
+      string_split(inst, '-')[1] AS inst, genre, track_category, chords AS chord_progression, rhythm
+    FROM stems JOIN smp ON smp.id = p[1] WHERE len(p) <> 2),
+  mel AS (SELECT * FROM v_notes_dense WHERE track_name <> 'chord'),
+  stats AS (SELECT file_id, avg(pitch) FILTER (WHERE pitch <> 0 AND velocity <> 1) AS m,
+      min(velocity) FILTER (WHERE channel <> 5 AND velocity <> 1) AS min_velocity,
+      max(velocity) FILTER (WHERE channel <> 5 AND velocity <> 1) AS max_velocity,
+      arg_min(start_tick, note_idx) AS a, arg_max(end_tick, note_idx) AS z FROM mel GROUP BY file_id),
+  parsed AS (SELECT h.*, CASE {PITCH_CASE} END AS pitch_range,
+      CAST(ceil((z - a // 1920 * 1920) / 1920.0) AS INTEGER) AS num_measures,
+      s.min_velocity, s.max_velocity, c.* EXCLUDE (file_id)
+    FROM head h LEFT JOIN stats s USING (file_id) LEFT JOIN {CC_SQL} c USING (file_id)),
+  en AS (SELECT * FROM {encode_sql('parsed', dims.INSTRUMENT_FAMILIES)}),
+  o AS (SELECT n.* EXCLUDE (bpm), h.bpm, row_number() OVER (PARTITION BY n.file_id ORDER BY start_tick,
+      pitch, note_idx) - 1 AS idx, (12000 * start_tick + 480 * h.bpm) // (960 * h.bpm) AS s0,
+      (12000 * end_tick + 480 * h.bpm) // (960 * h.bpm) AS e0 FROM mel n JOIN head h USING (file_id)),
+  n AS (SELECT *, CASE WHEN e0 = s0 THEN e0 + 1 ELSE e0 END AS e1 FROM o),
+  raw AS (SELECT file_id, s0 AS step, idx, 3 AS prio, pitch + 2 AS token, (velocity - 1) // 2 + 1 AS vb
+      FROM n UNION ALL SELECT file_id, e1, idx, 4, pitch + 130, NULL FROM n),
+  ev AS (SELECT *, row_number() OVER w AS ord, step - lag(step, 1, 0) OVER w AS gap,
+      coalesce(last_value(vb IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY step, idx, prio
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pvb FROM raw
+    WINDOW w AS (PARTITION BY file_id ORDER BY step, idx, prio)),
+  lists AS (SELECT file_id, list_append(flatten(list(list_concat(
+      list_transform(range(0, (gap + 99) // 100), lambda s: 257 + least(100, gap - 100 * s)),
+      CASE WHEN vb <> pvb THEN [357 + vb] ELSE [] END, [token]) ORDER BY ord)), 1) AS note_seq
+    FROM ev GROUP BY ALL)"""
+
+
+def catalog_samples(t):
+    return t.customer.selectExpr(
+        "cast(c_custkey as string) as id", "cast(60 + c_custkey % 160 as int) as bpm",
+        pick(["c", "f#", "bbmajor", "h"], "c_custkey % 4") + " as audio_key",
+        pick(["major", "minor"], "c_custkey % 2") + " as chord_type",
+        pick(["4/4", "3/4"], "c_custkey % 2") + " as time_signature",
+        pick(["acoustic_piano-1", "bell-22", "flute", "kazoo-1", "synth_bass_808-3"], "c_custkey % 5")
+        + " as inst",
+        pick(["jazz", "edm", None], "c_custkey % 3") + " as genre",
+        pick(["main_melody", "bass", "drums", "pad", "percussion", "riff"], "c_custkey % 6")
+        + " as track_category",
+        pick(["standard", "swing", None], "(c_custkey div 2) % 3") + " as sample_rhythm",
+        "if(c_custkey % 7 = 0, array(), array(array('C', 'Am'))) as chord_progressions",
+    )
+
+
+@register(
+    "catalog_examples", "file_id:l meta:s chord_hash:s note_seq:s",
+    f"""WITH {CATALOG_SQL} SELECT en.file_id, array_to_string(meta, ',') AS meta,
+          md5(chord_progression) AS chord_hash, array_to_string(note_seq, ',') AS note_seq
+        FROM en JOIN lists USING (file_id)""",
+)
+def catalog_examples(t):
+    files = t.notes_dense.select("file_id").distinct().selectExpr(
+        "file_id",
+        """case file_id % 3 when 0 then cast(file_id as string)
+           when 1 then concat(file_id, '_gmajor_', 60 + file_id % 80)
+           else concat(file_id, '_x') end as stem""",
+    )
+    out = corpus.catalog_examples(
+        catalog_samples(t), files, t.notes_dense, t.cc, track_table(t)
+    )
+    return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})

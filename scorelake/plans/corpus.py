@@ -12,7 +12,7 @@ from scorelake.functions.scalars import (
     meter_parts,
     strip_inst_number,
 )
-from scorelake.functions.scans import spread_join
+from scorelake.functions.scans import index_block, ordinal, spread_join
 from scorelake.operators import chunks, examples, meta, notes, tokens, tracks, windows
 from scorelake.profiles import CATALOG, WEB, Profile
 from scorelake.session import cut_lineage
@@ -116,7 +116,8 @@ def catalog_examples(
     """Examples of a sample catalogue: attributes from the catalogue and the notes.
 
     ``files`` is (file_id, stem); stems are sample ids or parent_key_bpm. Originals
-    are encoded too unless ``augmented_only``.
+    are encoded too unless ``augmented_only``. A sample is a few bars long, so its
+    tokens are packed into one array; keyswitch notes are cut from them.
     """
     ids = catalog.parse_augmented_id(files, "stem", augmented_only)
     parents = catalog.sample_filters(samples).withColumnRenamed("id", "parent_id")
@@ -139,9 +140,17 @@ def catalog_examples(
     encoded = meta.encode_meta(attrs, profile).select(
         "file_id", "meta", chord_md5(F.col("chord_progression")).alias("chord_hash")
     )
-    steps = tokens.note_steps(spread_join(melody.drop("bpm"), header.select("file_id", "bpm"), ["file_id"]))
-    coded = tokens.performance_encode(steps)
-    return encoded.join(tokens.pack_tokens(coded, ["file_id"]), "file_id")
+    tempo = encoded_tempo(header)
+    steps = tokens.note_steps(spread_join(melody.drop("bpm"), tempo, ["file_id"]))
+    coded = cut_lineage(tokens.performance_encode(steps))
+    coded = ordinal(coded, ["file_id"], index_block("ord"), ["ord", "sub"], "pos")
+    sounding = tokens.drop_keyswitch_tokens(coded, ["file_id"])
+    return encoded.join(tokens.pack_tokens(sounding, ["file_id"], ["pos"]), "file_id")
+
+
+def encoded_tempo(header: DataFrame) -> DataFrame:
+    """Tempo of each file, 120 where the catalogue has none."""
+    return header.select("file_id", F.coalesce("bpm", F.lit(120)).alias("bpm"))
 
 
 def training_batches(
