@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.q_meta import CC_SQL, encode_sql, track_table
+from checks.q_meta import CC_SQL, encode_sql, sql_map, track_table
 from checks.registry import joined, register
 from checks.views import pick
 from scorelake import dims
 from scorelake.plans import corpus
+from scorelake.sources import sinks
 
 PITCH_CASE = " ".join(f"WHEN m < {c} THEN '{n}'" for n, c in dims.PITCH_RANGE_CUTS.items())
 SEG = "file_id, track_idx, chunk_idx, n_bars, window_idx"
@@ -192,3 +193,96 @@ def catalog_examples(t):
         catalog_samples(t), files, t.notes_dense, t.cc, track_table(t)
     )
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
+
+
+# --- tagged corpus: chord track, genre table, chord table -------------------
+
+GENRES = """(SELECT 'file-' || n_nationkey AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'jazz'
+    ELSE 'rock' END AS genre, (n_nationkey * 7) % 25 AS name_order FROM nation)"""
+TAGGED_CHORDS = """(SELECT file_id, array_to_string(progression, ',') AS text FROM v_progressions
+    WHERE file_id % 2 = 0)"""
+CATEGORY = sql_map(dims.CHANNEL_CATEGORIES)
+TAGGED_BASE = WEB_SQL.split("  sp AS (")[0].split("HAVING arg_min(channel")[0] + (
+    "HAVING arg_min(channel, note_idx) NOT IN (6, 9, 10, 11)),\n  timed AS (" +
+    WEB_SQL.split("  sp AS (")[0].split("  timed AS (")[1]
+)
+TAGGED_END = "  whole AS (" + WEB_SQL.split("  whole AS (")[1].split("  stats AS (")[0]
+TAGGED_TOKENS = "  o AS (" + WEB_SQL.split("  o AS (")[1].split("  examples AS (")[0]
+
+TAGGED_SQL = f"""{TAGGED_BASE}
+  ext AS (SELECT file_id, track_idx, chunk_idx, max(bar) AS bar, max(t0) AS cs,
+      arg_max(end_tick, note_idx) + max(t0) AS ce FROM ch GROUP BY ALL),
+  crd AS (SELECT file_id, note_idx AS cn, start_tick AS s1, end_tick AS e1 FROM v_notes_dense
+    WHERE track_name = 'chord'),
+  fc AS (SELECT e.*, arg_min(s1, cn) AS chs FROM ext e JOIN crd USING (file_id)
+    WHERE s1 >= cs AND e1 <= ce GROUP BY ALL),
+  lim AS (SELECT *, (cs + bar - 1) // bar * bar AS me, (ce + bar - 1) // bar * bar AS ee FROM fc),
+  low AS (SELECT *, CASE WHEN greatest(0, me - bar) < chs THEN me ELSE greatest(0, me - bar) END AS lo
+    FROM lim),
+  snap AS (SELECT file_id, track_idx, chunk_idx, cn, s1 - chs AS s1, e1 - chs AS e1 FROM low
+    JOIN crd USING (file_id) WHERE s1 >= lo AND e1 <= ee),
+  late AS (SELECT file_id, track_idx, chunk_idx, arg_min(s1, cn) AS c0, arg_max(e1, cn) AS c1
+    FROM snap GROUP BY ALL),
+  sp AS (SELECT c.file_id, c.track_idx, c.chunk_idx, bar,
+      CASE WHEN any_value(late.c0) > 0 THEN any_value(late.c0) ELSE arg_min(start_tick, note_idx) END AS f,
+      CASE WHEN any_value(late.c0) > 0 THEN any_value(late.c1) ELSE max(end_tick) END AS l
+    FROM ch c JOIN late USING (file_id, track_idx, chunk_idx) GROUP BY ALL),
+  win AS (SELECT file_id, track_idx, chunk_idx, k AS n_bars, i AS window_idx, f + i * bar AS ws,
+      f + i * bar + k * bar AS we FROM sp CROSS JOIN (SELECT unnest([4, 8]) AS k)
+    CROSS JOIN range(0, 64) r(i) WHERE f + i * bar < l - k * bar + bar),
+  seg0 AS (SELECT w.n_bars, w.window_idx, ws, we, ch.* REPLACE (greatest(start_tick, ws) - ws
+      AS start_tick, least(end_tick, we) - ws AS end_tick)
+    FROM ch JOIN win w USING (file_id, track_idx, chunk_idx)
+    WHERE (start_tick >= ws AND start_tick < we) OR (end_tick > ws AND end_tick <= we)),
+  cov AS (SELECT {SEG} FROM win JOIN snap USING (file_id, track_idx, chunk_idx)
+    WHERE (s1 >= ws AND s1 < we) OR (e1 > ws AND e1 <= we) GROUP BY ALL
+    HAVING min(greatest(s1, ws) - ws) = 0 AND max(least(e1, we) - ws) >= max(we - ws)),
+{TAGGED_END.replace('  seg AS (SELECT s.* FROM seg0 s JOIN whole USING (file_id, track_idx, chunk_idx, n_bars))',
+  '  seg AS (SELECT s.* FROM seg0 s JOIN whole USING (file_id, track_idx, chunk_idx, n_bars) JOIN cov USING (file_id, track_idx, chunk_idx, n_bars, window_idx))')}
+  stats AS (SELECT {SEG}, max(bpm) AS bpm, max(bar) AS bar,
+      avg(pitch) FILTER (WHERE pitch <> 0 AND velocity <> 1) AS m,
+      min(velocity) FILTER (WHERE channel <> 5) AS min_velocity,
+      max(velocity) FILTER (WHERE channel <> 5) AS max_velocity,
+      arg_min(program, note_idx) AS p, arg_min(start_tick, note_idx) AS a,
+      arg_max(end_tick, note_idx) AS z FROM seg GROUP BY ALL),
+  chan AS (SELECT file_id, track_idx, arg_min(channel, note_idx) AS channel FROM seg GROUP BY ALL),
+  gen AS (SELECT f.file_id, arg_min(g.genre, g.name_order) AS genre FROM facts f
+    JOIN {GENRES} g ON starts_with('file-' || f.file_id, g.name) GROUP BY f.file_id),
+  parsed AS (SELECT s.{SEG.replace(', ', ', s.')}, s.bpm, audio_key, time_signature,
+      CASE {PITCH_CASE} END AS pitch_range,
+      CAST(ceil((z - a // s.bar * s.bar) / CAST(s.bar AS DOUBLE)) AS INTEGER) AS num_measures,
+      CAST(p AS VARCHAR) AS inst, gen.genre, min_velocity, max_velocity,
+      {CATEGORY}[chan.channel] AS track_category, text AS chord_progression,
+      coalesce(md5(text), 'unknown') AS chord_hash, CAST(NULL AS VARCHAR) AS rhythm,
+      CAST(NULL AS INTEGER) AS min_modulation, CAST(NULL AS INTEGER) AS max_modulation,
+      CAST(NULL AS INTEGER) AS min_expression, CAST(NULL AS INTEGER) AS max_expression,
+      CAST(NULL AS INTEGER) AS min_sustain, CAST(NULL AS INTEGER) AS max_sustain
+    FROM stats s JOIN facts USING (file_id) JOIN gen USING (file_id)
+      JOIN chan USING (file_id, track_idx)
+      LEFT JOIN {TAGGED_CHORDS} ci ON ci.file_id = s.file_id),
+  en AS (SELECT * FROM {encode_sql('parsed')}),
+{TAGGED_TOKENS}
+  examples AS (SELECT {SEG}, meta, chord_hash, note_seq FROM en JOIN lists USING ({SEG}))"""
+
+
+@register(
+    "tagged_examples",
+    "file_id:l track_idx:l chunk_idx:l n_bars:l window_idx:l meta:s chord_hash:s note_seq:s",
+    f"""WITH {TAGGED_SQL} SELECT {SEG}, array_to_string(meta, ',') AS meta, chord_hash,
+          array_to_string(note_seq, ',') AS note_seq FROM examples""",
+)
+def tagged_examples(t):
+    names = t.nation.selectExpr(
+        "concat('file-', n_nationkey) as name",
+        "if(n_nationkey % 3 = 0, 'jazz', 'rock') as genre", "(n_nationkey * 7) % 25 as name_order",
+    )
+    table = sinks.chord_table(
+        t.progressions.where("file_id % 2 = 0").withColumn(
+            "filename", F.concat(F.lit("file-"), F.col("file_id"))
+        )
+    )
+    heads = t.attrs.selectExpr(
+        "file_id", "concat('file-', file_id) as stem", "audio_key", "time_signature"
+    )
+    out = corpus.tagged_examples(t.notes_dense, t.tempo, t.tempo_end, heads, names, table)
+    return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})

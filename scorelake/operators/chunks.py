@@ -94,19 +94,20 @@ def rebase(chunks: DataFrame) -> DataFrame:
 
 
 def snap_chunk_to_measures(
-    chunks: DataFrame, chords: DataFrame, bar_ticks: int = 1920
+    chunks: DataFrame, chords: DataFrame, bar_ticks: Column | int = 1920
 ) -> DataFrame:
     """Chord notes that belong to each chunk, cut at measure lines.
 
-    ``chunks`` is (file_id, chunk_idx, chunk_start, chunk_end) in ticks and
-    ``chords`` the chord track's notes. Only the first meter counts. The measure
+    ``chunks`` is (file_id, chunk_start, chunk_end, ...) in ticks, one row a chunk,
+    and ``chords`` the chord track's notes. Only the first meter counts. The measure
     before the chunk's start is used unless the first chord note inside the chunk
     starts later than that measure; chord times restart at that first note.
     """
     first = first_chord_in_chunk(chunks, chords)
-    up = lambda c: idiv(c + F.lit(bar_ticks - 1), bar_ticks) * bar_ticks
+    bar = F.lit(bar_ticks) if isinstance(bar_ticks, int) else bar_ticks
+    up = lambda c: idiv(c + bar - 1, bar) * bar
     start_end = up(F.col("chunk_start"))
-    start = F.greatest(F.lit(0), start_end - bar_ticks)
+    start = F.greatest(F.lit(0), start_end - bar)
     spans = first.withColumns(
         {
             "snap_start": F.when(start < F.col("chord_start"), start_end).otherwise(start),
@@ -143,7 +144,7 @@ def first_chord_in_chunk(chunks: DataFrame, chords: DataFrame) -> DataFrame:
     pairs = _chord_pairs(chunks, chords, "chunk_start", "chunk_end").where(
         (F.col("start_tick") >= F.col("chunk_start")) & (F.col("end_tick") <= F.col("chunk_end"))
     )
-    return pairs.groupBy("file_id", "chunk_idx", "chunk_start", "chunk_end").agg(
+    return pairs.groupBy(*chunks.columns).agg(
         F.min_by("note_idx", "note_idx").alias("chord_note_idx"),
         F.min_by("start_tick", "note_idx").alias("chord_start"),
     )

@@ -49,6 +49,18 @@ def drop_tracks_by_name(events: DataFrame) -> DataFrame:
     return spread_join(events, keep, TRACK, "left_semi")
 
 
+def drop_named_note_tracks(notes: DataFrame) -> DataFrame:
+    """The same rule on note rows: a track's channel is that of its first note."""
+    facts = notes.groupBy(*TRACK).agg(
+        F.min_by("channel", "note_idx").alias("c"),
+        F.trim(F.min_by("track_name", "note_idx")).alias("name"),
+    )
+    bad = F.col("name").isin(*dims.NON_MELODY_CHANNELS) | F.col("c").isin(
+        *dims.NON_MELODY_CHANNELS.values()
+    )
+    return spread_join(notes, facts.where(~bad).select(*TRACK), TRACK, "left_semi")
+
+
 def drop_chord_tracks(events: DataFrame) -> DataFrame:
     """Drop tracks with any event text containing the chord track's name."""
     marked = events.groupBy(*TRACK).agg(

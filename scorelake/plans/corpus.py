@@ -14,11 +14,12 @@ from scorelake.functions.scalars import (
 )
 from scorelake.functions.scans import index_block, ordinal, spread_join
 from scorelake.operators import chunks, examples, meta, notes, tokens, tracks, windows
-from scorelake.profiles import CATALOG, WEB, Profile
+from scorelake.profiles import CATALOG, TAGGED, WEB, Profile
 from scorelake.session import cut_lineage
 from scorelake.sources import catalog
 
-SEGMENT = ["file_id", "track_idx", "chunk_idx", "n_bars", "window_idx"]
+CHUNK = ["file_id", "track_idx", "chunk_idx"]
+SEGMENT = [*CHUNK, "n_bars", "window_idx"]
 
 
 def file_facts(tempo: DataFrame, ends: DataFrame, header: DataFrame) -> DataFrame:
@@ -39,10 +40,7 @@ def chunk_notes(note_rows: DataFrame, facts: DataFrame, profile: Profile) -> Dat
     if profile.drop_tracks == "program":
         melody = tracks.drop_tracks_by_program(melody)
     elif profile.drop_tracks == "name":
-        bad = F.trim("track_name").isin(*dims.NON_MELODY_CHANNELS) | F.col("channel").isin(
-            *dims.NON_MELODY_CHANNELS.values()
-        )
-        melody = melody.where(~bad)
+        melody = tracks.drop_named_note_tracks(melody)
     timed = spread_join(
         melody.drop("bpm"), facts.select("file_id", "bpm", "bar_ticks"), ["file_id"]
     )
@@ -57,36 +55,52 @@ def chunk_notes(note_rows: DataFrame, facts: DataFrame, profile: Profile) -> Dat
         timed, ["file_id", "track_idx"], per_second, profile.longest_space,
         profile.min_chunk_seconds,
     )
-    return chunks.rebase(cut).drop(
-        "start_bin", "end_bin", "chunk_first", "chunk_last", "chunk_start"
+    return chunks.rebase(cut).drop("start_bin", "end_bin", "chunk_first", "chunk_last")
+
+
+def chunk_chords(chunk_rows: DataFrame, chords: DataFrame) -> DataFrame:
+    """Chord notes of every chunk, cut at measures; chunks without any are missing."""
+    end = F.max_by("end_tick", "note_idx") + F.max("chunk_start")
+    extent = chunk_rows.groupBy(*CHUNK).agg(
+        F.max("chunk_start").alias("chunk_start"), end.alias("chunk_end"),
+        F.max("bar_ticks").alias("bar_ticks"),
     )
+    return chunks.snap_chunk_to_measures(extent, chords, F.col("bar_ticks"))
 
 
-def cut_segments(chunk_rows: DataFrame, profile: Profile) -> DataFrame:
-    """Window segments of all sizes; chunks with an empty window drop out."""
-    keys = ["file_id", "track_idx", "chunk_idx"]
+def cut_segments(
+    chunk_rows: DataFrame, profile: Profile, chords: DataFrame | None = None
+) -> DataFrame:
+    """Window segments of all sizes; chunks with an empty window drop out.
+
+    With chord notes, only windows that chords cover from start to end remain.
+    """
+    keys = CHUNK
     span = chunk_rows.groupBy(*keys).agg(
         F.min_by("start_tick", "note_idx").alias("first_tick"),
         F.max("end_tick").alias("last_tick"),
         F.max("bar_ticks").alias("bar_ticks"),
     )
+    if chords is not None:
+        span = windows.chord_span(span, chords, keys).join(
+            chords.select(*keys).distinct(), keys, "left_semi"
+        )
     wins = windows.bar_windows(span, profile.window_bars, bar=F.col("bar_ticks")).drop("bar_ticks")
     segments = cut_lineage(windows.window_segments(chunk_rows, wins, keys))
     whole = windows.drop_gappy_files(wins, segments, keys).drop("n_windows")
-    return spread_join(segments, whole, [*keys, "n_bars"], "left_semi")
+    segments = spread_join(segments, whole, [*keys, "n_bars"], "left_semi")
+    if chords is None:
+        return segments
+    sung = windows.window_segments(chords.select(*keys, "note_idx", "start_tick", "end_tick"), wins, keys)
+    covered = windows.chord_covers_window(sung, keys)
+    return spread_join(segments, covered, SEGMENT, "left_semi")
 
 
-def segment_examples(segments: DataFrame, facts: DataFrame, profile: Profile) -> DataFrame:
+def segment_examples(segments: DataFrame, header: DataFrame, profile: Profile) -> DataFrame:
     """Attribute ids and performance tokens of every segment."""
-    unknown = F.lit(None).cast("string")
-    header = facts.select(
-        "file_id", "bpm", "audio_key", "time_signature",
-        genre_from_path(F.lower("path")).alias("genre"),
-        unknown.alias("track_category"), unknown.alias("chord_progression"),
-        unknown.alias("rhythm"),
-    )
     attrs = meta.parse_meta(segments, None, None, header, profile, SEGMENT)
-    encoded = meta.encode_meta(attrs, profile).select(*SEGMENT, "meta")
+    extra = [c for c in ("chord_hash",) if c in header.columns]
+    encoded = meta.encode_meta(attrs, profile).select(*SEGMENT, "meta", *extra)
     encoded_notes = tokens.performance_encode(tokens.note_steps(segments), None, SEGMENT)
     return encoded.join(tokens.pack_tokens(encoded_notes, SEGMENT), SEGMENT)
 
@@ -101,7 +115,54 @@ def web_examples(
     """
     facts = cut_lineage(file_facts(tempo, ends, header))
     chunk_rows = cut_lineage(chunk_notes(note_rows, facts, profile))
-    return segment_examples(cut_segments(chunk_rows, profile), facts, profile)
+    unknown = F.lit(None).cast("string")
+    known = facts.select(
+        "file_id", "bpm", "audio_key", "time_signature",
+        genre_from_path(F.lower("path")).alias("genre"),
+        unknown.alias("track_category"), unknown.alias("chord_progression"),
+        unknown.alias("rhythm"),
+    )
+    return segment_examples(cut_segments(chunk_rows, profile), known, profile)
+
+
+def tagged_examples(
+    note_rows: DataFrame,
+    tempo: DataFrame,
+    ends: DataFrame,
+    header: DataFrame,
+    genres: DataFrame,
+    chord_info: DataFrame,
+    profile: Profile = TAGGED,
+) -> DataFrame:
+    """Examples of a chunked corpus with chord tracks, a genre table and a chord table.
+
+    ``header`` is (file_id, stem, audio_key, time_signature), ``genres`` (name,
+    genre, name_order), ``chord_info`` (filename, chord_progression,
+    chord_progression_hash). Files without a genre drop out.
+    """
+    facts = cut_lineage(file_facts(tempo, ends, header))
+    chunk_rows = cut_lineage(chunk_notes(note_rows, facts, profile))
+    chord_notes = note_rows.where(F.col("track_name") == dims.CHORD_TRACK)
+    chords = cut_lineage(chunk_chords(chunk_rows, chord_notes))
+    segments = cut_lineage(cut_segments(chunk_rows, profile, chords))
+
+    named = catalog.genre_by_prefix(facts.select("file_id", "stem"), genres).drop("name")
+    sung = catalog.chord_info_join(named, chord_info)
+    channel = segments.groupBy("file_id", "track_idx").agg(
+        F.min_by("channel", "note_idx").alias("channel")
+    )
+    known = facts.select("file_id", "bpm", "audio_key", "time_signature").join(
+        sung.select(
+            "file_id", "genre", "chord_progression",
+            F.col("chord_progression_hash").alias("chord_hash"),
+        ),
+        "file_id",
+    )
+    known = channel.join(known, "file_id").select(
+        "*", dims.lookup(dims.CHANNEL_CATEGORIES, F.col("channel")).alias("track_category"),
+        F.lit(None).cast("string").alias("rhythm"),
+    ).drop("channel")
+    return segment_examples(segments, known, profile)
 
 
 def catalog_examples(
