@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import joined, register
-from scorelake import dims
 from scorelake.functions import arrays as a
 from scorelake.operators import examples as ex
 from scorelake.operators import noise, retrieval

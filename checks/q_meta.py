@@ -458,13 +458,13 @@ def _(t):
 
 @register(
     "unique_meta_message", "file_id:l value:l",
-    """WITH m AS (SELECT file_id, bpm // 20 AS value, lag(bpm // 20) OVER (PARTITION BY file_id
+    """WITH m AS (SELECT file_id, bpm // 60 AS value, lag(bpm // 60) OVER (PARTITION BY file_id
          ORDER BY seq) AS pv FROM v_tempo)
        SELECT file_id, min(value) AS value FROM m WHERE pv IS NULL OR pv <> value
        GROUP BY file_id HAVING count(DISTINCT value) = 1""",
 )
 def _(t):
-    rows = t.tempo.selectExpr("file_id", "seq", "'set_tempo' as type", "bpm div 20 as value")
+    rows = t.tempo.selectExpr("file_id", "seq", "'set_tempo' as type", "bpm div 60 as value")
     return meta.unique_meta_message(rows, "set_tempo")
 
 

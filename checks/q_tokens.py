@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.q_chords import CHANGES, EIGHTHS, PLACED, SEGMENTS, eighths
+from checks.q_chords import PLACED, SEGMENTS, eighths
 from checks.q_meta import sql_map
 from checks.registry import joined, register
 from scorelake import dims

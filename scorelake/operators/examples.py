@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate, repeat, takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,14 +149,12 @@ def batching_scheme(
     """Length boundaries and the batch size of each length bucket."""
     if step <= 1.0:
         raise ValueError("step must be greater than 1")
-    bounds, x = [], first
-    while x < max_length:
-        bounds.append(x)
-        x = max(x + 1, int(x * step))
-    sizes = [max(1, tokens_per_batch // n) for n in [*bounds, max_length]]
-    window = max(w for w in dims.BATCH_WINDOWS if w <= 3 * max(sizes))
-    divisors = [d for d in range(1, window + 1) if window % d == 0]
-    return bounds, [max(d for d in divisors if d <= n) for n in sizes]
+    grow = accumulate(repeat(step), lambda n, by: max(n + 1, int(n * by)), initial=first)
+    bounds = list(takewhile(lambda n: n < max_length, grow))
+    fits = [max(1, tokens_per_batch // longest) for longest in [*bounds, max_length]]
+    window = max(w for w in dims.BATCH_WINDOWS if w <= 3 * max(fits))
+    # the largest batch size that fits and divides the window
+    return bounds, [next(d for d in range(n, 0, -1) if window % d == 0) for n in fits]
 
 
 def bucket_by_length(
