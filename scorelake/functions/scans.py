@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.session import cut_lineage
+
 ROWS_PER_BLOCK = 50_000
 TICKS_PER_BLOCK = 480 * 4 * 64
 STEPS_PER_BLOCK = 100 * 60
@@ -62,15 +64,30 @@ def _merge(kind: str, before: Column, here: Column) -> Column:
     return {"max": F.greatest, "min": F.least}[kind](before, here)
 
 
+def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``__range``: blocks of about equal size along (keys, order).
+
+    For data where even one tick or time bucket of a key may hold a large share of
+    the rows. The bounds are sampled, so the result is pinned in the checkpoint
+    folder before it is read twice.
+    """
+    # a stated number keeps adaptive execution from merging the blocks again
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *keys, *order)
+    return cut_lineage(cut.withColumn("__range", F.spark_partition_id().cast("bigint")))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    block: Column | None,
     order: Sequence[str],
     specs: dict[str, Running],
 ) -> DataFrame:
     """Add running aggregates per key, first inside blocks, then across them.
 
+    ``block`` must not decrease along the order; None asks for ``range_blocks``.
+
     The input is read twice (summaries and rows), so a costly input should be
     behind ``cut_lineage``; bounded keys take one plain window instead.
     """
@@ -82,6 +99,9 @@ def running(
             value = _over(s.kind, s.expr, whole.rowsBetween(Window.unboundedPreceding, end))
             plain[n] = F.coalesce(value, F.lit(0)) if s.kind == "sum" else value
         return df.withColumns(plain).select(*[c for c in df.columns if c not in specs], *specs)
+    columns = df.columns
+    if block is None:
+        df, block = range_blocks(df, keys, order), F.col("__range")
     keyed = df.withColumn(_BLOCK, block)
     at = [*keys, _BLOCK]
     order_cols = [F.col(c) for c in order]
@@ -106,13 +126,13 @@ def running(
     out = out.withColumns(
         {n: _merge(s.kind, F.col(f"__c_{n}"), F.col(f"__h_{n}")) for n, s in specs.items()}
     )
-    return out.select(*[c for c in df.columns if c not in specs], *specs)
+    return out.select(*[c for c in columns if c not in specs], *specs)
 
 
 def ordinal(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
+    block: Column | None,
     order: Sequence[str],
     name: str,
     start: int = 0,

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.scalars import idiv
-from scorelake.functions.scans import STEPS_PER_BLOCK, TICKS_PER_BLOCK, index_block
+from scorelake.functions.scans import (
+    STEPS_PER_BLOCK,
+    TICKS_PER_BLOCK,
+    index_block,
+    range_blocks,
+)
 
 
 def time_bin(tick: Column, bpm: Column, per_second: int = 10, resolution: int = 480) -> Column:
@@ -23,7 +28,7 @@ def chunk_by_silence(
     longest_space: int = 2,
     min_seconds: int = 8,
     compat: bool = False,
-    block: int = STEPS_PER_BLOCK,
+    block: int | None = STEPS_PER_BLOCK,
 ) -> DataFrame:
     """Notes of chunks that last long enough, with the chunk's index and extent.
 
@@ -32,13 +37,18 @@ def chunk_by_silence(
     the last note of a key's last chunk, as upstream did.
 
     Islands of sound are found inside blocks of bins first. Only islands, not
-    notes, then meet per key to be joined across block borders.
+    notes, then meet per key to be joined across block borders. ``block`` is in
+    bins; None cuts blocks of equal size instead, for keys with very full bins.
     """
-    keys = list(keys)
+    keys, columns = list(keys), notes.columns
     gap, shortest = per_second * longest_space, per_second * min_seconds
     at = [*keys, "__b"]
     inside = Window.partitionBy(*at).orderBy("start_bin", "note_idx")
-    blocked = notes.withColumn("__b", index_block("start_bin", block))
+    if block is None:
+        notes = range_blocks(notes, keys, ["start_bin", "note_idx"])
+        blocked = notes.withColumnRenamed("__range", "__b")
+    else:
+        blocked = notes.withColumn("__b", index_block("start_bin", block))
     blocked = blocked.withColumn("__prev", F.max("end_bin").over(_before(inside)))
     blocked = blocked.withColumn("__isle", F.sum(_opens("start_bin", gap)).over(_upto(inside)))
     blocked = blocked.drop("__prev")
@@ -69,7 +79,7 @@ def chunk_by_silence(
     )
     if compat:
         out = out.where(F.struct("start_bin", "note_idx") != F.col("__last"))
-    return out.select(*notes.columns, "chunk_idx", *extent)
+    return out.select(*columns, "chunk_idx", *extent)
 
 
 def _before(window: Window) -> Window:

@@ -37,12 +37,15 @@ BAR = dims.bar_ids()
 COMPOUND = dims.compound_ids()
 
 
-def order_notes(notes: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """Index of each note by (start, pitch, list order)."""
-    return ordinal(
-        notes, list(keys), index_block("start_tick", TICKS_PER_BLOCK),
-        ["start_tick", "pitch", "note_idx"], "note_ord",
-    )
+def order_notes(
+    notes: DataFrame, keys: Sequence[str] = ("file_id",), balanced: bool = False
+) -> DataFrame:
+    """Index of each note by (start, pitch, list order).
+
+    ``balanced`` splits a key by row count instead of by ticks.
+    """
+    block = None if balanced else index_block("start_tick", TICKS_PER_BLOCK)
+    return ordinal(notes, list(keys), block, ["start_tick", "pitch", "note_idx"], "note_ord")
 
 
 def pack_tokens(
@@ -112,16 +115,23 @@ def performance_events(
 
 
 def order_performance_events(
-    notes: DataFrame, cc: DataFrame | None = None, keys: Sequence[str] = ("file_id",)
+    notes: DataFrame,
+    cc: DataFrame | None = None,
+    keys: Sequence[str] = ("file_id",),
+    balanced: bool = False,
 ) -> DataFrame:
-    """Events in playing order: ``ord`` from 0, the step before, the velocity bin before."""
+    """Events in playing order: ``ord`` from 0, the step before, the velocity bin before.
+
+    ``balanced`` splits a key by row count instead of by steps.
+    """
     events = performance_events(notes, cc, keys)
     # controllers of one kind follow their time, notes their (start, pitch, list order)
     pitch = F.when(F.col("is_note") == 1, F.col("value")).otherwise(0)
     events = events.withColumn("by_pitch", pitch)
     order = ["step", "is_note", "tick", "by_pitch", "seq", "prio"]
+    block = None if balanced else index_block("step", STEPS_PER_BLOCK)
     out = running(
-        events, list(keys), index_block("step", STEPS_PER_BLOCK), order,
+        events, list(keys), block, order,
         {
             "ord": Running("sum", F.lit(1), upto=False),
             "prev_step": Running("last", F.col("step"), upto=False),
@@ -164,11 +174,14 @@ def velocity_changes(events: DataFrame, keys: Sequence[str] = ("file_id",)) -> D
 
 
 def performance_encode(
-    notes: DataFrame, cc: DataFrame | None = None, keys: Sequence[str] = ("file_id",)
+    notes: DataFrame,
+    cc: DataFrame | None = None,
+    keys: Sequence[str] = ("file_id",),
+    balanced: bool = False,
 ) -> DataFrame:
     """Performance tokens (ord, sub, token) with a final end token per key."""
     keys = list(keys)
-    rows = order_performance_events(notes, cc, keys)
+    rows = order_performance_events(notes, cc, keys, balanced)
     shifts = F.transform(_shift_values(_gap()), lambda x: x + OFFSETS["time_shift"])
     none = F.array().cast("array<bigint>")
     velocity = F.when(

@@ -10,6 +10,7 @@ from scorelake.functions.scans import (
     index_block,
     near,
     ordinal,
+    range_blocks,
     running,
     spread_join,
 )
@@ -69,6 +70,40 @@ def test_hot_key_is_split(hot):
     assert sizes.agg(F.max("count")).first()[0] == 100
 
 
+def test_range_blocks_split_one_full_tick(spark):
+    """A third of all rows on one tick of one file still spreads over many blocks."""
+    df = spark.range(9000).selectExpr(
+        "if(id % 3 = 0, 0, 1 + id % 50) as file_id", "if(id % 3 = 0, 0, id) as start_tick",
+        "cast(60 as int) as pitch", "id as note_idx",
+    ).repartition(6)
+    cut = range_blocks(df, ["file_id"], ["start_tick", "pitch", "note_idx"])
+    sizes = cut.where("file_id = 0").groupBy("__range").count()
+    assert sizes.count() > 1 and sizes.agg(F.max("count")).first()[0] < 3000
+    got = tokens.order_notes(df, balanced=True)
+    assert got.columns == [*df.columns, "note_ord"]
+    assert rows(got, "note_idx", "note_ord") == rows(
+        tokens.order_notes(df), "note_idx", "note_ord"
+    )
+
+
+def test_balanced_operators(tables):
+    df = tables.notes_sparse.withColumns(
+        {
+            "start_bin": chunks.time_bin(F.col("start_tick"), F.col("bpm")),
+            "end_bin": chunks.time_bin(F.col("end_tick"), F.col("bpm")),
+        }
+    )
+    columns = ("file_id", "note_idx", "chunk_idx", "chunk_first", "chunk_last", "chunk_start")
+    assert rows(chunks.chunk_by_silence(df, block=None), *columns) == rows(
+        chunks.chunk_by_silence(df), *columns
+    )
+    stepped = tokens.note_steps(tables.notes_dense)
+    columns = ("file_id", "ord", "sub", "token")
+    assert rows(tokens.performance_encode(stepped, balanced=True), *columns) == rows(
+        tokens.performance_encode(stepped), *columns
+    )
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_spread_join(spark, hot, how):
     small = spark.range(0, 60, 2).selectExpr("id as file_id", "id * 10 as x")
