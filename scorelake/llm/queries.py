@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import decontam, exactdedup, simhash
+from scorelake.llm import decontam, exactdedup, langid, licenses, packing, simhash, tokenfiles
+from scorelake.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +35,39 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_table(spark, sf_dir, "documents")).drop("known")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    tokenfiles.write(_table(spark, sf_dir, "documents"), path)
+    rows = tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", "ids")
+    return tokenfiles.with_checksums(rows)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
+    "op6_licenses": op6_licenses,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_files": op9_token_files,
+    "op10_packing": op10_packing,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -66,6 +92,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op6_licenses": licenses.oracle(),
     "op8_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents),
 g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
