@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import decontam, exactdedup, langid, licenses, packing, simhash, tokenfiles
+from scorelake.llm import (
+    decontam,
+    exactdedup,
+    langid,
+    licenses,
+    linededup,
+    mainhtml,
+    packing,
+    simhash,
+    suffixdedup,
+    tokenfiles,
+)
 from scorelake.llm.common import shared_folder
 
 
@@ -41,10 +52,24 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return mainhtml.extract(pages, mainhtml.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_table(spark, sf_dir, "documents")).drop("known")
 
@@ -64,7 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_main_text": op5_main_text,
     "op6_licenses": op6_licenses,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
@@ -92,6 +120,7 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op4_line_dedup": linededup.oracle(),
     "op6_licenses": licenses.oracle(),
     "op8_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents),
