@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Bound on the marked pages that the weights are learned from.
 SAMPLE_PAGES = 2000
 #: Bounds of the weights, and the weights of what marked pages never show.
-MOST, UNSEEN_WORD, UNSEEN_TAG = 6.0, 1.0, -1.0
+MOST, UNSEEN_WORD, UNSEEN_TAG = 6.0, 1.0, -0.1
 
 #: Fixed values of HTML: elements that start a new block.
 BLOCKS = frozenset(
