@@ -242,8 +242,8 @@ SEMITONE = sql_map(dims.ROOT_SEMITONES)
           ['d', 'bb', 'b'][file_id % 3 + 1] AS n FROM v_progressions)
         SELECT file_id, array_to_string(list_transform(progression, lambda c:
           ['a','bb','b','c','db','d','eb','e','f','gb','g','ab'][
-            ({SEMITONE}[lower(regexp_extract(c, '[A-Z,#b]+'))] + {SEMITONE}[n] - {SEMITONE}[o] + 24)
-            % 12 + 1] || regexp_replace(c, '[A-Z,#b]+', '')), ',') AS transposed FROM k""",
+            ({SEMITONE}[lower(regexp_extract(c, '^[A-G][#b]?'))] + {SEMITONE}[n] - {SEMITONE}[o] + 24)
+            % 12 + 1] || regexp_replace(c, '^[A-G][#b]?', '')), ',') AS transposed FROM k""",
 )
 def _(t):
     origin = F.array(*[F.lit(x) for x in ("a", "c", "eb", "g#", "f")])

@@ -342,8 +342,8 @@ def _(t):
 
 
 SHIFTED = f"""list_transform([chord], lambda c: ['a','bb','b','c','db','d','eb','e','f','gb','g','ab'][
-    ({sql_map(dims.ROOT_SEMITONES)}[lower(regexp_extract(c, '[A-Z,#b]+'))] + 12 + file_id % 7) % 12
-    + 1] || regexp_replace(c, '[A-Z,#b]+', ''))[1]"""
+    ({sql_map(dims.ROOT_SEMITONES)}[lower(regexp_extract(c, '^[A-G][#b]?'))] + 12 + file_id % 7) % 12
+    + 1] || regexp_replace(c, '^[A-G][#b]?', ''))[1]"""
 
 
 @register(

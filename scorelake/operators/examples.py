@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import accumulate, repeat, takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,21 +139,21 @@ def rag_example(examples: DataFrame) -> DataFrame:
     return examples.withColumn("input_ids", F.concat(sos, "meta", sos, "note_seq"))
 
 
-def batching_scheme(
-    max_length: int,
-    tokens_per_batch: int = 2048,
-    first: int = 8,
-    step: float = 1.5,
+def length_buckets(
+    max_length: int, tokens_per_batch: int = 2048, first: int = 8
 ) -> tuple[list[int], list[int]]:
-    """Length boundaries and the batch size of each length bucket."""
-    if step <= 1.0:
-        raise ValueError("step must be greater than 1")
-    grow = accumulate(repeat(step), lambda n, by: max(n + 1, int(n * by)), initial=first)
-    bounds = list(takewhile(lambda n: n < max_length, grow))
-    fits = [max(1, tokens_per_batch // longest) for longest in [*bounds, max_length]]
-    window = max(w for w in dims.BATCH_WINDOWS if w <= 3 * max(fits))
-    # the largest batch size that fits and divides the window
-    return bounds, [next(d for d in range(n, 0, -1) if window % d == 0) for n in fits]
+    """Least length of each bucket but the first, and the rows of a batch of each bucket.
+
+    A bucket starts at ``first``, at each doubling of it and halfway between two doublings,
+    so padding stays below half a row. As many rows make a batch as the token budget holds
+    rows of the bucket's greatest length, at least one.
+    """
+    if first < 2:
+        raise ValueError("first must be at least 2")
+    octaves = [first << k for k in range(max_length.bit_length())]
+    bounds = sorted(n for low in octaves for n in (low, low + low // 2) if n < max_length)
+    longest = [*(n - 1 for n in bounds), max_length]
+    return bounds, [max(1, tokens_per_batch // n) for n in longest]
 
 
 def bucket_by_length(
@@ -166,7 +165,7 @@ def bucket_by_length(
     **batching,
 ) -> DataFrame:
     """Batches of rows of similar length, padded per batch."""
-    bounds, sizes = batching_scheme(max_length, tokens_per_batch)
+    bounds, sizes = length_buckets(max_length, tokens_per_batch)
     number = F.lit(0)
     for b in bounds:
         number = number + (F.size(column) >= b).cast("int")

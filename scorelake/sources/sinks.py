@@ -20,7 +20,7 @@ def sharded(df: DataFrame, ids: list[str], max_keep: int, seed: int = 0) -> Data
 def sharded_write(df: DataFrame, path: str, ids: list[str], max_keep: int) -> None:
     """One folder per shard, named 0000, 0001, ..."""
     out = sharded(df, ids, max_keep)
-    out = out.withColumn("shard", F.lpad(F.col("shard").cast("string"), 4, "0"))
+    out = out.withColumn("shard", F.format_string("%04d", "shard"))
     out.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 

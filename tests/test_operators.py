@@ -138,10 +138,18 @@ def test_topk_against_brute_force(spark, tables, slot_rows, block_rows):
     )
 
 
-def test_batching_scheme():
-    bounds, sizes = examples.batching_scheme(64, 256)
-    assert bounds == [8, 12, 18, 27, 40, 60]
-    assert sizes == [30, 20, 12, 6, 6, 4, 4]
+def test_length_buckets():
+    bounds, sizes = examples.length_buckets(64, 256)
+    assert bounds == [8, 12, 16, 24, 32, 48]
+    assert sizes == [36, 23, 17, 11, 8, 5, 4]
+    assert examples.length_buckets(8, 4) == ([], [1])
+
+
+def test_shard_names_beyond_four_digits(spark, tmp_path):
+    rows = spark.range(10_050)
+    sinks.sharded_write(rows, str(tmp_path / "out"), ["id"], 1)
+    names = {p.name for p in (tmp_path / "out").glob("shard=*")}
+    assert len(names) == 10_050 and {"shard=0000", "shard=10049"} <= names
 
 
 def test_three_way_split(tables):
