@@ -17,10 +17,15 @@ def sharded(df: DataFrame, ids: list[str], max_keep: int, seed: int = 0) -> Data
     return ranked.withColumn("shard", idiv(F.col("__rank") - 1, max_keep)).drop("__rank")
 
 
+def shard_name(shard: Column) -> Column:
+    """Folder name of a shard: four digits, more where the number has more."""
+    return F.format_string("%04d", shard)
+
+
 def sharded_write(df: DataFrame, path: str, ids: list[str], max_keep: int) -> None:
     """One folder per shard, named 0000, 0001, ..."""
     out = sharded(df, ids, max_keep)
-    out = out.withColumn("shard", F.format_string("%04d", "shard"))
+    out = out.withColumn("shard", shard_name(F.col("shard")))
     out.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
