@@ -2,7 +2,8 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; the caller writes its result as Parquet
 and reads it back as the next stage's documents. All but the last keep the columns of
-``documents``. Documents are named by doc_id; rows that repeat a doc_id share its fate.
+``documents``. Each row is judged by itself: rows that repeat a doc_id, or have none, are
+told apart by their place in the stage's input.
 """
 
 from __future__ import annotations
@@ -14,31 +15,59 @@ from scorelake.llm import decontam, exactdedup, langid, packing, simhash
 from scorelake.llm.common import stored
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose doc_id is among ``verdicts``, with their columns in order."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+#: Column that tells the rows of a stage's input apart.
+ROW = "_row"
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text of each row, and the whole row (fields by place) as the key that operators hand on."""
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(F.struct(*fields).alias(ROW), "text")
+
+
+def _unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that were carried, with the columns of ``docs``."""
+    return found.select(*(F.col(f"{ROW}.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number each, written so that every reader sees the same numbers."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _winners(rows: DataFrame, groups: DataFrame, group: str, largest: bool) -> DataFrame:
+    """One row per group: the largest or smallest doc_id, the first of rows that share it; a null id loses to others."""
+    known = F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull()
+    number = -F.col(ROW) if largest else F.col(ROW)
+    place = F.struct(known.alias("known"), F.col("doc_id").alias("id"), number.alias("number"))
+    named = groups.select(ROW, group).join(rows.select(ROW, "doc_id"), ROW)
+    best = named.groupBy(group).agg((F.max(place) if largest else F.min(place)).alias("best"))
+    won = best.select(F.abs("best.number").alias(ROW))
+    return rows.join(won, ROW, "left_semi").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was found; text without letters goes."""
-    found = langid.predict(docs, langid.train(docs))
-    return _keep(docs, found.where(F.col("lang_pred") != langid.UNKNOWN))
+    found = langid.predict(_carried(docs), langid.train(docs), key=ROW)
+    return _unpacked(found.where(F.col("lang_pred") != langid.UNKNOWN), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the largest doc_id."""
-    return _keep(docs, exactdedup.dedup(docs).where("kept"))
+    """One row of each group of equal texts: the largest doc_id, a null one only where there is no other."""
+    rows = _numbered(docs)
+    return _winners(rows, exactdedup.dedup(rows, key=ROW), "keep_id", largest=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest doc_id."""
-    return _keep(docs, simhash.near_groups(docs).where(F.col("doc_id") == F.col("component")))
+    """One row of each near-duplicate group: the smallest doc_id, a null one only where there is no other."""
+    rows = _numbered(docs)
+    return _winners(rows, simhash.near_groups(rows, key=ROW), "component", largest=False)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark passages."""
-    found = decontam.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keep(docs, found.where(~decontam.contaminated()))
+    found = decontam.overlaps(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW)
+    return _unpacked(found.where(~decontam.contaminated()), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
