@@ -37,7 +37,8 @@ ASIDE = frozenset(
     "applet aside audio button canvas datalist dialog footer form frameset head iframe input menu nav noscript object "
     "option select svg textarea title video".split()
 )
-#: Words in class, id and role that mark what is not the article.
+#: Whole class and role tokens that mark what is not the article. As a part of a longer token, or in an id (often a
+#: slug of a title), they only make a place doubtful: its words and tags have learned weights of their own.
 ASIDE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising advertisements adsense adbox banner bar breadcrumb breadcrumbs byline "
     "comment comments commentlist consent cookie cookies copyright disqus footer gdpr header legal login masthead menu "
@@ -55,24 +56,34 @@ _HOLDERS = frozenset("ul ol dl table div section article main body nav aside foo
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|iframe|xmp|svg(?!(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>))\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ARTICLE = re.compile(r"<(article|main)\b", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+")
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+#: How sure it is that a place is not the article: no sign, a doubtful name, an element or name that says so.
+PLAIN, DOUBTFUL, SET_ASIDE = 0, 1, 2
+
+
+def _level(tag: str, attributes: str) -> int:
     if tag in ASIDE:
-        return True
+        return SET_ASIDE
     if "=" not in attributes or tag in ("html", "body"):
-        return False
-    named = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
+        return PLAIN
     listed = COMMENT_NAMES if tag in NEVER_ASIDE else ASIDE_NAMES
-    return not listed.isdisjoint(_NAME_WORDS.findall(named))
+    level = PLAIN
+    for name, a, b, c in _NAMES.findall(attributes):
+        value = (a or b or c).lower()
+        if name.lower() != "id" and not listed.isdisjoint(value.split()):
+            return SET_ASIDE
+        if not listed.isdisjoint(_NAME_WORDS.findall(value)):
+            level = DOUBTFUL
+    return level if tag in BLOCKS else PLAIN  # a doubtful name splits no line
 
 
 @dataclass
@@ -80,7 +91,7 @@ class Block:
     """A block's text, the parts of its words' weight, and the tags right before it."""
 
     kind: str
-    aside: bool
+    level: int
     marked: bool
     tags: list[str]
     parts: list[str]
@@ -94,14 +105,17 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; tags are kept with the block that follows them or holds them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, aside, marked
-    now = Block("text", False, False, [], [])
+    stack: list[tuple[str, int, bool]] = []  # tag, level, marked
+    now = Block("text", PLAIN, False, [], [])
+
+    def level_of() -> int:
+        return max((level for _, level, _ in stack), default=PLAIN)
 
-    def state() -> tuple[str, bool, bool]:
+    def state() -> tuple[str, int, bool]:
         kind = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "text")
         if any(t == "a" for t, _, _ in stack):
             kind = "link"
-        return kind, any(a for _, a, _ in stack), any(m for _, _, m in stack)
+        return kind, level_of(), any(m for _, _, m in stack)
 
     def close_until(at: int) -> None:
         del stack[at:]
@@ -116,8 +130,8 @@ def blocks(page: str) -> list[Block]:
         if token[0] != "<" or token == "<":
             decoded = html.unescape(token) if "&" in token else token
             if now.words == 0 and not now.parts:
-                now.kind, now.aside, now.marked = state()
-            elif state()[1] != now.aside:
+                now.kind, now.level, now.marked = state()
+            elif level_of() != now.level:
                 fresh()
             now.parts.append(decoded)
             now.words += len(decoded.split())
@@ -127,7 +141,7 @@ def blocks(page: str) -> list[Block]:
             if token.startswith("<![CDATA["):
                 continue
             if raw:
-                now.tags.append(f"{raw.lower()}|{state()[1]:d}")
+                now.tags.append(f"{raw.lower()}|{level_of()}")
             continue
         slash, tag, attributes = match.group(2, 3, 4) if match.group(3) else match.group(5, 6, 7)
         tag = tag.lower()
@@ -135,11 +149,11 @@ def blocks(page: str) -> list[Block]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag in BLOCKS:
                 fresh()
-            now.tags.append(f"{tag}|{any(a for _, a, _ in stack):d}")
+            now.tags.append(f"{tag}|{level_of()}")
             if at is not None:
-                was = state()[1]
+                was = level_of()
                 close_until(at)
-                if tag not in BLOCKS and was != state()[1]:
+                if tag not in BLOCKS and was != level_of():
                     fresh()
             continue
         if tag in BLOCKS:
@@ -155,22 +169,22 @@ def blocks(page: str) -> list[Block]:
                     break
             fresh()
         inside = any(m for _, _, m in stack)
-        aside = _is_aside(tag, attributes)
+        level = _level(tag, attributes)
         if tag == "header" and not any(t in ("article", "main") for t, _, _ in stack):
-            aside = True
+            level = SET_ASIDE
         if tag not in VOID and not attributes.rstrip().endswith("/"):
-            if aside and tag not in BLOCKS and now.parts:
+            if level and tag not in BLOCKS and now.parts:
                 fresh()
-            stack.append((tag, aside, inside or tag in ("article", "main")))
+            stack.append((tag, level, inside or tag in ("article", "main")))
         elif tag in ("br", "img", "hr"):
             now.parts.append(" ")
-        now.tags.append(f"{tag}|{any(a for _, a, _ in stack):d}")
+        now.tags.append(f"{tag}|{level_of()}")
     out.append(now)
     return [b for b in out if b.parts or b.tags]
 
 
 def _word_key(block: Block) -> str:
-    return f"{block.kind}|{block.aside:d}"
+    return f"{block.kind}|{block.level}"
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,14 +249,13 @@ def main_text(page: str | None, weights: Weights) -> str:
     owner: list[int] = []
     for i, block in enumerate(listed):
         # a word's weight is the same all over its block, so a block's words are one step of the scan
-        fallback = 0.0 if block.aside else UNSEEN_WORD
-        weight = 0.0 if block.aside else weights.get(("word", _word_key(block)), fallback)
+        weight = 0.0 if block.level == SET_ASIDE else weights.get(("word", _word_key(block)), UNSEEN_WORD)
         scores.append(sum(weights.get(("tag", t), UNSEEN_TAG) for t in block.tags))
         scores.append(weight * block.words)
         owner += [i, i]
     a, b = best_run(scores)
     chosen = sorted({i for i in owner[a:b]})
-    texts = [listed[i].text for i in chosen if not listed[i].aside]
+    texts = [listed[i].text for i in chosen if listed[i].level != SET_ASIDE]
     return "\n".join(t for t in texts if t)
 
 

@@ -44,6 +44,27 @@ def test_odd_pages(spark):
     assert mainhtml.extract(empty, mainhtml.train(empty)).count() == 0
 
 
+def test_names_inside_the_article():
+    page = (
+        "<nav>menu</nav><article><h2 id='search-for-life'>Search for life</h2><p>First text.</p>"
+        "<section id='social-history'><h3 id=legal>Legal</h3><p data-id='ad'>Second text.</p></section>"
+        "<p class='post-header big'>Third <span class='skip-link'>text</span>.</p><p class='x share'>Share this</p><div role=search>Find</div>"
+        "<svg class='a>b' viewBox=1 /><p>After the picture.</p><svg><text>drawn</text></svg><p>End.</p></article>"
+    )
+    want = "Search for life\nFirst text.\nLegal\nSecond text.\nThird text.\nAfter the picture.\nEnd."
+    assert mainhtml.main_text(page, {}) == want
+    assert mainhtml.main_text(page.replace("article>", "div>"), {}) == want
+
+
+def test_doubtful_names_are_weighed_by_what_was_learned(spark):
+    text = "<p>" + "many words of text " * 20 + "</p>"
+    page = f"<article><div class='post-header'>{text}</div></article><div class='site-footer'><ul><li>{'far away ' * 30}</li></ul></div>"
+    pages = spark.createDataFrame([(i, page) for i in range(5)], "page_id long, html string")
+    weights = mainhtml.train(pages)
+    assert weights["word", "p|1"] > 0 == weights["word", "li|1"]
+    assert mainhtml.main_text(page.replace("article>", "div>"), weights) == ("many words of text " * 20).strip()
+
+
 def test_best_run():
     assert mainhtml.best_run([-1, 2, -1, 3, -5, 3]) == (1, 4)
     assert mainhtml.best_run([-1, 0]) == (0, 0)
