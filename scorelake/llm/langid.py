@@ -31,18 +31,39 @@ _TABLE = 1 << BITS
 #: Share of a language's characters that a script must hold to be one of its scripts.
 SCRIPT_SHARE = 0.001
 
-#: First code point of ranges, and the script that begins there (0: none).
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "hangul", "kana", "han")
+#: First code point of ranges, and the script that begins there (none: no letters).
+#: Letters of rare scripts beyond these share one bit ("other"); the n-grams tell their languages apart.
 _RANGES = (
-    (0x0000, 0), (0x0041, 1), (0x005B, 0), (0x0061, 1), (0x007B, 0), (0x00AA, 1), (0x00AB, 0), (0x00B5, 1), (0x00B6, 0),
-    (0x00BA, 1), (0x00BB, 0), (0x00C0, 1), (0x00D7, 0), (0x00D8, 1), (0x00F7, 0), (0x00F8, 1), (0x02B0, 0), (0x0370, 2),
-    (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0780, 0), (0x0900, 7), (0x0E00, 8), (0x0E80, 0), (0x1100, 9),
-    (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 10), (0x3100, 0), (0x3400, 11), (0x4DC0, 0),
-    (0x4E00, 11), (0xA000, 0), (0xAC00, 9), (0xD7B0, 0), (0xF900, 11), (0xFB00, 1), (0xFB07, 0), (0x20000, 11),
-    (0x32000, 0),
+    (0x0000, "none"), (0x0041, "latin"), (0x005B, "none"), (0x0061, "latin"), (0x007B, "none"), (0x00AA, "latin"),
+    (0x00AB, "none"), (0x00B5, "latin"), (0x00B6, "none"), (0x00BA, "latin"), (0x00BB, "none"), (0x00C0, "latin"),
+    (0x00D7, "none"), (0x00D8, "latin"), (0x00F7, "none"), (0x00F8, "latin"), (0x02B0, "none"), (0x0370, "greek"),
+    (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "syriac"),
+    (0x0750, "arabic"), (0x0780, "thaana"), (0x07C0, "nko"), (0x0800, "samaritan"), (0x0840, "mandaic"),
+    (0x0860, "syriac"), (0x0870, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"),
+    (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "cherokee"),
+    (0x1400, "canadian"), (0x1680, "ogham"), (0x16A0, "runic"), (0x1700, "philippine"), (0x1780, "khmer"),
+    (0x1800, "mongolian"), (0x18B0, "canadian"), (0x1900, "limbu"), (0x1950, "tai"), (0x19E0, "khmer"),
+    (0x1A00, "buginese"), (0x1A20, "tai"), (0x1AB0, "none"), (0x1B00, "balinese"), (0x1B80, "sundanese"),
+    (0x1BC0, "batak"), (0x1C00, "lepcha"), (0x1C50, "olchiki"), (0x1C80, "cyrillic"), (0x1C90, "georgian"),
+    (0x1CC0, "sundanese"), (0x1CD0, "indic"), (0x1D00, "latin"), (0x1DC0, "none"), (0x1E00, "latin"), (0x1F00, "greek"),
+    (0x2000, "none"), (0x2C00, "glagolitic"), (0x2C60, "latin"), (0x2C80, "coptic"), (0x2D00, "georgian"),
+    (0x2D30, "tifinagh"), (0x2D80, "ethiopic"), (0x2DE0, "cyrillic"), (0x2E00, "none"), (0x3005, "han"),
+    (0x3008, "none"), (0x3040, "kana"), (0x3100, "bopomofo"), (0x3130, "hangul"), (0x3190, "none"),
+    (0x31A0, "bopomofo"), (0x31C0, "none"), (0x31F0, "kana"), (0x3200, "none"), (0x3400, "han"), (0x4DC0, "none"),
+    (0x4E00, "han"), (0xA000, "yi"), (0xA4D0, "lisu"), (0xA500, "vai"), (0xA640, "cyrillic"), (0xA6A0, "bamum"),
+    (0xA700, "none"), (0xA722, "latin"), (0xA800, "indic"), (0xA840, "other"), (0xA8E0, "indic"), (0xA900, "other"),
+    (0xA960, "hangul"), (0xA980, "javanese"), (0xA9E0, "myanmar"), (0xAA00, "cham"), (0xAA60, "myanmar"),
+    (0xAA80, "tai"), (0xAAE0, "meetei"), (0xAB00, "ethiopic"), (0xAB30, "latin"), (0xAB70, "cherokee"),
+    (0xABC0, "meetei"), (0xAC00, "hangul"), (0xD800, "none"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "none"),
+    (0xFB13, "armenian"), (0xFB18, "none"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "none"),
+    (0xFE70, "arabic"), (0xFEFF, "none"), (0xFF21, "latin"), (0xFF3B, "none"), (0xFF41, "latin"), (0xFF5B, "none"),
+    (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "none"), (0x10000, "other"), (0x10100, "none"), (0x10280, "other"), (0x1B000, "kana"), (0x1B170, "other"),
+    (0x1BCA0, "none"), (0x1DF00, "latin"), (0x1E000, "other"), (0x1E7E0, "ethiopic"), (0x1E800, "other"),
+    (0x1EC00, "none"), (0x1EE00, "arabic"), (0x1EF00, "none"), (0x20000, "han"), (0x32400, "none"),
 )
+SCRIPTS = tuple(dict.fromkeys(name for _, name in _RANGES))  # at most 63: one bit each
 _STARTS = np.array([r[0] for r in _RANGES])
-_KINDS = np.array([r[1] for r in _RANGES])
+_KINDS = np.array([SCRIPTS.index(r[1]) for r in _RANGES])
 
 #: Letters and bytes above ASCII; marks above ASCII are told from letters by script.
 LETTERS = word_table({*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)})
@@ -165,7 +186,7 @@ def word_scores(words: Words, model: Model) -> np.ndarray:
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word. All texts step forward together, the longest ones last."""
     counts = np.diff(first)
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     if not len(scores):
         return labels
     order = np.argsort(-counts, kind="stable")
@@ -187,7 +208,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         stay = best >= bar[:, None]
         best = np.maximum(best, bar[:, None]) + scores[begin[:n] + step]
         stays.append(stay)
-        tops.append(top.astype(np.int8))
+        tops.append(top.astype(np.int32))
     labels[begin[: len(best)] + steps - 1] = best.argmax(axis=1)
     for step in range(steps - 1, 0, -1):
         n = active[step]
@@ -200,6 +221,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 def _predicted(model: Model, switch: float, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array([*model.langs, UNKNOWN], object)
+        used = np.bitwise_or.reduce(np.array([0, *model.scripts], np.int64))
         for batch in slices(batches, "text"):
             words = Words(*raw_bytes(batch.column("text")), LETTERS)
             count, n = batch.num_rows, len(model.langs)
@@ -208,10 +230,12 @@ def _predicted(model: Model, switch: float, with_spans: bool):
             if n:
                 labels = viterbi(word_scores(words, model), words.first, switch)
             else:
-                labels = np.zeros(len(owner), np.int8)
-            size = np.where(word_scripts(words) != 0, size, 0)
-            weight = np.bincount(owner * max(n, 1) + labels, weights=size, minlength=count * max(n, 1)).reshape(count, -1)
-            total = weight.sum(axis=1)
+                labels = np.zeros(len(owner), np.int32)
+            masks = word_scripts(words)
+            size = np.where(masks != 0, size, 0)
+            total = np.bincount(owner, weights=size, minlength=count)
+            mine = np.where(masks & used != 0, size, 0)  # no language may claim words in scripts that none uses
+            weight = np.bincount(owner * max(n, 1) + labels, weights=mine, minlength=count * max(n, 1)).reshape(count, -1)
             pick = np.where((total > 0) & (n > 0), weight.argmax(axis=1), n)
             for row in np.flatnonzero((total == 0) & (words.counts() > 0)):  # letters outside the listed scripts
                 if n and any(c.isalpha() for c in batch.column("text")[row].as_py()):
@@ -247,7 +271,9 @@ def predict(
 ) -> DataFrame:
     """One row per input row: key, lang_pred, score, and the labelled spans if asked for.
 
-    score is the share of the text's letters (in bytes) labelled with lang_pred. Null, empty
+    score is the share of the text's letters (in bytes) labelled with lang_pred; letters in scripts
+    that no language of the model uses count for none, and a text of only such letters goes to the
+    language that sorts first, with score 0. Null, empty
     and letterless texts are ``und`` with score 0; ties go to the language that sorts first;
     a model without languages answers ``und``. Only key and text are read; no shuffle.
     """

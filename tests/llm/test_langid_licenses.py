@@ -29,6 +29,46 @@ def test_held_out_accuracy_and_odd_texts(spark, docs_of):
     assert langid.predict(docs_of([]), langid.train(docs_of([]))).count() == 0
 
 
+def test_scripts_beyond_the_common_ones(spark):
+    words = {
+        "ka": "ქართული ენა არის საქართველოს სახელმწიფო ენა და ძველი",
+        "am": "አማርኛ የኢትዮጵያ የሥራ ቋንቋ ነው ብዙ ሰዎች ይናገሩታል",
+        "km": "ភាសាខ្មែរ គឺជាភាសាផ្លូវការ របស់ប្រទេសកម្ពុជា និងមនុស្ស",
+        "lo": "ພາສາລາວ ແມ່ນພາສາທາງການ ຂອງປະເທດລາວ",
+        "my": "မြန်မာဘာသာ သည် မြန်မာနိုင်ငံ ရုံးသုံး ဘာသာစကား",
+        "bo": "བོད་སྐད་ ནི་ བོད་ཀྱི་ མི་རིགས་",
+        "dv": "ދިވެހި ބަހަކީ ދިވެހިރާއްޖޭގެ ރަސްމީ",
+        "en": "the language of the people is spoken here and there",
+    }
+    docs = spark.createDataFrame(
+        [(i, t, lang) for n, (lang, t) in enumerate(words.items()) for i in range(20 * n, 20 * n + 20)], "doc_id long, text string, lang string"
+    )
+    model = langid.train(docs)
+    asked = [(n, t, lang) for n, (lang, t) in enumerate(words.items())]
+    asked += [(100 + n, t + " the people", lang) for n, (lang, t) in enumerate(words.items())]
+    found = langid.predict(spark.createDataFrame(asked, docs.schema), model).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {i: lang for i, _, lang in asked}
+    assert all(r.score == 1.0 if r.doc_id < 100 else r.score > 0.5 for r in found)
+    # letters that no learned language uses speak for none
+    some = langid.train(docs.where("lang = 'en'"))
+    mixed = spark.createDataFrame([(1, words["ka"] + " the people", None), (2, words["ka"], None)], docs.schema)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(mixed, some).collect()}
+    assert got[1][0] == "en" and 0 < got[1][1] < 0.2 and got[2][1] == 0.0
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    docs = spark.createDataFrame(
+        [(8 * i + j, f"w{i:03d} ".replace("0", "o") * 5 + chr(97 + i % 26) * 4, f"l{i:03d}") for i in range(140) for j in range(2)],
+        "doc_id long, text string, lang string",
+    )
+    model = langid.train(docs)
+    assert len(model.langs) > 128
+    scores = np.zeros((6, len(model.langs)), np.float32)
+    scores[:, -1] = 50
+    assert langid.viterbi(scores, np.array([0, 6])).tolist() == [len(model.langs) - 1] * 6
+    assert langid.predict(docs, model).where("score > 0").count() == docs.count()
+
+
 def test_base_phrases_against_a_plain_scan(docs_of):
     rows = [
         (1, "The MIT License, mit license. Apache-License"),
