@@ -68,10 +68,10 @@ def first_fit(sizes: list[int], length: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def _pieces(path: str, end_id: int, length: int, groups: int, seed: int, with_ids: bool):
+def _pieces(path: str, end_id: int, length: int, groups: int, seed: int, with_ids: bool, plain_specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", ENCODE_BYTES):
-            ids = encode(path, batch.column("text"), end_id)
+            ids = encode(path, batch.column("text"), end_id, plain_specials)
             crc = [[zlib.crc32(i[a : a + length].astype("<u4").tobytes()) for a in range(0, len(i), length)] for i in ids]
             deal = [
                 zlib.crc32(f"{seed} {k} {len(i)} {c[0]}".encode()) % groups
@@ -135,6 +135,7 @@ def pack(
     group_docs: int = GROUP_DOCS,
     seed: int = 0,
     with_ids: bool = False,
+    plain_specials: bool = False,
 ) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -143,6 +144,7 @@ def pack(
     alone; rows that repeat a key are packed one by one; an empty table gives no rows; other
     columns are not read. Groups come from a hash of key and content, so they are even; only
     lengths and checksums are shuffled unless ``with_ids`` asks for the pieces' ids.
+    ``plain_specials``: strings of special tokens in a text are ordinary text.
     """
     tokenizer = tokenizer or tokenizer_file(TOKENIZER)
     rows = docs.select(F.col(key).alias("row_key"), F.col(text).alias("text"))
@@ -150,7 +152,7 @@ def pack(
     groups = max(1, round(docs.select(F.lit(1)).count() / group_docs))
     extra = ", ids array<int>" if with_ids else ""
     cut = rows.mapInArrow(
-        _pieces(tokenizer, end_id, length, groups, seed, with_ids),
+        _pieces(tokenizer, end_id, length, groups, seed, with_ids, plain_specials),
         f"row_key {kind}, deal int, doc_tokens long, crcs array<long>{extra}",
     )
     found = cut.groupBy("deal").applyInPandas(_pack_group(length, with_ids), f"row_key {kind}, {PIECES}{extra}")

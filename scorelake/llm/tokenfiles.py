@@ -38,11 +38,11 @@ WRITE_OPTIONS = {
 }
 
 
-def _encoded(path: str, end_id: int):
+def _encoded(path: str, end_id: int, plain_specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", ENCODE_BYTES):
-            ids = encode(path, batch.column("text"), end_id)
+            ids = encode(path, batch.column("text"), end_id, plain_specials)
             counts = np.array([len(i) for i in ids], np.int64)
             start = before + np.cumsum(counts) - counts
             before += int(counts.sum())
@@ -60,20 +60,27 @@ def _encoded(path: str, end_id: int):
 
 
 def write(
-    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    tokenizer: str | None = None,
+    end_id: int = END_ID,
+    key: str = "doc_id",
+    text: str = "text",
+    plain_specials: bool = False,
 ) -> None:
     """Encode each whole text, append ``end_id`` and write the files, in ascending key order.
 
     Rows are dealt by key range, so parts follow each other; equal keys lie in one part, in
     order of their texts. Null keys come first; null and empty texts are the end id alone.
     Only key and text are read. Ranges are cut before texts are encoded, once.
+    ``plain_specials``: strings of special tokens in a text are ordinary text.
     """
     tokenizer = tokenizer or tokenizer_file(TOKENIZER)
     rows = docs.select(F.col(key).alias("row_key"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["row_key"]
     schema = f"row_key {kind}, part int, start_in_part long, n_tokens long, ids array<int>"
     ranged = rows.repartitionByRange("row_key").sortWithinPartitions("row_key", "text")
-    encoded = ranged.mapInArrow(_encoded(tokenizer, end_id), schema).withColumnRenamed("row_key", key)
+    encoded = ranged.mapInArrow(_encoded(tokenizer, end_id, plain_specials), schema).withColumnRenamed("row_key", key)
     encoded.write.options(**WRITE_OPTIONS).parquet(path)
 
 

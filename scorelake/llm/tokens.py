@@ -13,20 +13,24 @@ ENCODE_BYTES = 1 << 18
 
 
 @cache
-def _load(path: str):
+def _load(path: str, plain_specials: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = plain_specials
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
 
 
-def encode(path: str, texts: pa.Array, end_id: int) -> list[np.ndarray]:
-    """Ids of each text, with ``end_id`` appended; null counts as empty."""
-    tokenizer = _load(path)
+def encode(path: str, texts: pa.Array, end_id: int, plain_specials: bool = False) -> list[np.ndarray]:
+    """Ids of each text, with ``end_id`` appended; null counts as empty.
+
+    The string of a special token in a text becomes that token, as the tokenizer's own call
+    does it, or ordinary text with ``plain_specials``.
+    """
+    tokenizer = _load(path, plain_specials)
     values = [t or "" for t in texts.to_pylist()]
     found = tokenizer.encode_batch_fast(values, add_special_tokens=False)
     return [np.array([*f.ids, end_id], np.uint32) for f in found]

@@ -29,6 +29,22 @@ def test_token_files_round_trip(spark, docs_of, tmp_path):
     assert {r.doc_id: r.ids_crc32 for r in sums} == {k: zlib.crc32(v.astype("<u4").tobytes()) for k, v in want.items()}
 
 
+def test_special_strings_as_the_tokenizer_reads_them(spark, docs_of, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a <|endoftext|> b"), (2, "<|startoftext|>c<|endoftext|>"), (3, "<s>d</s> <pad> [CLS]"), (4, "plain")]
+    want = {}
+    for name, end in ((tokenfiles.TOKENIZER, tokenfiles.END_ID), (packing.TOKENIZER, packing.END_ID)):
+        tokenizer = Tokenizer.from_file(tokenizer_file(name))
+        want[name] = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, end] for k, t in rows}
+    path = str(tmp_path / "ids")
+    tokenfiles.write(docs_of(rows), path)
+    assert {r.doc_id: r.ids for r in tokenfiles.read(spark, path).collect()} == want[tokenfiles.TOKENIZER]
+    assert {r.doc_id: r.ids for r in packing.pack(docs_of(rows), with_ids=True).collect()} == want[packing.TOKENIZER]
+    apart = {r.doc_id: r.ids for r in packing.pack(docs_of(rows), with_ids=True, plain_specials=True).collect()}
+    assert apart[4] == want[packing.TOKENIZER][4] and apart[1] != want[packing.TOKENIZER][1]
+
+
 def test_packing_is_whole(docs_of):
     want = ids_of(packing.TOKENIZER, packing.END_ID)
     found = packing.pack(docs_of(ROWS), group_docs=20, with_ids=True).collect()
