@@ -26,6 +26,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """Only the named columns, as ``alias=name``; a column that differs by letter case alone is told apart."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.select(*(F.col(f"c{df.columns.index(name)}").alias(alias) for alias, name in names.items()))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, or under the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
