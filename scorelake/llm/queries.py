@@ -15,10 +15,12 @@ from scorelake.llm import (
     linededup,
     mainhtml,
     packing,
+    ranking,
     simhash,
     spelling,
     suffixdedup,
     tokenfiles,
+    toxicity,
 )
 from scorelake.llm.common import shared_folder
 
@@ -86,10 +88,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.predict(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -101,7 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "op11_search": op11_search,
     "op12_spelling": op12_spelling,
+    "op13_toxicity": op13_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -132,4 +146,18 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS h FROM documents),
 g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)""",
+    "op11_search": f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+q AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest({_ALNUM}) AS t FROM benchmark) GROUP BY item_id, t),
+s AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d)
+       WHERE t IN (SELECT t FROM q) GROUP BY doc_id, w, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+c AS (SELECT doc_id, t, CAST(floor(1000 * ln(CAST(2 * s.N + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * tf.n * s.N) // s.L))) AS c
+      FROM tf JOIN df USING (t), s),
+sc AS (SELECT item_id, doc_id, CAST(sum(k * c) AS BIGINT) AS score FROM q JOIN c USING (t) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+      FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
