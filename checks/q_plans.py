@@ -199,8 +199,8 @@ def catalog_examples(t):
 
 GENRES = """(SELECT 'file-' || n_nationkey AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'jazz'
     ELSE 'rock' END AS genre, (n_nationkey * 7) % 25 AS name_order FROM nation)"""
-TAGGED_CHORDS = """(SELECT file_id, array_to_string(progression, ',') AS text FROM v_progressions
-    WHERE file_id % 2 = 0)"""
+TAGGED_CHORDS = """(SELECT 2 * file_id AS file_id, array_to_string(progression, ',') AS text
+    FROM v_progressions)"""
 CATEGORY = sql_map(dims.CHANNEL_CATEGORIES)
 TAGGED_BASE = WEB_SQL.split("  sp AS (")[0].split("HAVING arg_min(channel")[0] + (
     "HAVING arg_min(channel, note_idx) NOT IN (6, 9, 10, 11)),\n  timed AS (" +
@@ -277,9 +277,8 @@ def tagged_examples(t):
         "if(n_nationkey % 3 = 0, 'jazz', 'rock') as genre", "(n_nationkey * 7) % 25 as name_order",
     )
     table = sinks.chord_table(
-        t.progressions.where("file_id % 2 = 0").withColumn(
-            "filename", F.concat(F.lit("file-"), F.col("file_id"))
-        )
+        # every other file has no chords of its own
+        t.progressions.withColumn("filename", F.concat(F.lit("file-"), 2 * F.col("file_id")))
     )
     heads = t.attrs.selectExpr(
         "file_id", "concat('file-', file_id) as stem", "audio_key", "time_signature"

@@ -238,12 +238,16 @@ def _(t):
     return windows.chord_covers_window(windows.window_segments(chords, wins))
 
 
-SPANS = """(SELECT file_id, chunk_idx, min(start_tick) AS chunk_start, max(end_tick) AS chunk_end
-            FROM chunked GROUP BY ALL)"""
-FIRST_CHORD = f"""(SELECT s.file_id, s.chunk_idx, s.chunk_start, s.chunk_end, min(n.note_idx)
-      AS chord_note_idx, arg_min(n.start_tick, n.note_idx) AS chord_start
-    FROM {SPANS} s JOIN v_notes_sparse n ON n.file_id = s.file_id AND n.track_name = 'chord'
-      AND n.start_tick >= s.chunk_start AND n.end_tick <= s.chunk_end GROUP BY ALL)"""
+FIRST_CHORD = CHUNK_SQL + """,
+  spans AS MATERIALIZED (SELECT file_id, chunk_idx, min(start_tick) AS chunk_start,
+    max(end_tick) AS chunk_end FROM chunked GROUP BY file_id, chunk_idx),
+  sung AS MATERIALIZED (SELECT file_id, note_idx, start_tick, end_tick FROM v_notes_sparse
+    WHERE track_name = 'chord'),
+  first AS MATERIALIZED (SELECT file_id, chunk_idx, chunk_start, chunk_end,
+      min(note_idx) AS chord_note_idx, arg_min(start_tick, note_idx) AS chord_start
+    FROM (SELECT *, start_tick >= chunk_start AND end_tick <= chunk_end AS inside
+          FROM spans JOIN sung USING (file_id)) WHERE inside
+    GROUP BY file_id, chunk_idx, chunk_start, chunk_end)"""
 
 
 def chunk_spans(t):
@@ -255,7 +259,7 @@ def chunk_spans(t):
 @register(
     "first_chord_in_chunk",
     "file_id:l chunk_idx:l chunk_start:l chunk_end:l chord_note_idx:l chord_start:l",
-    f"WITH {CHUNK_SQL} SELECT * FROM {FIRST_CHORD}",
+    f"WITH {FIRST_CHORD} SELECT * FROM first",
 )
 def _(t):
     return chunks.first_chord_in_chunk(chunk_spans(t), t.notes_sparse.where("track_name = 'chord'"))
@@ -263,15 +267,14 @@ def _(t):
 
 @register(
     "snap_chunk_to_measures", "file_id:l chunk_idx:l note_idx:l start_tick:l end_tick:l",
-    f"""WITH {CHUNK_SQL},
+    f"""WITH {FIRST_CHORD},
         m AS (SELECT *, greatest(0, (chunk_start + 1919) // 1920 * 1920 - 1920) AS ms,
-              (chunk_start + 1919) // 1920 * 1920 AS me, (chunk_end + 1919) // 1920 * 1920 AS ee
-              FROM {FIRST_CHORD} q),
-        r AS (SELECT *, CASE WHEN ms < chord_start THEN me ELSE ms END AS lo FROM m)
-        SELECT r.file_id, r.chunk_idx, n.note_idx, n.start_tick - chord_start AS start_tick,
-          n.end_tick - chord_start AS end_tick
-        FROM r JOIN v_notes_sparse n ON n.file_id = r.file_id AND n.track_name = 'chord'
-          AND n.start_tick >= lo AND n.end_tick <= ee""",
+              (chunk_start + 1919) // 1920 * 1920 AS me, (chunk_end + 1919) // 1920 * 1920 AS ee FROM first),
+        r AS MATERIALIZED (SELECT *, CASE WHEN ms < chord_start THEN me ELSE ms END AS lo FROM m)
+        SELECT file_id, chunk_idx, note_idx, start_tick - chord_start AS start_tick,
+          end_tick - chord_start AS end_tick
+        FROM (SELECT *, start_tick >= lo AND end_tick <= ee AS inside FROM r JOIN sung USING (file_id))
+        WHERE inside""",
 )
 def _(t):
     chords = t.notes_sparse.where("track_name = 'chord'")

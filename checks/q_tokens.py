@@ -36,29 +36,24 @@ ASOF = """seg AS (SELECT file_id, seq, CAST(time_sec AS DOUBLE) AS time_sec, bpm
 @register(
     "time_to_tick", "file_id:l note_idx:l tick:l",
     f"""WITH {ASOF} SELECT p.file_id, note_idx, round_even(seg.tick + (t - time_sec) * bpm * 8, 0)
-          AS tick FROM probe p ASOF JOIN seg ON p.file_id = seg.file_id AND p.t >= seg.time_sec""",
+          AS tick FROM probe p ASOF LEFT JOIN seg ON p.file_id = seg.file_id AND p.t >= seg.time_sec""",
 )
 def _(t):
     probes = t.notes_dense.selectExpr("file_id", "note_idx", "start_tick / 64D as t")
-    return notes.time_to_tick(t.tempo, with_tempo(t, probes))
+    return notes.time_to_tick(t.tempo, probes)
 
 
 @register(
     "tick_to_time", "file_id:l note_idx:l t:d",
     f"""WITH {ASOF} SELECT p.file_id, note_idx, round(time_sec + (p.tick - seg.tick) / (bpm * 8.0), 6)
-          AS t FROM probe p ASOF JOIN seg ON p.file_id = seg.file_id AND p.tick >= seg.tick""",
+          AS t FROM probe p ASOF LEFT JOIN seg ON p.file_id = seg.file_id AND p.tick >= seg.tick""",
 )
 def _(t):
     probes = t.notes_dense.selectExpr("file_id", "note_idx", "cast(start_tick as double) as tick")
-    out = notes.tick_to_time(t.tempo, with_tempo(t, probes))
+    out = notes.tick_to_time(t.tempo, probes)
     return out.withColumn("t", F.round("t", 6))
 
 
-def with_tempo(t, probes):
-    """Probes of files that have a tempo."""
-    return probes.join(t.tempo.select("file_id").distinct(), "file_id", "left_semi")
-
-
 @register(
     "order_notes", "file_id:l note_idx:l note_ord:l",
     """SELECT file_id, note_idx, row_number() OVER (PARTITION BY file_id
@@ -448,8 +443,8 @@ def _(t):
           WHEN token < 258 THEN 'note_off_' || (token - 130) WHEN token < 358
           THEN 'time_shift_' || (token - 258) WHEN token < 422 THEN 'velocity_' || (token - 358)
           WHEN token = 422 THEN '<s>' WHEN token = 423 THEN '<mask>' END AS word
-        FROM {STREAM} WHERE token < 424""",
+        FROM {STREAM}""",
 )
 def _(t):
     vocab = dims.component_vocab(t.spark, dims.NOTE_COMPONENTS)
-    return stream(t).join(F.broadcast(vocab.withColumnRenamed("id", "token")), "token")
+    return stream(t).join(F.broadcast(vocab.withColumnRenamed("id", "token")), "token", "left")

@@ -9,8 +9,10 @@ per block meets in a single task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,23 +22,16 @@ from scorelake.session import cut_lineage
 ROWS_PER_BLOCK = 50_000
 TICKS_PER_BLOCK = 480 * 4 * 64
 STEPS_PER_BLOCK = 100 * 60
-SALTS = 16
-
-# A key naming one of these is one window or one example: few rows by construction.
-BOUNDED_KEYS = frozenset({"window_idx", "example_id"})
 
 _BLOCK = "__block"
 
 
-def bounded(keys: Sequence[str]) -> bool:
-    return not BOUNDED_KEYS.isdisjoint(keys)
-
-
 @dataclass(frozen=True)
 class Running:
     """One running aggregate: ``kind`` is sum, max, min or last (nulls skipped).
 
     ``upto=True`` includes the current row, ``upto=False`` stops before it.
+    Kinds prev and next are the value of the row before and after, null or not.
     """
 
     kind: str
@@ -45,8 +40,12 @@ class Running:
 
 
 def _fold(kind: str, expr: Column, order: Sequence[Column]) -> Column:
+    """What a block hands on to the blocks after it (before it, for next)."""
     if kind == "last":
         return F.max_by(expr, F.when(expr.isNotNull(), F.struct(*order)))
+    if kind in ("prev", "next"):
+        ends = F.max_by if kind == "prev" else F.min_by
+        return ends(F.struct(expr.alias("v")), F.struct(*order))
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](expr)
 
 
@@ -56,14 +55,100 @@ def _over(kind: str, expr: Column, window) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](expr).over(window)
 
 
+def _upto(window, upto: bool):
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow if upto else -1)
+
+
+def _inside(spec: Running, window) -> Column:
+    """A spec's value among the rows of ``window``."""
+    if spec.kind in ("prev", "next"):
+        shift = F.lag if spec.kind == "prev" else F.lead
+        return shift(F.struct(spec.expr.alias("v"))).over(window)
+    return _over(spec.kind, spec.expr, _upto(window, spec.upto))
+
+
 def _merge(kind: str, before: Column, here: Column) -> Column:
     if kind == "sum":
         return F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))
+    if kind in ("prev", "next"):
+        return F.coalesce(here, before)["v"]
     if kind == "last":
         return F.coalesce(here, before)
     return {"max": F.greatest, "min": F.least}[kind](before, here)
 
 
+def _fenced(df: DataFrame) -> DataFrame:
+    """The same rows behind a filter that names every column and always holds.
+
+    Branches that read these rows then ask for the same columns, so Spark shuffles them
+    once for all branches instead of reading the input again for each. The test of the
+    partition number is not known ahead and comes first, so nothing is hashed.
+    """
+    return df.where((F.spark_partition_id() >= 0) | (F.xxhash64(*df.columns) == 0))
+
+
+class Blocks:
+    """Rows of each key cut into blocks and shuffled once.
+
+    ``add`` brings running values, which may build on those added before, without
+    moving the rows again: per call one summary row per block is shuffled twice.
+    ``block`` must not decrease along the order; None asks for ``range_blocks``.
+    A row without a key is in no order and is left out.
+    """
+
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], block: Column | None, order: Sequence[str]
+    ) -> None:
+        self.keys, self.order = list(keys), list(order)
+        self.at = [*self.keys, _BLOCK]
+        if self.keys:
+            df = df.dropna(subset=self.keys)
+        if block is None:
+            df, block = range_blocks(df, keys, order), F.col("__range")
+        df = df.withColumn(_BLOCK, block).drop("__range")
+        self.df = _fenced(df.repartition(*self.at))
+
+    def add(self, specs: dict[str, Running]) -> Blocks:
+        """Running aggregates per key, first inside blocks, then across them."""
+        rows = self.df
+        order = [F.col(c) for c in self.order]
+        totals = rows.groupBy(*self.at).agg(
+            *[_fold(s.kind, s.expr, order).alias(f"__t_{n}") for n, s in specs.items()]
+        )
+        along = Window.partitionBy(*self.keys).orderBy(_BLOCK)
+        carry = {}
+        for n, s in specs.items():
+            total = F.col(f"__t_{n}")
+            if s.kind in ("prev", "next"):
+                carry[n] = (F.lag if s.kind == "prev" else F.lead)(total).over(along)
+            else:
+                carry[n] = _over(s.kind, total, _upto(along, False))
+        carried = totals.select(*self.at, *[c.alias(f"__c_{n}") for n, c in carry.items()])
+        # most keys have one block, and nothing to carry
+        carried = carried.where(reduce(or_, [F.col(f"__c_{n}").isNotNull() for n in specs]))
+        inside = Window.partitionBy(*self.at).orderBy(*self.order)
+        rows = rows.withColumns({f"__h_{n}": _inside(s, inside) for n, s in specs.items()})
+        # hashing the few summary rows spares a second sort of the rows
+        rows = rows.join(carried.hint("shuffle_hash"), self.at, "left")
+        rows = rows.withColumns(
+            {n: _merge(s.kind, F.col(f"__c_{n}"), F.col(f"__h_{n}")) for n, s in specs.items()}
+        )
+        rows = rows.drop(*[f"__{x}_{n}" for n in specs for x in "hc"])
+        return self._with(_fenced(rows))
+
+    def with_columns(self, columns: dict[str, Column]) -> Blocks:
+        """Columns computed from each row by itself."""
+        return self._with(self.df.withColumns(columns))
+
+    def _with(self, df: DataFrame) -> Blocks:
+        out = object.__new__(Blocks)
+        out.keys, out.order, out.at, out.df = self.keys, self.order, self.at, df
+        return out
+
+    def rows(self) -> DataFrame:
+        return self.df.drop(_BLOCK)
+
+
 def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``__range``: blocks of about equal size along (keys, order).
 
@@ -83,50 +168,21 @@ def running(
     block: Column | None,
     order: Sequence[str],
     specs: dict[str, Running],
+    whole: bool = False,
 ) -> DataFrame:
-    """Add running aggregates per key, first inside blocks, then across them.
-
-    ``block`` must not decrease along the order; None asks for ``range_blocks``.
+    """Add running aggregates per key (see ``Blocks``).
 
-    The input is read twice (summaries and rows), so a costly input should be
-    behind ``cut_lineage``; bounded keys take one plain window instead.
+    ``whole`` takes one plain window per key: for keys that name a window or an
+    example, which hold few rows by construction.
     """
-    if bounded(keys):
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        plain = {}
-        for n, s in specs.items():
-            end = Window.currentRow if s.upto else -1
-            value = _over(s.kind, s.expr, whole.rowsBetween(Window.unboundedPreceding, end))
-            plain[n] = F.coalesce(value, F.lit(0)) if s.kind == "sum" else value
-        return df.withColumns(plain).select(*[c for c in df.columns if c not in specs], *specs)
-    columns = df.columns
-    if block is None:
-        df, block = range_blocks(df, keys, order), F.col("__range")
-    keyed = df.withColumn(_BLOCK, block)
-    at = [*keys, _BLOCK]
-    order_cols = [F.col(c) for c in order]
-    totals = keyed.groupBy(*at).agg(
-        *[_fold(s.kind, s.expr, order_cols).alias(f"__t_{n}") for n, s in specs.items()]
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = totals.select(
-        *at, *[_over(s.kind, F.col(f"__t_{n}"), earlier).alias(f"__c_{n}") for n, s in specs.items()]
-    )
-    inside = Window.partitionBy(*at).orderBy(*order)
-    frames = {
-        True: inside.rowsBetween(Window.unboundedPreceding, Window.currentRow),
-        False: inside.rowsBetween(Window.unboundedPreceding, -1),
-    }
-    # one summary row per block: hashing it spares a second sort of the rows
-    out = keyed.join(carried.hint("shuffle_hash"), at)
-    here = {f"__h_{n}": _over(s.kind, s.expr, frames[s.upto]) for n, s in specs.items()}
-    out = out.withColumns(here)
-    out = out.withColumns(
-        {n: _merge(s.kind, F.col(f"__c_{n}"), F.col(f"__h_{n}")) for n, s in specs.items()}
-    )
-    return out.select(*[c for c in columns if c not in specs], *specs)
+    rest = [c for c in df.columns if c not in specs]
+    if not whole:
+        return Blocks(df, keys, block, order).add(specs).rows().select(*rest, *specs)
+    every = Window.partitionBy(*keys).orderBy(*order)
+    nothing = F.lit(None)
+    return df.withColumns(
+        {n: _merge(s.kind, _inside(s, every), nothing) for n, s in specs.items()}
+    ).select(*rest, *specs)
 
 
 def ordinal(
@@ -179,9 +235,6 @@ def near(
     size: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``column`` of the row ``offset`` places away (negative is earlier)."""
-    if bounded(keys):
-        whole = Window.partitionBy(*keys).orderBy(idx)
-        return df.withColumns({n: F.lead(c, o).over(whole) for n, (c, o) in specs.items()})
     before = max([-o for _, o in specs.values() if o < 0], default=0)
     after = max([o for _, o in specs.values() if o > 0], default=0)
     out, window, own = with_halo(df, keys, idx, before, after, size)
@@ -194,24 +247,14 @@ def index_block(idx: str, size: int = ROWS_PER_BLOCK) -> Column:
     return F.expr(f"cast(`{idx}` as bigint) div {size}")
 
 
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join many rows per key to few rows per key, each key split over ``salts``.
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join many rows per key to few rows per key, whatever share of the rows one key holds.
 
-    The right side is repeated once per salt, so a hot key on the left runs as
-    ``salts`` groups.
+    The right side has a bounded number of rows per key, so the result does not grow
+    beyond the left side. Adaptive execution broadcasts a small right side, and cuts the
+    left rows of a hot key into several tasks, each beside a copy of the key's right rows.
     """
-    rest = [c for c in left.columns if c not in on] or list(on)
-    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
-    repeated = right.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
+    return left.join(right, list(on), how)
 
 
 def hash_text(seed: int, *cols: str) -> Column:
@@ -219,6 +262,39 @@ def hash_text(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+def hash_below(
+    df: DataFrame,
+    ids: Sequence[str],
+    seed: int,
+    limit: Callable[[Column], Column],
+    digits: int = 4,
+) -> Column:
+    """Whether a row of ``df`` is among the first in hash order, ``limit`` (of the row count) of them.
+
+    Rows are counted per hash prefix (at most 16^digits groups). Of the prefix that holds the last
+    row wanted, only hashes and ids are ranked; all other rows are judged by comparison
+    with that row, so nothing wide is shuffled. ``limit`` must be at least 1; beyond the
+    row count all rows are in. Rows that share their ids are in or out together.
+    """
+    def hashed(cols: list[str]) -> DataFrame:
+        return df.select(*cols, hash_text(seed, *ids).alias("__hash"))
+
+    prefix = F.substring("__hash", 1, digits)
+    counts = hashed([]).groupBy(prefix.alias("__prefix")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("__upto", upto)
+    counts = counts.withColumn("__limit", limit(F.sum("__n").over(Window.partitionBy(F.lit(0)))))
+    rest = F.col("__limit") - F.col("__upto") + F.col("__n")
+    last = counts.where((rest > 0) & (F.col("__upto") >= F.col("__limit")))
+    last = last.select(F.struct(F.col("__prefix").alias("p"), rest.alias("r")))
+    edge = hashed(list(ids)).where(prefix == last.scalar()["p"])
+    place = F.row_number().over(Window.orderBy("__hash", *ids))
+    edge = edge.withColumn("__place", place).where(F.col("__place") == last.scalar()["r"])
+    end = edge.select(F.struct("__hash", *ids)).scalar()
+    here = F.struct(hash_text(seed, *ids).alias("__hash"), *ids)
+    return F.coalesce(here <= end, F.lit(True))
+
+
 def hash_rank(
     df: DataFrame, ids: Sequence[str], seed: int, name: str, digits: int = 4
 ) -> DataFrame:

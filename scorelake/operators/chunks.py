@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.scalars import idiv
 from scorelake.functions.scans import (
     STEPS_PER_BLOCK,
     TICKS_PER_BLOCK,
+    Blocks,
+    Running,
     index_block,
-    range_blocks,
+    spread_join,
 )
 
 
@@ -36,63 +38,30 @@ def chunk_by_silence(
     least ``longest_space`` seconds of empty bins follow. ``compat`` also loses
     the last note of a key's last chunk, as upstream did.
 
-    Islands of sound are found inside blocks of bins first. Only islands, not
-    notes, then meet per key to be joined across block borders. ``block`` is in
-    bins; None cuts blocks of equal size instead, for keys with very full bins.
+    A block of bins hands on the latest end and the number of chunks opened so far, so
+    notes of one file are worked on block by block, and only chunks meet as one row each.
+    ``block`` is in bins; None cuts blocks of equal size, for keys with very full bins.
     """
     keys, columns = list(keys), notes.columns
     gap, shortest = per_second * longest_space, per_second * min_seconds
-    at = [*keys, "__b"]
-    inside = Window.partitionBy(*at).orderBy("start_bin", "note_idx")
-    if block is None:
-        notes = range_blocks(notes, keys, ["start_bin", "note_idx"])
-        blocked = notes.withColumnRenamed("__range", "__b")
-    else:
-        blocked = notes.withColumn("__b", index_block("start_bin", block))
-    blocked = blocked.withColumn("__prev", F.max("end_bin").over(_before(inside)))
-    blocked = blocked.withColumn("__isle", F.sum(_opens("start_bin", gap)).over(_upto(inside)))
-    blocked = blocked.drop("__prev")
-
-    isles = blocked.groupBy(*at, "__isle").agg(
-        F.min("start_bin").alias("first_bin"),
-        F.max("end_bin").alias("last_bin"),
-        F.min("start_tick").alias("first_tick"),
-        F.max(F.struct("start_bin", "note_idx")).alias("__last"),
-    )
-    along = Window.partitionBy(*keys).orderBy("__b", "__isle")
-    isles = isles.withColumn("__prev", F.max("last_bin").over(_before(along)))
-    isles = isles.withColumn("__n", F.sum(_opens("first_bin", gap)).over(_upto(along)))
-    chunk = Window.partitionBy(*keys, "__n")
-    isles = isles.withColumns(
-        {
-            "chunk_first": F.min("first_bin").over(chunk),
-            "chunk_last": F.max("last_bin").over(chunk),
-            "chunk_start": F.min("first_tick").over(chunk),
-            "__last": F.max("__last").over(Window.partitionBy(*keys)),
-        }
-    )
-    kept = isles.where(F.col("chunk_last") - F.col("chunk_first") >= shortest)
-    extent = ["chunk_first", "chunk_last", "chunk_start"]
-    out = blocked.join(
-        kept.select(*at, "__isle", (F.col("__n") - 1).cast("int").alias("chunk_idx"), *extent, "__last"),
-        [*at, "__isle"],
+    order = ["start_bin", "note_idx"]
+    cut = None if block is None else index_block("start_bin", block)
+    scan = Blocks(notes, keys, cut, order)
+    scan = scan.add({"__ended": Running("max", F.col("end_bin"), upto=False)})
+    opens = F.coalesce(F.col("start_bin") - F.col("__ended") - 1 >= gap, F.lit(True))
+    rows = scan.add({"__n": Running("sum", opens.cast("int"))}).rows().drop("__ended")
+    chunk = rows.groupBy(*keys, "__n").agg(
+        F.min("start_bin").alias("chunk_first"),
+        F.max("end_bin").alias("chunk_last"),
+        F.min("start_tick").alias("chunk_start"),
     )
+    kept = chunk.where(F.col("chunk_last") - F.col("chunk_first") >= shortest)
+    out = spread_join(rows, kept, [*keys, "__n"])
     if compat:
-        out = out.where(F.struct("start_bin", "note_idx") != F.col("__last"))
-    return out.select(*columns, "chunk_idx", *extent)
-
-
-def _before(window: Window) -> Window:
-    return window.rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _upto(window: Window) -> Window:
-    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _opens(start: str, gap: int) -> Column:
-    """1 where a row starts at least ``gap`` empty bins after all rows before."""
-    return F.coalesce(F.col(start) - F.col("__prev") - 1 >= gap, F.lit(True)).cast("int")
+        last = notes.groupBy(*keys).agg(F.max(F.struct(*order)).alias("__last"))
+        out = spread_join(out, last, keys).where(F.struct(*order) != F.col("__last"))
+    extent = ["chunk_first", "chunk_last", "chunk_start"]
+    return out.select(*columns, (F.col("__n") - 1).cast("int").alias("chunk_idx"), *extent)
 
 
 def rebase(chunks: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import dims
 from scorelake.functions.scalars import grid_start
 from scorelake.functions.scans import (
     ROWS_PER_BLOCK,
+    Blocks,
     Running,
     index_block,
     near,
@@ -28,17 +29,17 @@ def tempo_segments(tempo: DataFrame, resolution: int = 480) -> DataFrame:
 
     ``tempo`` is (file_id, seq, time_sec, bpm) with a dense 0-based ``seq``.
     """
-    out = near(tempo, ["file_id"], "seq", {"t0": ("time_sec", -1), "b0": ("bpm", -1)})
-    ticks = (F.col("time_sec") - F.col("t0")) * F.col("b0") * resolution / 60
-    out = out.withColumn("step", F.coalesce(ticks, F.lit(0.0)))
-    out = running(
-        out, ["file_id"], index_block("seq"), ["seq"], {"tick": Running("sum", F.col("step"))}
+    rows = Blocks(tempo, ["file_id"], index_block("seq"), ["seq"]).add(
+        {"t0": Running("prev", F.col("time_sec")), "b0": Running("prev", F.col("bpm"))}
     )
+    ticks = (F.col("time_sec") - F.col("t0")) * F.col("b0") * resolution / 60
+    rows = rows.with_columns({"step": F.coalesce(ticks, F.lit(0.0))})
+    out = rows.add({"tick": Running("sum", F.col("step"))}).rows()
     return out.select("file_id", "seq", "time_sec", "bpm", "tick")
 
 
 def _in_force(tempo: DataFrame, probes: DataFrame, at: str, block: Column, res: int) -> DataFrame:
-    """Probe rows with the tempo segment in force, through one ordered scan."""
+    """Probe rows with the tempo segment in force (null without one), through one ordered scan."""
     seg = tempo_segments(tempo, res)
     key = "time_sec" if at == "t" else "tick"
     left = seg.select(
@@ -116,48 +117,26 @@ def matched_offs(rows: DataFrame, keys: Sequence[str], idx: str, block: int) ->
     """Number opening rows (delta 1) and matched closing rows (delta -1) per key.
 
     Adds ``ons`` (openings so far), ``offs`` (matched closings so far) and
-    ``matched``. The balance and its minimum are found inside blocks and then
-    carried over the block summaries.
+    ``matched``: a closing that takes the running balance to a new minimum has nothing open.
     """
-    at = [*keys, "__b"]
-    local = rows.withColumn("__b", index_block(idx, block))
-    inside = Window.partitionBy(*at).orderBy(idx).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    opened = (F.col("delta") == 1).cast("int")
-    closed = (F.col("delta") == -1).cast("int")
-    local = local.withColumns(
-        {"__s": F.sum("delta").over(inside), "__on": F.sum(opened).over(inside),
-         "__off": F.sum(closed).over(inside)}
-    )
-    blocks = local.groupBy(*at).agg(
-        F.sum("delta").alias("__ds"), F.min("__s").alias("__ms"),
-        F.sum(opened).alias("__don"), F.sum(closed).alias("__doff"),
+    delta = F.col("delta")
+    scan = Blocks(rows, keys, index_block(idx, block), [idx]).add(
+        {
+            "__balance": Running("sum", delta),
+            "ons": Running("sum", (delta == 1).cast("int")),
+            "__offs": Running("sum", (delta == -1).cast("int")),
+        }
     )
-    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = {
-        name: F.coalesce(F.sum(col).over(earlier), F.lit(0))
-        for name, col in (("__cs", "__ds"), ("__con", "__don"), ("__coff", "__doff"))
-    }
-    blocks = blocks.withColumns(carry)
-    low = F.min(F.col("__cs") + F.col("__ms")).over(earlier)
-    blocks = blocks.withColumn("__cm", F.least(F.lit(0), low))
-    carried = blocks.select(*at, "__cs", "__con", "__coff", "__cm")
-    out = local.join(carried.hint("shuffle_hash"), at)
-    low_here = F.min(F.col("__s") + F.col("__cs")).over(inside)
-    out = out.withColumn("__m", F.least(F.col("__cm"), low_here))
-    out = out.withColumns(
+    scan = scan.add(
         {
-            "ons": F.col("__on") + F.col("__con"),
-            "offs": F.col("__off") + F.col("__coff") + F.col("__m"),
-            "__balance": F.col("__s") + F.col("__cs"),
+            "__low": Running("min", F.col("__balance")),
+            "__low_before": Running("min", F.col("__balance"), upto=False),
         }
     )
-    before = Window.partitionBy(*at).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    low_before = F.least(F.col("__cm"), F.min("__balance").over(before))
-    fresh = (F.col("delta") == -1) & (F.col("__m") < low_before)
-    out = out.withColumn("matched", (F.col("delta") == -1) & ~fresh)
-    return out.select(*rows.columns, "ons", "offs", "matched")
+    low = F.least(F.lit(0), F.col("__low"))
+    fresh = low < F.least(F.lit(0), F.col("__low_before"))
+    out = scan.with_columns({"offs": F.col("__offs") + low, "matched": (delta == -1) & ~fresh})
+    return out.rows().select(*rows.columns, "ons", "offs", "matched")
 
 
 def exclude_keyswitch(notes: DataFrame, velocity: int | None = dims.KEYSWITCH_VELOCITY) -> DataFrame:

@@ -18,8 +18,8 @@ from scorelake.functions.scans import (
     ROWS_PER_BLOCK,
     STEPS_PER_BLOCK,
     TICKS_PER_BLOCK,
+    Blocks,
     Running,
-    bounded,
     index_block,
     near,
     ordinal,
@@ -29,7 +29,6 @@ from scorelake.functions.scans import (
 from scorelake.operators.chords import chords_to_bars, transpose_chord
 from scorelake.operators.notes import matched_offs, pair_notes_fifo
 from scorelake.operators.windows import bar_bucket
-from scorelake.session import cut_lineage
 
 END = 2**62
 OFFSETS = dims.performance_offsets()
@@ -119,10 +118,12 @@ def order_performance_events(
     cc: DataFrame | None = None,
     keys: Sequence[str] = ("file_id",),
     balanced: bool = False,
+    whole: bool = False,
 ) -> DataFrame:
     """Events in playing order: ``ord`` from 0, the step before, the velocity bin before.
 
-    ``balanced`` splits a key by row count instead of by steps.
+    ``balanced`` splits a key by row count instead of by steps; ``whole`` does not split
+    keys (windows and examples, which are short).
     """
     events = performance_events(notes, cc, keys)
     # controllers of one kind follow their time, notes their (start, pitch, list order)
@@ -137,6 +138,7 @@ def order_performance_events(
             "prev_step": Running("last", F.col("step"), upto=False),
             "prev_vbin": Running("last", F.col("vbin"), upto=False),
         },
+        whole,
     )
     return out.withColumn("ord", F.col("ord").cast("bigint"))
 
@@ -178,10 +180,11 @@ def performance_encode(
     cc: DataFrame | None = None,
     keys: Sequence[str] = ("file_id",),
     balanced: bool = False,
+    whole: bool = False,
 ) -> DataFrame:
     """Performance tokens (ord, sub, token) with a final end token per key."""
     keys = list(keys)
-    rows = order_performance_events(notes, cc, keys, balanced)
+    rows = order_performance_events(notes, cc, keys, balanced, whole)
     shifts = F.transform(_shift_values(_gap()), lambda x: x + OFFSETS["time_shift"])
     none = F.array().cast("array<bigint>")
     velocity = F.when(
@@ -200,8 +203,8 @@ def _end_tokens(notes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def classify_performance(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Tokens as (kind, value) without reserved ids and leading time shifts."""
+def _classified(tokens: DataFrame, keys: Sequence[str], block: int) -> Blocks:
+    """Tokens in order as (kind, val), with ``__seen``: 1 from the first that is no time shift."""
     kinds = [""] * dims.RESERVED_IDS
     starts = [0] * dims.RESERVED_IDS
     for name, (_, size) in dims.PERFORMANCE_BLOCKS.items():
@@ -213,18 +216,29 @@ def classify_performance(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
             "val": F.col("token") - dims.indexed(starts, F.col("token")),
         }
     )
-    first = rows.where(F.col("kind") != "time_shift").groupBy(*keys).agg(F.min("pos").alias("__p"))
-    return spread_join(rows, first, list(keys)).where(F.col("pos") >= F.col("__p")).drop("__p")
+    acts = (F.col("kind") != "time_shift").cast("int")
+    return Blocks(rows, keys, index_block("pos", block), ["pos"]).add({"__seen": Running("max", acts)})
+
+
+def classify_performance(
+    tokens: DataFrame, keys: Sequence[str], block: int = ROWS_PER_BLOCK
+) -> DataFrame:
+    """Tokens as (kind, value) without reserved ids and leading time shifts."""
+    return _classified(tokens, keys, block).rows().where("__seen = 1").drop("__seen")
+
+
+def _clock(shown: Column) -> dict[str, Running]:
+    shift = F.when(shown & (F.col("kind") == "time_shift"), F.col("val"))
+    velocity = F.when(shown & (F.col("kind") == "velocity"), s.performance_velocity(F.col("val")))
+    return {
+        "step": Running("sum", F.coalesce(shift, F.lit(0).cast("bigint"))),
+        "velocity": Running("last", velocity),
+    }
 
 
 def running_clock(events: DataFrame, keys: Sequence[str] = ("file_id",), block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Step at which each token acts and the velocity token in force."""
-    shift = F.when(F.col("kind") == "time_shift", F.col("val")).otherwise(F.lit(0).cast("bigint"))
-    velocity = F.when(F.col("kind") == "velocity", s.performance_velocity(F.col("val")))
-    return running(
-        events, list(keys), index_block("pos", block), ["pos"],
-        {"step": Running("sum", shift), "velocity": Running("last", velocity)},
-    )
+    return running(events, list(keys), index_block("pos", block), ["pos"], _clock(F.lit(True)))
 
 
 def performance_decode(
@@ -232,9 +246,8 @@ def performance_decode(
 ) -> tuple[DataFrame, DataFrame]:
     """Notes and controller events of token rows (keys, pos, token)."""
     keys = list(keys)
-    timed = running_clock(classify_performance(tokens, keys), keys, block)
-    if not bounded(keys):
-        timed = cut_lineage(timed)
+    scan = _classified(tokens, keys, block).add(_clock(F.col("__seen") == 1))
+    timed = scan.rows().where("__seen = 1").drop("__seen")
     events = timed.select(
         *keys, F.col("pos").alias("event_idx"), F.col("kind").alias("type"),
         F.col("val").alias("note"), F.col("velocity").alias("value"), "step",

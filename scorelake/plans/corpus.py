@@ -101,7 +101,7 @@ def segment_examples(segments: DataFrame, header: DataFrame, profile: Profile) -
     attrs = meta.parse_meta(segments, None, None, header, profile, SEGMENT)
     extra = [c for c in ("chord_hash",) if c in header.columns]
     encoded = meta.encode_meta(attrs, profile).select(*SEGMENT, "meta", *extra)
-    encoded_notes = tokens.performance_encode(tokens.note_steps(segments), None, SEGMENT)
+    encoded_notes = tokens.performance_encode(tokens.note_steps(segments), None, SEGMENT, whole=True)
     return encoded.join(tokens.pack_tokens(encoded_notes, SEGMENT), SEGMENT)
 
 
