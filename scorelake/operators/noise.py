@@ -1,24 +1,28 @@
-"""Denoising corruption of token sequences.
+"""Denoising corruption of token sequences, in array expressions.
 
-The four steps work on one short sequence after another, each on the result of
-the one before, so they run as one Arrow-batched pandas UDF. All draws come from
-a generator seeded with (seed, row), which makes retries repeat themselves.
+Each step changes the tokens between the first and the last one of a row. All draws
+are md5 of (seed, step, row, place): a retried or moved task repeats them.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import dims
+from scorelake.functions.arrays import fraction
+
+#: Draws have 28 bits; the table of the Poisson distribution ends where they no longer tell.
+_DRAW = 2.0**-28
 
 
 @dataclass(frozen=True)
 class Noise:
+    """Shares of sentences moved, of ids inserted and masked, and of rows rotated."""
+
     permute: float = 0.0
     insert: float = 0.0
     mask: float = 0.3
@@ -30,74 +34,132 @@ class Noise:
     vocab_size: int = 424
 
 
-def _filler(count: int, noise: Noise, rng: np.random.Generator) -> np.ndarray:
-    """Mask ids, some of them replaced by random ids."""
-    out = np.full(count, noise.mask_id)
-    random = rng.random(count) < noise.mask_random
-    out[random] = rng.integers(1, noise.vocab_size, random.sum())
+def poisson_table(mean: float) -> list[float]:
+    """P(X <= 0), P(X <= 1), ... up to the last one that a draw can tell from 1."""
+    term = total = math.exp(-mean)
+    out = []
+    while total < 1 - _DRAW and (not out or total > out[-1]):
+        out.append(total)
+        term *= mean / len(out)
+        total += term
     return out
 
 
-def permute_sentences(ids: np.ndarray, noise: Noise, rng: np.random.Generator) -> np.ndarray:
-    """A share of the sentences trade places; a sentence ends with the stop id."""
-    body = ids[1:-1]
-    cuts = np.flatnonzero(body[:-1] == noise.stop) + 1
-    parts = np.split(body, cuts)
-    order = np.arange(len(parts))
-    chosen = rng.permutation(len(parts))[: int(np.ceil(len(parts) * noise.permute))]
-    order[np.sort(chosen)] = chosen
-    return np.concatenate([ids[:1], *[parts[i] for i in order], ids[-1:]])
-
-
-def insert_noise(ids: np.ndarray, noise: Noise, rng: np.random.Generator) -> np.ndarray:
-    """New ids at random places strictly inside the sequence."""
-    count = int(np.ceil(len(ids) * noise.insert))
-    at = rng.permutation(len(ids) + count - 2)[:count] + 1
-    out = np.empty(len(ids) + count, dtype=ids.dtype)
-    new = np.zeros(len(out), dtype=bool)
-    new[at] = True
-    out[new] = _filler(count, noise, rng)
-    out[~new] = ids
-    return out
+class _Steps:
+    """The steps on ``body``, the tokens between the frame; temporary columns start with two underscores."""
+
+    def __init__(self, noise: Noise, seed: int, row: str) -> None:
+        self.noise, self.seed, self.row = noise, seed, F.col(row)
+
+    def draw(self, salt: str, place: Column | int = 0) -> Column:
+        return fraction(self.seed, self.row, salt, place)
+
+    def shuffled(self, salt: str, count: Column) -> Column:
+        """0 .. count - 1 in random order."""
+        places = F.transform(_upto(count), lambda i: F.struct(self.draw(salt, i).alias("h"), i.alias("i")))
+        return F.transform(F.array_sort(places), lambda x: x["i"])
+
+    def filler(self, salt: str, place: Column) -> Column:
+        """The mask id, or at times a random id."""
+        other = F.floor(self.draw(f"{salt}-id", place) * (self.noise.vocab_size - 1)) + 1
+        random = self.draw(f"{salt}-random", place) < self.noise.mask_random
+        return F.when(random, other).otherwise(F.lit(self.noise.mask_id)).cast("int")
+
+    def permute(self, df: DataFrame) -> DataFrame:
+        """A share of the sentences trade places; a sentence ends with the stop id."""
+        body, size = F.col("__body"), F.size("__body")
+        heads = F.filter(_upto(size), lambda i: (i == 0) | (F.get(body, i - 1) == self.noise.stop))
+        df = df.withColumn("__heads", heads)
+        heads, count = F.col("__heads"), F.size("__heads")
+        chosen = F.slice(self.shuffled("permute", count), F.lit(1), F.ceil(count * self.noise.permute).cast("int"))
+        df = df.withColumn("__chosen", chosen).withColumn("__places", F.array_sort("__chosen"))
+        chosen, places = F.col("__chosen"), F.col("__places")
+
+        def sentence(j: Column) -> Column:
+            end = F.coalesce(F.get(heads, j + 1), size)
+            return F.slice(body, F.get(heads, j) + 1, end - F.get(heads, j))
+
+        def moved(j: Column) -> Column:
+            return F.coalesce(F.get(chosen, (F.array_position(places, j) - 1).cast("int")), j)
+
+        return df.withColumn("__body", F.flatten(F.transform(_upto(count), lambda j: sentence(moved(j)))))
+
+    def insert(self, df: DataFrame) -> DataFrame:
+        """New ids at random places, by the length with the frame."""
+        count = F.ceil((F.size("__body") + 2) * self.noise.insert).cast("int")
+        df = df.withColumn("__total", F.size("__body") + count)
+        df = df.withColumn("__new", F.slice(self.shuffled("insert", F.col("__total")), F.lit(1), count))
+        old = F.array_except(_upto(F.col("__total")), F.col("__new"))
+        kept = F.zip_with(old, "__body", lambda p, x: F.struct(p.alias("p"), x.cast("int").alias("x")))
+        added = F.transform("__new", lambda p: F.struct(p.alias("p"), self.filler("insert", p).alias("x")))
+        return df.withColumn("__body", F.transform(F.array_sort(F.concat(kept, added)), lambda s: s["x"]))
+
+    def mask(self, df: DataFrame) -> DataFrame:
+        """Spans of Poisson length become one mask each, an empty span inserts one.
+
+        Spans are drawn until they cover the budget, the share of the tokens to be masked; the last one
+        is cut or stretched to it. They lie in different gaps between the tokens that
+        stay, so none overlap and the budget is met exactly; where spans outnumber the gaps,
+        those of one gap share a mask.
+        """
+        table = F.array(*[F.lit(t) for t in poisson_table(self.noise.poisson_lambda)])
+        budget = F.ceil(F.size("__body") * self.noise.mask).cast("int")
+        df = df.withColumn("__budget", budget).withColumn("__gaps", F.size("__body") - F.col("__budget") + 1)
+        budget, gaps = F.col("__budget"), F.col("__gaps")
+
+        def drawn(i: Column) -> Column:
+            u = self.draw("length", i)
+            return F.when(i + 1 == budget, budget).otherwise(F.size(F.filter(table, lambda t: t <= u)))
+
+        def fitted(acc: Column, length: Column) -> Column:
+            rest = budget - acc["sum"]
+            more = F.concat(acc["lengths"], F.array(F.least(length, rest)))
+            return F.when(rest > 0, F.struct((acc["sum"] + length).alias("sum"), more.alias("lengths"))).otherwise(acc)
+
+        empty = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("lengths"))
+        df = df.withColumn("__drawn", F.transform(_upto(budget), drawn))
+        df = df.withColumn("__lengths", F.aggregate("__drawn", empty, fitted, lambda acc: acc["lengths"]))
+        lengths, spans = F.col("__lengths"), F.size("__lengths")
+        df = df.withColumn("__order", self.shuffled("gap", gaps))
+
+        def shared(q: Column) -> Column:
+            mine = F.filter(lengths, lambda _, j: j % gaps == q)
+            return F.when(spans <= gaps, F.get(lengths, q)).otherwise(F.aggregate(mine, F.lit(0), lambda a, x: a + x))
+
+        placed = F.transform(
+            _upto(F.least(spans, gaps)),
+            lambda q: F.struct(F.get(F.col("__order"), q).alias("gap"), shared(q).alias("length")),
+        )
+        df = df.withColumn("__spans", F.array_sort(placed))
+        body = F.col("__body")
+
+        def replaced(acc: Column, span: Column) -> Column:
+            start = span["gap"] + acc["gone"]
+            kept = F.slice(body, acc["end"] + 1, start - acc["end"])
+            return F.struct(
+                (start + span["length"]).alias("end"),
+                (acc["gone"] + span["length"]).alias("gone"),
+                F.concat(acc["out"], kept, F.array(self.filler("mask", span["gap"]))).alias("out"),
+            )
+
+        begin = F.struct(
+            F.lit(0).alias("end"), F.lit(0).alias("gone"), F.array().cast("array<int>").alias("out")
+        )
+        tail = lambda acc: F.concat(acc["out"], F.slice(body, acc["end"] + 1, F.size(body) - acc["end"]))
+        return df.withColumn("__body", F.aggregate("__spans", begin, replaced, tail))
+
+    def rotate(self, df: DataFrame) -> DataFrame:
+        """Roll the tokens of a share of the rows."""
+        offset = F.floor(self.draw("offset") * F.size("__body")).cast("int")
+        rolled = F.concat(
+            F.slice("__body", offset + 1, F.size("__body") - offset), F.slice("__body", F.lit(1), offset)
+        )
+        return df.withColumn("__body", F.when(self.draw("rotate") < self.noise.rotate, rolled).otherwise(F.col("__body")))
 
 
-def mask_spans(ids: np.ndarray, noise: Noise, rng: np.random.Generator) -> np.ndarray:
-    """Spans of Poisson length become one mask each; an empty span inserts a mask."""
-    inner = len(ids) - 2
-    budget = int(np.ceil(inner * noise.mask))
-    if budget == 0:
-        return ids
-    lengths = rng.poisson(noise.poisson_lambda, budget)
-    cover = np.cumsum(lengths)
-    lengths = lengths[: int(np.searchsorted(cover, budget)) + 1]
-    starts = np.sort(rng.permutation(inner)[: len(lengths)]) + 1
-    out, at = [ids[:1]], 1
-    for start, length in zip(starts, lengths):
-        if start < at:
-            continue
-        out += [ids[at:start], _filler(1, noise, rng)]
-        at = min(start + length, len(ids) - 1)
-    return np.concatenate([*out, ids[at:]])
-
-
-def rotate(ids: np.ndarray, noise: Noise, rng: np.random.Generator) -> np.ndarray:
-    """Roll the tokens between the first and the last one."""
-    if rng.random() >= noise.rotate:
-        return ids
-    offset = int(rng.integers(1, len(ids) - 1))
-    return np.concatenate([ids[:1], ids[offset:-1], ids[1:offset], ids[-1:]])
-
-
-def corrupt(ids: np.ndarray, noise: Noise, rng: np.random.Generator) -> np.ndarray:
-    if len(ids) < 3:
-        return ids
-    for ratio, step in (
-        (noise.permute, permute_sentences), (noise.insert, insert_noise),
-        (noise.mask, mask_spans), (noise.rotate, rotate),
-    ):
-        if ratio > 0:
-            ids = step(ids, noise, rng)
-    return ids
+def _upto(count: Column) -> Column:
+    """0 .. count - 1, empty below one."""
+    return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def denoise_corrupt(
@@ -105,17 +167,20 @@ def denoise_corrupt(
 ) -> DataFrame:
     """Noise in the order permute, insert, mask, rotate; ``labels`` stay clean.
 
-    Rows must be framed by begin and end tokens, which keep their places.
+    Rows must be framed by begin and end tokens, which keep their places. Rows of
+    fewer than three tokens stay as they are, and a null row stays null.
     """
-
-    @F.pandas_udf("array<int>")
-    def noisy(ids: pd.Series, key: pd.Series) -> pd.Series:
-        keys = key.to_numpy().astype("uint64")
-        return pd.Series(
-            [corrupt(np.asarray(x), noise, np.random.default_rng([seed, k]))
-             for x, k in zip(ids, keys)]
-        )
-
-    out = rows.withColumn("labels", F.col(column))
-    out = out.withColumn("input_ids", noisy(F.col(column), F.xxhash64(row)))
-    return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    steps = _Steps(noise, seed, row)
+    ids = F.col(column).cast("array<int>")
+    size = F.size(ids)
+    out = rows.withColumn("__body", F.when(size > 2, F.slice(ids, F.lit(2), size - 2)).otherwise(F.array()))
+    for share, step in (
+        (noise.permute, steps.permute), (noise.insert, steps.insert),
+        (noise.mask, steps.mask), (noise.rotate, steps.rotate),
+    ):
+        if share > 0:
+            out = step(out)
+    framed = F.concat(F.slice(ids, F.lit(1), F.lit(1)), F.col("__body"), F.slice(ids, F.lit(-1), F.lit(1)))
+    out = out.withColumn("labels", F.col(column)).withColumn("input_ids", F.when(size > 2, framed).otherwise(ids))
+    out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    return out.select(*[c for c in rows.columns if c not in ("labels", "input_ids", "attention_mask")], "labels", "input_ids", "attention_mask")
