@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import joined, register
 from scorelake import dims, profiles
 from scorelake.operators import meta, notes
+from scorelake.session import shared_folder
 from scorelake.sources import catalog, sinks
 
 
@@ -71,7 +72,16 @@ def _(t):
          (SELECT min(c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING')""",
 )
 def _(t):
-    return catalog.rows_after_label(t.customer, "c_custkey", ["c_name", "c_mktsegment"], "BUILDING")
+    """Files whose header stands below the first row of a segment, written and read back."""
+    cells = ["'' as note", "c_custkey", "c_name", "c_mktsegment", "'' as more"]
+    rows = t.customer.selectExpr("c_custkey as place", "0 as sub", *[f"cast({c.split(' as ')[0]} as string) as c{i}" for i, c in enumerate(cells)])
+    header = t.customer.where("c_mktsegment = 'BUILDING'").selectExpr(
+        "min(c_custkey) as place", "1 as sub", "'status' as c0", "'c_custkey' as c1", "'c_name' as c2",
+        "'c_mktsegment' as c3", "'more' as c4",
+    )
+    path = shared_folder(t.spark)
+    rows.unionByName(header).orderBy("place", "sub").drop("place", "sub").write.csv(path)
+    return catalog.read_meta_csv(catalog.read_raw_csv(t.spark, path), "status", "c_custkey", "c_mktsegment")
 
 
 @register(
@@ -92,12 +102,11 @@ CHORD_ROWS = """(SELECT file_id, array_to_string(progression, ',') AS text FROM
         FROM {CHORD_ROWS}""",
 )
 def _(t):
-    rows = t.progressions.select(
-        "file_id", F.concat_ws(",", "progression").alias("chord_progression")
-    )
-    out = catalog.split_chords(rows)
+    path = shared_folder(t.spark)
+    sinks.write_chord_table(t.progressions.withColumnRenamed("file_id", "filename"), path)
+    out = catalog.read_chord_table(t.spark, path)
     return out.select(
-        "file_id", F.size("chord_progression").alias("n"),
+        F.col("filename").alias("file_id"), F.size("chord_progression").alias("n"),
         F.element_at("chord_progression", -1).alias("last"),
     )
 
@@ -136,7 +145,9 @@ def _(t):
          AS shard FROM (SELECT DISTINCT l_orderkey FROM lineitem)""",
 )
 def _(t):
-    return sinks.sharded(t.lineitem.select("l_orderkey").distinct(), ["l_orderkey"], 100)
+    path = shared_folder(t.spark)
+    sinks.sharded_write(t.lineitem.select("l_orderkey").distinct(), path, ["l_orderkey"], 100)
+    return sinks.read_table(t.spark, path)
 
 
 @register(
@@ -145,7 +156,9 @@ def _(t):
        GROUP BY profile""",
 )
 def _(t):
-    return t.examples.groupBy("profile").agg(
+    path = shared_folder(t.spark)
+    sinks.write_examples(t.examples, path)
+    return sinks.read_table(t.spark, path).groupBy("profile").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.size("note_seq")).alias("tokens")
     )
 
@@ -155,7 +168,23 @@ def _(t):
     "SELECT split, count(*) AS rows FROM v_examples GROUP BY split",
 )
 def _(t):
-    return sinks.split_counts(t.examples)
+    path = shared_folder(t.spark)
+    sinks.write_splits(t.examples, path)
+    return sinks.split_counts(sinks.read_table(t.spark, path))
+
+
+@register(
+    "written_examples", "example_id:l split:s chord_hash:s input:s target:s",
+    """SELECT example_id, split, chord_hash, array_to_string(meta, ',') AS input,
+         array_to_string(note_seq, ',') AS target FROM v_examples""",
+)
+def _(t):
+    """A second version replaces the first for readers, whole."""
+    path = shared_folder(t.spark)
+    sinks.write_splits(t.examples.where("split = 'val'"), path)
+    sinks.write_splits(t.examples, path)
+    out = sinks.read_table(t.spark, path)
+    return out.withColumns({"input": joined("input"), "target": joined("target")})
 
 
 @register(
@@ -164,7 +193,9 @@ def _(t):
         FROM {CHORD_ROWS}""",
 )
 def _(t):
-    return sinks.chord_table(t.progressions.withColumnRenamed("file_id", "filename"))
+    path = shared_folder(t.spark)
+    sinks.write_chord_table(t.progressions.withColumnRenamed("file_id", "filename"), path)
+    return sinks.read_table(t.spark, path, header="true")
 
 
 @register(
@@ -291,14 +322,13 @@ def _(t):
 
 @register(
     "chord_vector_join", "example_id:l total:d",
-    """WITH v AS (SELECT md5(CAST(vec_id AS VARCHAR)) AS chord_hash, label FROM embeddings
-         WHERE label < 5)
+    """WITH v AS (SELECT md5(CAST(2 * vec_id AS VARCHAR)) AS chord_hash, label FROM embeddings)
        SELECT example_id, CASE WHEN v.label IS NULL THEN 4.0 ELSE v.label * 2.0 END AS total
        FROM v_examples LEFT JOIN v USING (chord_hash)""",
 )
 def _(t):
-    vectors = t.embeddings.where("label < 5").selectExpr(
-        "md5(cast(vec_id as string)) as chord_hash",
+    vectors = t.embeddings.selectExpr(
+        "md5(cast(2 * vec_id as string)) as chord_hash",
         "array(cast(label as float), cast(label as float)) as vector",
     )
     out = catalog.chord_vector_join(t.examples, vectors, 4)

@@ -1,8 +1,9 @@
-"""Session construction and the shared-storage lineage cut."""
+"""Session construction, the shared folder and the lineage cut."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +16,7 @@ RUNTIME_CONF = {
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the local bench; clusters bring their own."""
+    """Session for tests and the local bench, with a folder of its own; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("scorelake")
@@ -23,25 +24,31 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="scorelake-"))
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return (base or spark.conf.get("spark.sql.warehouse.dir") + "/_scorelake").rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_base(spark)}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the files.
 
     Used between stages whose input is read more than once, so that a lost
     executor re-reads files instead of repeating the stages before.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="scorelake-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)

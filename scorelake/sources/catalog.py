@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from scorelake import dims
 from scorelake.functions.scalars import chord_md5
 from scorelake.functions.scans import spread_join
+from scorelake.sources.sinks import read_table
 
 SAMPLE = T.StructType(
     [
@@ -83,18 +84,25 @@ def sample_filter(samples: DataFrame, since: str) -> DataFrame:
     )
 
 
+CELL_ORDER = ("__file", "__block", "__row")
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV cells as text with their position in the file."""
+    """CSV cells as text with their place: ``CELL_ORDER``, which names file, block and row.
+
+    Blocks of a file are read in any order by any task; the row number only orders the rows of one block.
+    """
     raw = spark.read.option("header", "false").option("multiLine", "false").csv(path)
     return raw.select(
         "*",
+        F.col("_metadata.file_name").alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__row"),
     )
 
 
 def read_meta_csv(
-    raw: DataFrame, order: Sequence[str], status: str, first: str, last: str
+    raw: DataFrame, status: str, first: str, last: str, order: Sequence[str] = CELL_ORDER
 ) -> DataFrame:
     """Rows below the first row that has a cell equal to ``status``.
 
@@ -118,15 +126,6 @@ def read_meta_csv(
     return body.select(*[F.col(c).alias(n) for c, n in picked])
 
 
-def rows_after_label(
-    raw: DataFrame, position: str, cells: Sequence[str], label: str
-) -> DataFrame:
-    """Rows after the first row with a cell equal to ``label``."""
-    hit = F.array_contains(F.array(*cells), label)
-    start = raw.where(hit).select(F.min(position).alias("at"))
-    return raw.where(F.col(position) > start.scalar())
-
-
 def genre_table(rows: DataFrame, name: str, genre: str) -> DataFrame:
     """(name, genre) with lower-cased known genres and no missing names."""
     lowered = F.lower(F.coalesce(F.col(genre), F.lit(dims.UNKNOWN)))
@@ -135,10 +134,16 @@ def genre_table(rows: DataFrame, name: str, genre: str) -> DataFrame:
 
 
 def read_chord_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A plain chord CSV with a header line, chords as arrays."""
     schema = "filename string, chord_progression string, chord_progression_hash string"
     return split_chords(spark.read.option("header", "true").schema(schema).csv(path))
 
 
+def read_chord_table(spark: SparkSession, path: str) -> DataFrame:
+    """The committed chord table at ``path``, chords as arrays."""
+    return split_chords(read_table(spark, path, header="true"))
+
+
 def split_chords(rows: DataFrame, column: str = "chord_progression") -> DataFrame:
     return rows.withColumn(column, F.split(column, ","))
 
