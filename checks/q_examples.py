@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from checks.registry import joined, register
@@ -195,15 +197,71 @@ def _(t):
     return texts(ex.mlm_example(t.examples, seed=7), "input_ids", "labels")
 
 
-@register("denoise_corrupt", "example_id:l input_ids:s labels:s")
+NOISE = noise.Noise(permute=1.0, insert=0.2, mask=0.3, rotate=0.5)
+#: Chances of a Poisson number of mean 3 being at most 0, 1, 2 ...
+POISSON = [sum(math.exp(-3.0) * 3.0**k / math.factorial(k) for k in range(n + 1)) for n in range(17)]
+
+
+def draw(salt: str, place: str = "0") -> str:
+    return (f"(CAST('0x' || md5('3-{salt}-' || example_id || '-' || {place})[1:7] AS BIGINT)"
+            " / 268435456.0)")
+
+
+def filler(salt: str, place: str) -> str:
+    return (f"CASE WHEN {draw(salt + '-random', place)} < 0.1 THEN 1 + CAST(floor("
+            f"{draw(salt + '-id', place)} * 423) AS BIGINT) ELSE 423 END")
+
+
+DENOISE = f"""
+  e AS (SELECT example_id, list_concat([422], note_seq, note_seq) AS ids FROM v_examples),
+  t0 AS (SELECT example_id, unnest(ids[2:len(ids) - 1]) AS x, unnest(range(len(ids) - 2)) AS i FROM e),
+  t1 AS (SELECT *, coalesce(sum(CAST(x = 1 AS INT)) OVER (PARTITION BY example_id ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS j FROM t0),
+  s0 AS (SELECT *, count(*) OVER (PARTITION BY example_id) AS n, row_number() OVER (PARTITION BY
+    example_id ORDER BY {draw('permute', 'j')}, j) - 1 AS r FROM (SELECT DISTINCT example_id, j FROM t1)),
+  s1 AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY j) - 1 AS p FROM s0
+    WHERE r < ceil(n * 1.0)),
+  mv AS (SELECT a.example_id, a.j, b.j AS place FROM s1 a JOIN s1 b ON a.example_id = b.example_id AND a.r = b.p),
+  p0 AS (SELECT t1.example_id, x, row_number() OVER (PARTITION BY t1.example_id
+      ORDER BY coalesce(place, t1.j), i) - 1 AS i, count(*) OVER (PARTITION BY t1.example_id) AS m
+    FROM t1 LEFT JOIN mv ON t1.example_id = mv.example_id AND t1.j = mv.j),
+  i0 AS (SELECT example_id, m, CAST(ceil((m + 2) * 0.2) AS BIGINT) AS k,
+      unnest(range(m + CAST(ceil((m + 2) * 0.2) AS BIGINT))) AS p FROM (SELECT DISTINCT example_id, m FROM p0)),
+  i1 AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY {draw('insert', 'p')}, p) <= k AS fresh FROM i0),
+  i2 AS (SELECT *, row_number() OVER (PARTITION BY example_id, fresh ORDER BY p) - 1 AS i FROM i1),
+  b0 AS (SELECT i2.example_id, p AS i, i2.m + k AS m, CASE WHEN fresh THEN {filler('insert', 'p').replace('example_id', 'i2.example_id')}
+      ELSE p0.x END AS x FROM i2 LEFT JOIN p0 ON i2.example_id = p0.example_id AND i2.i = p0.i AND NOT fresh),
+  m0 AS (SELECT DISTINCT example_id, m, CAST(ceil(m * 0.3) AS BIGINT) AS budget FROM b0),
+  d0 AS (SELECT *, unnest(range(budget)) AS q FROM m0),
+  d1 AS (SELECT *, CASE WHEN q + 1 = budget THEN budget ELSE len(list_filter({POISSON},
+      lambda t: t <= {draw('length', 'q')})) END AS d FROM d0),
+  d2 AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY example_id ORDER BY q
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d1),
+  d3 AS (SELECT example_id, q % (m - budget + 1) AS q, sum(least(d, budget - before))::BIGINT AS length
+    FROM d2 WHERE before < budget GROUP BY ALL),
+  g0 AS (SELECT example_id, unnest(range(m - budget + 1)) AS g FROM m0),
+  g1 AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY {draw('gap', 'g')}, g) - 1 AS q FROM g0),
+  sp AS (SELECT example_id, g, length, g + coalesce(sum(length) OVER (PARTITION BY example_id ORDER BY g
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d3 JOIN g1 USING (example_id, q)),
+  out AS (SELECT example_id, i * 2 + 1 AS o, x FROM b0 WHERE NOT EXISTS (SELECT 1 FROM sp
+      WHERE sp.example_id = b0.example_id AND b0.i >= start AND b0.i < start + length)
+    UNION ALL SELECT example_id, start * 2, {filler('mask', 'g')} FROM sp),
+  seq AS (SELECT example_id, list(x ORDER BY o) AS s FROM out GROUP BY example_id),
+  turn AS (SELECT *, CAST(floor({draw('offset')} * len(s)) AS BIGINT) AS k FROM seq)"""
+
+
+@register(
+    "denoise_corrupt", "example_id:l input_ids:s labels:s",
+    f"""WITH {DENOISE}
+        SELECT example_id, array_to_string(list_concat([422], CASE WHEN {draw('rotate')} < 0.5
+            THEN list_concat(s[k + 1:], s[1:k]) ELSE s END, [1]), ',') AS input_ids,
+          array_to_string(ids, ',') AS labels FROM turn JOIN e USING (example_id)""",
+)
 def _(t):
     framed = t.examples.withColumn(
         "note_seq", a.frame_tokens(F.concat("note_seq", "note_seq"), 422, 1)
     )
-    out = noise.denoise_corrupt(
-        framed, noise.Noise(permute=1.0, insert=0.2, mask=0.3, rotate=0.5), seed=3
-    )
-    return texts(out, "input_ids", "labels")
+    return texts(noise.denoise_corrupt(framed, NOISE, seed=3), "input_ids", "labels")
 
 
 @register(
@@ -253,7 +311,8 @@ def _(t):
     "SELECT example_id, array_to_string(note_seq[1:3], ',') AS targets FROM v_examples",
 )
 def _(t):
-    return texts(t.examples.withColumn("targets", F.slice("note_seq", 1, 3)), "targets")
+    rows = t.examples.select("example_id", F.col("note_seq").alias("targets"))
+    return texts(ex.truncate_features(rows, max_inputs=5, max_targets=3), "targets")
 
 
 @register(

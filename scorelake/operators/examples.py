@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorelake import dims
 from scorelake.functions import arrays as a
 from scorelake.functions.scalars import idiv
-from scorelake.functions.scans import hash_rank, hash_text
+from scorelake.functions.scans import hash_below, hash_text
 
 CATEGORY_AT = list(dims.ATTRIBUTES).index("track_category") + 1
 
@@ -174,9 +174,23 @@ def bucket_by_length(
     return padded_batch(out, size, {column: pad}, within=["length_bucket"], **batching)
 
 
+def truncate_features(
+    rows: DataFrame, max_inputs: int = 0, max_targets: int = 0, inputs: str = "inputs", targets: str = "targets"
+) -> DataFrame:
+    """The first ids of each feature that a row has; a limit of 0 keeps all."""
+    limits = {inputs: max_inputs, targets: max_targets}
+    cut = {c: F.slice(c, 1, n) for c, n in limits.items() if n > 0 and c in rows.columns}
+    return rows.withColumns(cut) if cut else rows
+
+
 def sample_n(rows: DataFrame, n: int, seed: int, ids: Sequence[str] = ("example_id",)) -> DataFrame:
-    """Exactly ``n`` rows (or all), the first in hash order."""
-    return hash_rank(rows, ids, seed, "__rank").where(F.col("__rank") <= n).drop("__rank")
+    """Exactly ``n`` rows (or all), the first in hash order; ``ids`` name a row.
+
+    The n-th hash is found from counts and the ids alone, so rows are only filtered.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    return rows.where(hash_below(rows, ids, seed, lambda _: F.lit(n)))
 
 
 def eval_subset(
@@ -192,17 +206,21 @@ def split_by_ratio(
     seed: int = 2021,
     ids: Sequence[str] = ("example_id",),
 ) -> DataFrame:
-    """Add ``split``: each named part has exactly ceil(ratio * n) rows, in hash order."""
-    ranked = hash_rank(rows, ids, seed, "__rank")
-    total = rows.select(F.count(F.lit(1)).alias("n")).scalar()
-    split, taken = F.lit(rest), F.lit(0).cast("bigint")
-    limits = []
+    """Add ``split``: each named part has exactly ceil(ratio * n) rows, in hash order.
+
+    As in ``sample_n`` no row is moved: the hashes where parts end are found first.
+    """
+    taken: list[float] = []
+    ends = []
     for name, ratio in ratios.items():
-        taken = taken + F.ceil(F.lit(ratio) * total)
-        limits.append((name, taken))
-    for name, limit in reversed(limits):
-        split = F.when(F.col("__rank") <= limit, name).otherwise(split)
-    return ranked.withColumn("split", split).drop("__rank")
+        taken = [*taken, ratio]
+        upto = lambda total, shares=tuple(taken): sum((F.ceil(F.lit(r) * total) for r in shares), F.lit(0))
+        if any(taken):
+            ends.append((name, hash_below(rows, ids, seed, upto)))
+    split = F.lit(rest)
+    for name, below in reversed(ends):
+        split = F.when(below, name).otherwise(split)
+    return rows.withColumn("split", split)
 
 
 def split_train_val(

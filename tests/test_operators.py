@@ -1,5 +1,8 @@
 """Variants, round trips, brute-force checks and files."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,19 +104,51 @@ def test_noise_keeps_frame_and_repeats(spark):
     assert len({tuple(r[1]) for r in one}) > 40
 
 
-def test_noise_steps():
-    rng = np.random.default_rng(0)
-    ids = np.array([422, 2, 3, 1, 4, 5, 6, 1, 7, 1])
-    moved = noise.permute_sentences(ids, noise.Noise(permute=1.0), rng)
-    assert sorted(moved) == sorted(ids) and moved[0] == 422 and moved[-1] == 1
-    rolled = noise.rotate(ids, noise.Noise(rotate=1.0), rng)
-    assert sorted(rolled) == sorted(ids)
-    longer = noise.insert_noise(ids, noise.Noise(insert=0.5, mask_random=0.0), rng)
-    assert len(longer) == 15 and (longer == 423).sum() == 5
-    assert [x for x in longer if x != 423] == list(ids)
-    masked = noise.mask_spans(np.arange(1000), noise.Noise(mask=0.3, mask_random=0.0), rng)
-    left = [x for x in masked if x != 423]
-    assert left == sorted(left) and 620 < len(left) < 800
+def test_masked_share_is_the_budget_at_every_length(spark):
+    """Ids 2 and above are distinct, so what is missing was masked; a mask is 423 or a random id."""
+    sizes = [3, 4, 5, 7, 10, 31, 100, 700]
+    df = spark.createDataFrame(
+        [(1000 * n + i, [422, *range(1000, 1000 + n - 2), 1]) for n in sizes for i in range(8)],
+        "example_id bigint, note_seq array<int>",
+    )
+    for share in (0.05, 0.3, 0.9, 1.0):
+        out = noise.denoise_corrupt(df, noise.Noise(mask=share, mask_random=0.0), seed=4)
+        for r in out.select("note_seq", "input_ids").collect():
+            inner = len(r.note_seq) - 2
+            kept = [x for x in r.input_ids if x >= 1000]
+            assert inner - len(kept) == math.ceil(inner * share) and kept == sorted(kept)
+            assert 1 <= r.input_ids.count(423) <= math.ceil(inner * share)
+
+
+def test_noise_steps(spark):
+    ids = [422, 2, 3, 1, 4, 5, 6, 1, 7, 1]
+    df = spark.createDataFrame([(i, ids) for i in range(40)], "example_id bigint, note_seq array<int>")
+
+    def out(**steps):
+        found = noise.denoise_corrupt(df, noise.Noise(**{"mask": 0.0, **steps}), seed=2)
+        return [r.input_ids for r in found.select("input_ids").collect()]
+
+    moved = out(permute=1.0)
+    assert all(sorted(x) == sorted(ids) and x[0] == 422 and x[-1] == 1 for x in moved)
+    sentences = [[2, 3, 1], [4, 5, 6, 1], [7]]
+    wanted = {tuple([422, *sum(p, []), 1]) for p in itertools.permutations(sentences)}
+    assert {tuple(x) for x in moved} == wanted
+    rolled = out(rotate=1.0)
+    assert {tuple(x) for x in rolled} <= {(422, *ids[k:-1], *ids[1:k], 1) for k in range(1, 9)}
+    assert len({tuple(x) for x in rolled}) > 4 and out(rotate=1e-9) == [ids] * 40
+    longer = out(insert=0.5, mask_random=0.0)
+    assert all(len(x) == 15 and [y for y in x if y != 423] == ids for x in longer)
+    random = [y for x in out(insert=1.0, mask_random=0.5) for y in x if y not in ids]
+    assert 0.3 < sum(y == 423 for y in random) / len(random) < 0.8 and min(random) >= 1 and max(random) < 424
+    short = spark.createDataFrame([(1, [422, 1]), (2, []), (3, None)], df.schema)
+    loud = noise.Noise(permute=1.0, insert=1.0, rotate=1.0)
+    got = {r.example_id: r.input_ids for r in noise.denoise_corrupt(short, loud).collect()}
+    assert got == {1: [422, 1], 2: [], 3: None}
+
+
+def test_poisson_table():
+    table = noise.poisson_table(3.0)
+    assert [len([t for t in table if t <= u]) for u in (0.0, 0.0497, 0.0498, 0.5, 0.65, 1 - 2**-28)] == [0, 0, 1, 3, 4, 17]
 
 
 def test_empty_sequence_is_not_framed(spark):
@@ -164,37 +199,92 @@ def test_three_way_split(tables):
 def test_chord_csv_and_meta_csv(spark, tmp_path):
     df = spark.createDataFrame([("f1", ["C", "Am"]), ("f2", None)], "filename string, progression array<string>")
     sinks.write_chord_table(df, str(tmp_path / "chords"))
-    back = catalog.read_chord_csv(spark, str(tmp_path / "chords"))
+    back = catalog.read_chord_table(spark, str(tmp_path / "chords"))
+    assert rows(back, "filename", "chord_progression") == [("f1", ["C", "Am"])]
+    sinks.chord_table(df).write.option("header", "true").csv(str(tmp_path / "plain"))
+    back = catalog.read_chord_csv(spark, str(tmp_path / "plain"))
     assert rows(back, "filename", "chord_progression") == [("f1", ["C", "Am"])]
     plain = tmp_path / "meta.csv"
     plain.write_text("junk,,,\n,status,id,genre\n,c,A-1,Jazz\n,c,A-2,\n,c,,rock\n,c,A-3,Polka\n")
-    table = catalog.read_meta_csv(
-        catalog.read_raw_csv(spark, str(plain)), ["__block", "__row"], "status", "id", "genre"
-    )
+    table = catalog.read_meta_csv(catalog.read_raw_csv(spark, str(plain)), "status", "id", "genre")
     assert table.columns == ["id", "genre"]
     assert rows(catalog.genre_table(table, "id", "genre")) == [("A-1", "jazz")]
     plain.write_text("id,genre\nA-1,Jazz\n")
-    table = catalog.read_meta_csv(
-        catalog.read_raw_csv(spark, str(plain)), ["__block", "__row"], "status", "id", "genre"
-    )
+    table = catalog.read_meta_csv(catalog.read_raw_csv(spark, str(plain)), "status", "id", "genre")
     assert rows(table, "id", "genre") == [("A-1", "Jazz")]
 
 
+def test_meta_csv_of_many_files_and_blocks(spark, tmp_path):
+    """Rows follow the header in (file, block, row) order, whatever task reads them."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(4):
+        lines = [f"{n},{i},x" for i in range(300)]
+        if n == 1:
+            lines[120] = "status,place,kind"
+        (folder / f"part-{n}.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        raw = catalog.read_raw_csv(spark, str(folder))
+        assert raw.rdd.getNumPartitions() > 8
+        table = catalog.read_meta_csv(raw, "status", "status", "kind")
+        want = [("1", str(i), "x") for i in range(121, 300)]
+        want += [(str(n), str(i), "x") for n in (2, 3) for i in range(300)]
+        assert rows(table) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sinks(spark, tables, tmp_path):
     sinks.write_examples(tables.examples, str(tmp_path / "ex"))
-    back = spark.read.parquet(str(tmp_path / "ex"))
+    back = sinks.read_table(spark, str(tmp_path / "ex"))
     assert rows(back, "example_id", "meta", "note_seq") == rows(
         tables.examples, "example_id", "meta", "note_seq"
     )
     sinks.write_splits(tables.examples, str(tmp_path / "split"))
-    val = spark.read.parquet(str(tmp_path / "split")).where("split = 'val'")
+    val = sinks.read_table(spark, str(tmp_path / "split")).where("split = 'val'")
     assert val.count() == tables.examples.where("split = 'val'").count()
     sinks.sharded_write(tables.examples, str(tmp_path / "shards"), ["example_id"], 500)
-    counts = spark.read.option("basePath", str(tmp_path / "shards")).parquet(
-        str(tmp_path / "shards")
-    ).groupBy("shard").count()
+    counts = sinks.read_table(spark, str(tmp_path / "shards")).groupBy("shard").count()
     assert counts.agg(F.max("count")).first()[0] == 500
-
+    names = {p.name for p in (tmp_path / "shards" / "versions").glob("*/shard=*")}
+    assert names == {f"shard={n:04d}" for n in range(counts.count())}
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, path)
+    df = spark.range(100).selectExpr("id", "id % 3 as part")
+    sinks.write_table(df, path, ["part"])
+    begun = sinks.read_table(spark, path)
+    broken = df.withColumn("id", F.when(F.col("id") < 50, F.col("id")).otherwise(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_table(broken, path, ["part"])
+    assert rows(sinks.read_table(spark, path), "id", "part") == rows(df)
+    sinks.write_table(df.where("id < 7"), path, ["part"])
+    assert begun.count() == 100 and sinks.read_table(spark, path).count() == 7
+    assert [(c.number, c.rows, c.parts) for c in sinks.commits(spark, path)] == [(1, 100, "part"), (2, 7, "part")]
+
+
+def test_truncate_features(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3, 4], [5, 6]), (2, [], None)], "id int, inputs array<int>, targets array<int>")
+    assert rows(examples.truncate_features(df, 3, 1)) == [(1, [1, 2, 3], [5]), (2, [], None)]
+    assert rows(examples.truncate_features(df)) == rows(df)
+    assert examples.truncate_features(df.select("id", "targets"), 3, 1).first().targets == [5]
+
+
+def test_samples_and_splits_move_no_wide_rows(spark, tables):
+    df = tables.examples.drop("split")
+    for n in (0, 1, 7, 10**9):
+        wanted = df.withColumn("h", F.md5(F.concat(F.lit("5-"), F.col("example_id").cast("string"))))
+        wanted = wanted.orderBy("h").limit(n).select("example_id")
+        assert rows(examples.sample_n(df, n, 5), "example_id") == rows(wanted)
+    picked = examples.sample_n(spark.read.parquet(f"{SF}/documents.parquet"), 20, 5, ["doc_id"])
+    assert picked.count() == 20
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "text#" in x]
 
 def test_list_files_reads_no_content(spark, tmp_path):
     for name in ("a.mid", "b.MIDI", "c.txt", "tmp/d.mid"):
