@@ -9,6 +9,7 @@ from checks.registry import joined, register
 from checks.views import pick
 from scorelake import dims
 from scorelake.plans import corpus
+from scorelake.session import shared_folder
 from scorelake.sources import sinks
 
 PITCH_CASE = " ".join(f"WHEN m < {c} THEN '{n}'" for n, c in dims.PITCH_RANGE_CUTS.items())
@@ -100,6 +101,10 @@ WEB_SQL = f"""
   examples AS (SELECT {SEG}, meta, note_seq FROM en JOIN lists USING ({SEG}))"""
 
 
+def web_rows(t):
+    return corpus.web_examples(t.notes_dense, t.tempo, t.tempo_end, header(t))
+
+
 @register(
     "web_examples",
     "file_id:l track_idx:l chunk_idx:l n_bars:l window_idx:l meta:s note_seq:s",
@@ -107,7 +112,32 @@ WEB_SQL = f"""
           array_to_string(note_seq, ',') AS note_seq FROM examples""",
 )
 def web_examples(t):
-    out = corpus.web_examples(t.notes_dense, t.tempo, t.tempo_end, header(t))
+    out = web_rows(t)
+    return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
+
+
+WEB_BAR_SQL = f"""
+  placed AS (SELECT {SEG}, start_tick, end_tick, pitch, velocity, note_idx, cb, start_tick // cb AS rb,
+      row_number() OVER (PARTITION BY {SEG}, start_tick // cb ORDER BY start_tick, pitch, note_idx) AS place
+    FROM seg JOIN (SELECT file_id, CASE coalesce(time_signature, '4/4') WHEN '4/4' THEN 1920
+      WHEN '5/8' THEN 1200 ELSE 1440 END AS cb FROM facts) USING (file_id)),
+  binned AS (SELECT *, least(cb // (cb // 128) - 1, greatest(0, (2 * (end_tick - start_tick) + cb // 128 - 1)
+      // (2 * (cb // 128)) - 1)) AS dur FROM placed),
+  bar_lists AS (SELECT {SEG}, list_append(flatten(list(list_concat(CASE WHEN place = 1 THEN [2] ELSE [] END,
+      [401 + least(31, ((start_tick - rb * cb) * 64 + cb - 1) // (2 * cb)), 131 + least(31, velocity // 4),
+      3 + pitch], CASE WHEN dur < 130 THEN [271 + dur] ELSE [] END) ORDER BY rb, place)), 1) AS note_seq
+    FROM binned GROUP BY ALL)"""
+
+
+@register(
+    "web_examples_bar",
+    "file_id:l track_idx:l chunk_idx:l n_bars:l window_idx:l meta:s note_seq:s",
+    f"""WITH {WEB_SQL}, {WEB_BAR_SQL}
+        SELECT {SEG}, array_to_string(list_transform(meta[1:12], lambda x: x + 11), ',') AS meta,
+          array_to_string(b.note_seq, ',') AS note_seq FROM en JOIN bar_lists b USING ({SEG})""",
+)
+def web_examples_bar(t):
+    out = corpus.web_examples(t.notes_dense, t.tempo, t.tempo_end, header(t), encoder="bar")
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
 
 
@@ -176,22 +206,26 @@ def catalog_samples(t):
     )
 
 
-@register(
-    "catalog_examples", "file_id:l meta:s chord_hash:s note_seq:s",
-    f"""WITH {CATALOG_SQL} SELECT en.file_id, array_to_string(meta, ',') AS meta,
-          md5(chord_progression) AS chord_hash, array_to_string(note_seq, ',') AS note_seq
-        FROM en JOIN lists USING (file_id)""",
-)
-def catalog_examples(t):
+def catalog_rows(t):
     files = t.notes_dense.select("file_id").distinct().selectExpr(
         "file_id",
         """case file_id % 3 when 0 then cast(file_id as string)
            when 1 then concat(file_id, '_gmajor_', 60 + file_id % 80)
            else concat(file_id, '_x') end as stem""",
     )
-    out = corpus.catalog_examples(
+    return corpus.catalog_examples(
         catalog_samples(t), files, t.notes_dense, t.cc, track_table(t)
     )
+
+
+@register(
+    "catalog_examples", "file_id:l meta:s chord_hash:s note_seq:s",
+    f"""WITH {CATALOG_SQL} SELECT en.file_id, array_to_string(meta, ',') AS meta,
+          md5(chord_progression) AS chord_hash, array_to_string(note_seq, ',') AS note_seq
+        FROM en JOIN lists USING (file_id)""",
+)
+def catalog_examples(t):
+    out = catalog_rows(t)
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
 
 
@@ -265,13 +299,7 @@ TAGGED_SQL = f"""{TAGGED_BASE}
   examples AS (SELECT {SEG}, meta, chord_hash, note_seq FROM en JOIN lists USING ({SEG}))"""
 
 
-@register(
-    "tagged_examples",
-    "file_id:l track_idx:l chunk_idx:l n_bars:l window_idx:l meta:s chord_hash:s note_seq:s",
-    f"""WITH {TAGGED_SQL} SELECT {SEG}, array_to_string(meta, ',') AS meta, chord_hash,
-          array_to_string(note_seq, ',') AS note_seq FROM examples""",
-)
-def tagged_examples(t):
+def tagged_rows(t):
     names = t.nation.selectExpr(
         "concat('file-', n_nationkey) as name",
         "if(n_nationkey % 3 = 0, 'jazz', 'rock') as genre", "(n_nationkey * 7) % 25 as name_order",
@@ -283,5 +311,38 @@ def tagged_examples(t):
     heads = t.attrs.selectExpr(
         "file_id", "concat('file-', file_id) as stem", "audio_key", "time_signature"
     )
-    out = corpus.tagged_examples(t.notes_dense, t.tempo, t.tempo_end, heads, names, table)
+    return corpus.tagged_examples(t.notes_dense, t.tempo, t.tempo_end, heads, names, table)
+
+
+@register(
+    "tagged_examples",
+    "file_id:l track_idx:l chunk_idx:l n_bars:l window_idx:l meta:s chord_hash:s note_seq:s",
+    f"""WITH {TAGGED_SQL} SELECT {SEG}, array_to_string(meta, ',') AS meta, chord_hash,
+          array_to_string(note_seq, ',') AS note_seq FROM examples""",
+)
+def tagged_examples(t):
+    out = tagged_rows(t)
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
+
+
+# --- the mix of all corpora, split and written ------------------------------
+
+MIX = f"""(SELECT concat_ws('-', 'web', {SEG}) AS example_id, 'web' AS profile, meta, 'unknown' AS chord_hash,
+      note_seq FROM (WITH {WEB_SQL} SELECT * FROM examples)
+      ORDER BY md5('2021-' || concat_ws('-', 'web', {SEG})) LIMIT 500)
+    UNION ALL SELECT 'catalog-' || file_id, 'catalog', meta, md5(chord_progression), note_seq
+      FROM (WITH {CATALOG_SQL} SELECT * FROM en JOIN lists USING (file_id))
+    UNION ALL SELECT concat_ws('-', 'tagged', {SEG}), 'tagged', meta, chord_hash, note_seq
+      FROM (WITH {TAGGED_SQL} SELECT * FROM examples)"""
+
+
+@register(
+    "training_corpus", "example_id:s split:s chord_hash:s input:s target:s",
+    f"""SELECT example_id, CASE WHEN row_number() OVER (ORDER BY md5('2021-' || example_id))
+            <= ceil(0.1 * count(*) OVER ()) THEN 'val' ELSE 'train' END AS split, chord_hash,
+          array_to_string(meta, ',') AS input, array_to_string(note_seq, ',') AS target FROM ({MIX})""",
+)
+def training_corpus(t):
+    path = shared_folder(t.spark)
+    out = corpus.training_corpus(web_rows(t), catalog_rows(t), tagged_rows(t), path, web_rows=500)
+    return out.withColumns({"input": joined("input"), "target": joined("target")})

@@ -136,11 +136,11 @@ def program_family(program: Column) -> Column:
 def code_lookup(
     df: DataFrame, codes: DataFrame, key: str, out: str, on_missing: str = "null"
 ) -> DataFrame:
-    """Join a constant code table; ``on_missing`` is null or reject.
+    """Join a code table (Spark broadcasts it where it is small); ``on_missing`` is null or reject.
 
     A null key is "unknown" and always stays; only unmapped values are rejected.
     """
-    known = F.broadcast(codes.select(key, F.col("code").alias(out)))
+    known = codes.select(key, F.col("code").alias(out))
     joined = df.join(known, key, "left")
     if on_missing == "reject":
         joined = joined.where(F.col(key).isNull() | F.col(out).isNotNull())

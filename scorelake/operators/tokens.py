@@ -344,10 +344,13 @@ def bar_encode(
     rows = bar_events(items, keys, bar)
     chord_ids = {w[6:]: i for w, i in {**BAR, **dims.flat_aliases(BAR)}.items() if w.startswith("Chord_")}
     chord = dims.lookup(chord_ids, F.col("chord")).cast("bigint")
+    # bars of other lengths than 4/4 have durations that the vocabulary lacks
+    spelled = F.col("dur") < sum(w.startswith("Note Duration_") for w in BAR)
     note = F.array(
         F.col("vel") + BAR["Note Velocity_0"], F.col("pitch") + BAR["Note On_0"],
-        F.col("dur") + BAR["Note Duration_0"],
+        F.when(spelled, F.col("dur") + BAR["Note Duration_0"]),
     ).cast("array<bigint>")
+    note = F.filter(note, lambda x: x.isNotNull())
     position = F.array(F.col("position") + BAR["Position_1/32"])
     parts = F.concat(
         F.when(F.col("opens_bar"), F.array(F.lit(BAR["Bar_None"]).cast("bigint"))).otherwise(
@@ -423,7 +426,7 @@ def compound_encode(
 
 def word_events(tokens: DataFrame, vocab: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Known words of token rows with a dense position; unknown ids are skipped."""
-    known = tokens.join(F.broadcast(vocab.select(F.col("id").alias("token"), "word")), "token")
+    known = tokens.join(vocab.select(F.col("id").alias("token"), "word"), "token")
     parts = F.split("word", "_")
     known = known.withColumns({"name": parts[0], "val": parts[1]})
     return ordinal(known, list(keys), index_block("pos"), ["pos"], "ev")

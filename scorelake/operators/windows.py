@@ -17,6 +17,11 @@ def bar_ticks(numerator: Column, denominator: Column, resolution: int = 480) ->
     return idiv(numerator * (4 * resolution), denominator)
 
 
+def encoding_bar_ticks(numerator: Column, denominator: Column, beat: int = 480) -> Column:
+    """Bar length as the bar encodings count it: one beat per count, half a beat in eighths."""
+    return idiv(numerator * beat, F.when(denominator == 8, 2).otherwise(1))
+
+
 def note_span(notes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First start (in list order) and last end of each file or chunk."""
     return notes.groupBy(*keys).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import dims
@@ -14,12 +14,14 @@ from scorelake.functions.scalars import (
 )
 from scorelake.functions.scans import index_block, ordinal, spread_join
 from scorelake.operators import chunks, examples, meta, notes, tokens, tracks, windows
+from scorelake.operators.chords import detect_chords
 from scorelake.profiles import CATALOG, TAGGED, WEB, Profile
 from scorelake.session import cut_lineage
-from scorelake.sources import catalog
+from scorelake.sources import catalog, sinks
 
 CHUNK = ["file_id", "track_idx", "chunk_idx"]
 SEGMENT = [*CHUNK, "n_bars", "window_idx"]
+ENCODERS = ("performance", "bar", "bar_detected", "compound")
 
 
 def file_facts(tempo: DataFrame, ends: DataFrame, header: DataFrame) -> DataFrame:
@@ -96,17 +98,90 @@ def cut_segments(
     return spread_join(segments, covered, SEGMENT, "left_semi")
 
 
-def segment_examples(segments: DataFrame, header: DataFrame, profile: Profile) -> DataFrame:
-    """Attribute ids and performance tokens of every segment."""
+def encode_notes(
+    segments: DataFrame, header: DataFrame, encoder: str = "performance", keys: list[str] = SEGMENT
+) -> DataFrame:
+    """Token array of every segment by one of ``ENCODERS``.
+
+    The bar encodings count bars by the meter of the file (4/4 where unknown); ``bar_detected``
+    adds the chords found in the notes, ``compound`` joins rows of seven slots end to end.
+    """
+    if encoder not in ENCODERS:
+        raise ValueError(f"encoder is one of {', '.join(ENCODERS)}")
+    if encoder == "performance":
+        coded = tokens.performance_encode(tokens.note_steps(segments), None, keys, whole=True)
+        return tokens.pack_tokens(coded, keys)
+    if encoder == "bar_detected":
+        items = tokens.items_union(segments, detect_chords(segments, keys), keys)
+    else:
+        items = tokens.note_items(segments, keys)
+    meter = meter_parts(F.coalesce("time_signature", F.lit("4/4")))
+    bars = header.select("file_id", windows.encoding_bar_ticks(*meter).alias("__bar"))
+    items = spread_join(items, bars, ["file_id"])
+    order = ["bar", "place", "sub"]
+    if encoder != "compound":
+        return tokens.pack_tokens(tokens.bar_encode(items, keys, F.col("__bar")), keys, order)
+    words = tokens.pack_tokens(tokens.compound_encode(items, keys, F.col("__bar")), keys, order, "word")
+    return words.withColumn("note_seq", F.flatten("note_seq"))
+
+
+def encoded_meta(meta_ids: Column, encoder: str) -> Column:
+    """Attribute ids as they go with an encoder: bar tokens have a vocabulary of their own."""
+    return meta.shift_meta_for_bar(meta_ids) if encoder.startswith("bar") else meta_ids
+
+
+def segment_examples(
+    segments: DataFrame, header: DataFrame, profile: Profile, encoder: str = "performance"
+) -> DataFrame:
+    """Attribute ids and tokens of every segment."""
     attrs = meta.parse_meta(segments, None, None, header, profile, SEGMENT)
     extra = [c for c in ("chord_hash",) if c in header.columns]
-    encoded = meta.encode_meta(attrs, profile).select(*SEGMENT, "meta", *extra)
-    encoded_notes = tokens.performance_encode(tokens.note_steps(segments), None, SEGMENT, whole=True)
-    return encoded.join(tokens.pack_tokens(encoded_notes, SEGMENT), SEGMENT)
+    encoded = meta.encode_meta(attrs, profile)
+    encoded = encoded.select(*SEGMENT, encoded_meta(F.col("meta"), encoder).alias("meta"), *extra)
+    return encoded.join(encode_notes(segments, header, encoder), SEGMENT)
+
+
+def as_examples(rows: DataFrame, profile: Profile) -> DataFrame:
+    """One schema for the examples of all corpora: what ``combine_datasets`` and the writers take."""
+    keys = [c for c in SEGMENT if c in rows.columns]
+    hashes = F.col("chord_hash") if "chord_hash" in rows.columns else F.lit(None).cast("string")
+    return rows.select(
+        F.concat_ws("-", F.lit(profile.name), *keys).alias("example_id"),
+        F.lit(profile.name).alias("profile"),
+        F.col("meta").cast("array<bigint>").alias("meta"),
+        F.coalesce(hashes, F.lit(dims.UNKNOWN)).alias("chord_hash"),
+        F.col("note_seq").cast("array<bigint>").alias("note_seq"),
+    )
+
+
+def training_corpus(
+    web: DataFrame,
+    catalog_rows: DataFrame,
+    tagged: DataFrame,
+    path: str,
+    web_rows: int,
+    ratio: float = 0.1,
+    seed: int = 2021,
+) -> DataFrame:
+    """Mix the three corpora, split the mix, write it, and return what was written.
+
+    Examples are written to the shared folder first: the hashes that part them are found
+    from ids and counts, without computing examples again.
+    """
+    parts = [(web, WEB), (catalog_rows, CATALOG), (tagged, TAGGED)]
+    done = [cut_lineage(as_examples(rows, profile)) for rows, profile in parts]
+    mixed = examples.combine_datasets(*done, web_rows, ratio, seed)
+    sinks.write_splits(mixed, path)
+    return sinks.read_table(mixed.sparkSession, path)
 
 
 def web_examples(
-    note_rows: DataFrame, tempo: DataFrame, ends: DataFrame, header: DataFrame, profile: Profile = WEB
+    note_rows: DataFrame,
+    tempo: DataFrame,
+    ends: DataFrame,
+    header: DataFrame,
+    profile: Profile = WEB,
+    encoder: str = "performance",
 ) -> DataFrame:
     """Training examples of a chunked corpus, one row per window segment.
 
@@ -122,7 +197,8 @@ def web_examples(
         unknown.alias("track_category"), unknown.alias("chord_progression"),
         unknown.alias("rhythm"),
     )
-    return segment_examples(cut_segments(chunk_rows, profile), known, profile)
+    segments = cut_lineage(cut_segments(chunk_rows, profile))
+    return segment_examples(segments, known, profile, encoder)
 
 
 def tagged_examples(
@@ -133,6 +209,7 @@ def tagged_examples(
     genres: DataFrame,
     chord_info: DataFrame,
     profile: Profile = TAGGED,
+    encoder: str = "performance",
 ) -> DataFrame:
     """Examples of a chunked corpus with chord tracks, a genre table and a chord table.
 
@@ -162,7 +239,7 @@ def tagged_examples(
         "*", dims.lookup(dims.CHANNEL_CATEGORIES, F.col("channel")).alias("track_category"),
         F.lit(None).cast("string").alias("rhythm"),
     ).drop("channel")
-    return segment_examples(segments, known, profile)
+    return segment_examples(segments, known, profile, encoder)
 
 
 def catalog_examples(

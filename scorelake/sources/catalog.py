@@ -204,14 +204,13 @@ def parse_augmented_id(rows: DataFrame, column: str = "id", augmented_only: bool
 
 
 def _prefix_pairs(long: DataFrame, text: str, short: DataFrame, key: str) -> DataFrame:
-    """Equi join of every text with the short keys it starts with."""
-    lengths = short.agg(
-        F.struct(F.min(F.length(key)).alias("lo"), F.max(F.length(key)).alias("hi"))
-    )
-    span = lengths.scalar()
-    lo, hi = span["lo"], F.least(span["hi"], F.length(text))
-    sizes = F.when(hi >= lo, F.sequence(lo, hi))
-    cut = long.withColumn("__n", F.explode(sizes))
+    """Equi join of every text with the short keys it starts with.
+
+    A text is cut at the lengths that keys have, found first from the keys alone, so it
+    comes once per such length, not once per letter.
+    """
+    lengths = short.select(F.sort_array(F.collect_set(F.length(key))).alias("l")).scalar()
+    cut = long.withColumn("__n", F.explode(lengths)).where(F.col("__n") <= F.length(text))
     cut = cut.withColumn("__key", F.substring(F.col(text), F.lit(1), F.col("__n"))).drop("__n")
     return spread_join(cut, short.withColumnRenamed(key, "__key"), ["__key"])
 
