@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,12 @@ from scorelake.functions.scalars import parse_ids
 from scorelake.functions.scans import near, spread_join
 from scorelake.operators.tokens import order_notes
 
-PASSAGES_PER_SLOT = 8192
-QUERIES_PER_BLOCK = 1024
+#: Passages scored at once.
+TILE_ROWS = 512
+#: Query vectors sent to every task at once, in bytes.
+QUERY_BYTES = 64 << 20
+#: Queries scored at once against a tile.
+QUERIES_AT_ONCE = 4096
 SCORE_DECIMALS = 9
 
 
@@ -26,59 +30,123 @@ def title_and_body(rows: DataFrame, ids: str = "ids", size: int = 5) -> DataFram
     )
 
 
-def _tiles(rows: int, size: int) -> int:
-    return max(1, -(-rows // size))
+class _Queries:
+    """A block of query vectors with the best passages found so far for each."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, n_docs: int) -> None:
+        self.ids, self.vectors, self.n_docs = ids, vectors, n_docs
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.best = np.full((len(ids), n_docs), -np.inf)
+        self.passages = np.full((len(ids), n_docs), -1, np.int64)
+        self.tiles = self.skipped = 0
+
+    def scan(self, ids: np.ndarray, docs: np.ndarray) -> None:
+        """Score a tile for the queries that may still gain from it.
+
+        The inner product with any passage of the tile is at most that with the tile's centre
+        plus the query's norm times the tile's radius.
+        """
+        centre = docs.mean(axis=0)
+        radius = np.linalg.norm(docs - centre, axis=1).max()
+        bound = self.vectors @ centre + self.norms * radius
+        open_ = np.flatnonzero(bound + 10.0**-SCORE_DECIMALS + 1e-12 * np.abs(bound) >= self.best[:, -1])
+        self.tiles += len(self.ids)
+        self.skipped += len(self.ids) - len(open_)
+        for low in range(0, len(open_), QUERIES_AT_ONCE):
+            self._score(open_[low : low + QUERIES_AT_ONCE], ids, docs)
+
+    def _score(self, asked: np.ndarray, ids: np.ndarray, docs: np.ndarray) -> None:
+        scores = np.round(self.vectors[asked] @ docs.T, SCORE_DECIMALS)
+        keep = min(self.n_docs, len(ids))
+        least = np.maximum(np.partition(scores, -keep, axis=1)[:, -keep], self.best[asked, -1])
+        row, column = np.nonzero(scores >= least[:, None])  # all that tie with the last one stay in
+        some = np.unique(row)
+        old = np.repeat(some, self.n_docs)
+        row = np.concatenate([old, row])
+        score = np.concatenate([self.best[asked[some]].ravel(), scores[row[len(old) :], column]])
+        name = np.concatenate([self.passages[asked[some]].ravel(), ids[column]])
+        order = np.lexsort((name, -score, row))
+        begin = np.searchsorted(row[order], some)
+        first = order[begin[:, None] + np.arange(self.n_docs)]
+        self.best[asked[some]], self.passages[asked[some]] = score[first], name[first]
+
+
+def _cells(docs: np.ndarray, tile_rows: int) -> Iterator[np.ndarray]:
+    """Rows of a batch in tiles of near vectors: by the nearest of some rows of the batch, far apart."""
+    pivots = max(1, len(docs) // tile_rows)
+    near = np.full(len(docs), np.inf)
+    cell = np.zeros(len(docs), np.int64)
+    pivot = 0
+    for number in range(pivots):
+        distance = ((docs - docs[pivot]) ** 2).sum(axis=1)
+        cell[distance < near] = number
+        near = np.minimum(near, distance)
+        pivot = int(near.argmax())
+    order = np.argsort(cell, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        for low in range(0, len(part), tile_rows):
+            yield part[low : low + tile_rows]
+
+
+def _scan_passages(queries: _Queries, tile_rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            ids, docs = batch["vec_id"].to_numpy(), np.stack(batch["embedding"].to_numpy()).astype("float64")
+            for part in _cells(docs, tile_rows):
+                queries.scan(ids[part], docs[part])
+        rows, columns = np.nonzero(queries.passages >= 0)
+        yield pd.DataFrame(
+            {
+                "query_id": queries.ids[rows],
+                "vec_id": queries.passages[rows, columns],
+                "score": queries.best[rows, columns],
+                "tiles": queries.tiles,
+                "skipped": queries.skipped,
+            }
+        )
+
+    return run
 
 
 def retrieve_topk(
     queries: DataFrame,
     passages: DataFrame,
     n_docs: int = 5,
-    slot_rows: int = PASSAGES_PER_SLOT,
-    block_rows: int = QUERIES_PER_BLOCK,
+    tile_rows: int = TILE_ROWS,
+    query_bytes: int = QUERY_BYTES,
+    report: bool = False,
 ) -> DataFrame:
     """Best passages per query by inner product, ties by passage id.
 
-    ``queries`` is (query_id, vector), ``passages`` (vec_id, embedding). Both sides
-    are cut into tiles of bounded size; a task scores one passage slot against one
-    query block as a matrix product and returns only its ``n_docs`` best rows per
-    query, so no pair table exists and nothing is broadcast. Scores are rounded to
-    9 decimals so that equal vectors tie.
-    """
-    slots = _tiles(passages.count(), slot_rows)
-    blocks = _tiles(queries.count(), block_rows)
-    slot_ids = F.sequence(F.lit(0), F.lit(slots - 1))
-    block_ids = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = passages.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int").alias("slot"),
-        F.explode(block_ids).alias("block"), "vec_id", "embedding",
-    )
-    right = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(slot_ids).alias("slot"), "query_id", "vector",
-    )
-
-    def best(tile_passages: pd.DataFrame, tile_queries: pd.DataFrame) -> pd.DataFrame:
-        if tile_passages.empty or tile_queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        tile_passages = tile_passages.sort_values("vec_id")
-        ids = tile_passages["vec_id"].to_numpy()
-        docs = np.stack(tile_passages["embedding"].to_numpy()).astype("float64")
-        asked = np.stack(tile_queries["vector"].to_numpy()).astype("float64")
-        scores = np.round(asked @ docs.T, SCORE_DECIMALS)
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :n_docs]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(tile_queries["query_id"].to_numpy(), top.shape[1]),
-                "vec_id": ids[top].ravel(),
-                "score": np.take_along_axis(scores, top, axis=1).ravel(),
-            }
-        )
+    ``queries`` is (query_id, vector), ``passages`` (vec_id, embedding), ids at least 0. Passages stay
+    where they are: each task walks its own in tiles of near vectors, with a block of queries of at most
+    ``query_bytes`` beside it, and returns its ``n_docs`` best per query. A tile is skipped
+    for the queries whose best so far beats a bound on all its scores, so the result is
+    exact. More queries mean more walks. Scores are rounded to 9 decimals so that equal vectors tie.
 
-    keyed = left.groupBy("slot", "block").cogroup(right.groupBy("slot", "block"))
-    found = keyed.applyInPandas(best, "query_id bigint, vec_id bigint, score double")
+    ``report`` adds to each row how many (tile, query) pairs its task met and how many it skipped.
+    """
+    # an array's 8-byte numbers; the ids are small beside them
+    size = queries.agg(F.sum(F.size("vector")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-8 * size // query_bytes))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    schema = "query_id bigint, vec_id bigint, score double, tiles bigint, skipped bigint"
+    found = None
+    for block in range(blocks):
+        held = queries.where(number == block).select("query_id", "vector").toPandas()
+        if held.empty:
+            continue
+        vectors = np.stack(held["vector"].to_numpy()).astype("float64")
+        walk = _scan_passages(_Queries(held["query_id"].to_numpy(), vectors, n_docs), tile_rows)
+        part = passages.select("vec_id", "embedding").mapInPandas(walk, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], schema)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n_docs)
+    found = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n_docs)
+    return found if report else found.drop("tiles", "skipped")
 
 
 def retrieved_context(

@@ -156,8 +156,8 @@ def test_empty_sequence_is_not_framed(spark):
     assert rows(df.select(a.frame_tokens(F.col("s"), 9, 1))) == [(None,), ([9, 5, 1],)]
 
 
-@pytest.mark.parametrize("slot_rows, block_rows", [(8192, 1024), (17, 13)])
-def test_topk_against_brute_force(spark, tables, slot_rows, block_rows):
+@pytest.mark.parametrize("tile_rows, query_bytes", [(512, 64 << 20), (7, 3000)])
+def test_topk_against_brute_force(spark, tables, tile_rows, query_bytes):
     data = sorted(tables.embeddings.select("vec_id", "embedding").collect())
     ids = np.array([r[0] for r in data])
     vectors = np.array([r[1] for r in data], dtype="float64")
@@ -167,12 +167,35 @@ def test_topk_against_brute_force(spark, tables, slot_rows, block_rows):
         order = sorted(range(len(ids)), key=lambda i: (-row[i], ids[i]))[:3]
         want += [(int(q), n + 1, int(ids[i])) for n, i in enumerate(order)]
     queries = tables.embeddings.selectExpr("vec_id as query_id", "embedding as vector")
-    got = retrieval.retrieve_topk(queries, tables.passages, 3, slot_rows, block_rows)
+    got = retrieval.retrieve_topk(queries, tables.passages, 3, tile_rows, query_bytes)
     assert rows(got, "query_id", "rank", "vec_id") == sorted(
         want, key=lambda r: tuple(str(v) for v in r)
     )
 
 
+def test_topk_skips_far_tiles_and_keeps_ties(spark):
+    """Passages in far-apart groups with many equal vectors: most tiles are skipped, ties go by id."""
+    rng = np.random.default_rng(3)
+    groups = rng.normal(0, 1, (20, 8))
+    groups *= 10 / np.linalg.norm(groups, axis=1, keepdims=True)
+    vectors = np.repeat(groups, 100, axis=0) + rng.normal(0, 0.01, (2000, 8))
+    vectors[::3] = np.repeat(groups, 100, axis=0)[::3]
+    passages = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"
+    ).coalesce(2)
+    queries = spark.createDataFrame(
+        [(i, g.tolist()) for i, g in enumerate(groups)], "query_id long, vector array<double>"
+    )
+    found = retrieval.retrieve_topk(queries, passages, 4, tile_rows=50, report=True).collect()
+    scores = np.round(groups @ vectors.T, 9)
+    want = {(q, n + 1, i) for q in range(20) for n, i in enumerate(np.lexsort((np.arange(2000), -scores[q]))[:4])}
+    assert {(r.query_id, r.rank, r.vec_id) for r in found} == want
+    tasks = {(r.tiles, r.skipped) for r in found}
+    assert sum(s for _, s in tasks) > 0.6 * sum(t for t, _ in tasks)
+    assert retrieval.retrieve_topk(queries.limit(0), passages).count() == 0
+    assert retrieval.retrieve_topk(queries, passages.limit(0)).count() == 0
+
+
 def test_length_buckets():
     bounds, sizes = examples.length_buckets(64, 256)
     assert bounds == [8, 12, 16, 24, 32, 48]

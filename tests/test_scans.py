@@ -1,10 +1,13 @@
 """Blocked scans give the result of plain windows, whatever the block size."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.scans import (
+    Blocks,
     Running,
     hash_rank,
     index_block,
@@ -58,6 +61,83 @@ def test_near(hot, size):
     assert rows(got, "id", "a", "b", "c") == rows(want)
 
 
+@pytest.mark.parametrize("size", [1, 7, 100, 10**6])
+def test_values_that_build_on_each_other(hot, size):
+    """Row before and after, and a running sum of differences, in one set of blocks."""
+    scan = Blocks(hot, ["file_id"], index_block("idx", size), ["idx"])
+    scan = scan.add({"p": Running("prev", F.col("gap")), "n": Running("next", F.col("v"))})
+    scan = scan.with_columns({"d": F.coalesce(F.col("v") - F.col("p"), F.lit(0))})
+    got = scan.add({"s": Running("sum", F.col("d"))}).rows()
+    w = Window.partitionBy("file_id").orderBy("idx")
+    want = hot.withColumns({"p": F.lag("gap").over(w), "n": F.lead("v").over(w)})
+    want = want.withColumn("d", F.coalesce(F.col("v") - F.col("p"), F.lit(0)))
+    want = want.withColumn("s", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert rows(got, "id", "p", "n", "s") == rows(want, "id", "p", "n", "s")
+
+
+def test_whole_keys_and_missing_keys(hot, spark):
+    specs = {"s": Running("sum", F.col("v")), "p": Running("prev", F.col("v")), "m": Running("max", F.col("v"), False)}
+    one = running(hot, ["file_id"], index_block("idx", 50), ["idx"], specs)
+    two = running(hot, ["file_id"], None, ["idx"], specs, whole=True)
+    assert one.columns == two.columns and rows(one) == rows(two)
+    keyless = spark.createDataFrame([(None, 1, 5), (1, 2, 6)], "file_id long, idx long, v long")
+    assert rows(running(keyless, ["file_id"], F.col("idx"), ["idx"], {"s": Running("sum", F.col("v"))})) == [(1, 2, 6, 6)]
+
+
+def executed(df):
+    """Scans and shuffles of the plan as it ran: (file scans, shuffles of rows, all shuffles)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = [x for x in plan.splitlines() if "ReusedExchange" not in x]
+    shuffles = [x for x in lines if re.search(r"Exchange (hash|range|Round|Single)", x)]
+    return (
+        sum("FileScan" in x for x in lines), sum("REPARTITION_BY_COL" in x for x in shuffles), len(shuffles)
+    )
+
+
+def test_rows_are_read_and_moved_once(spark, tables, tmp_path):
+    stored = {}
+    for name, df in {"notes": tables.notes_dense, "tempo": tables.tempo, "cc": tables.cc}.items():
+        df.write.parquet(str(tmp_path / name))
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    # block size 1: every key has something to carry
+    index = running(
+        stored["notes"], ["file_id"], F.col("start_tick"), ["start_tick", "note_idx"],
+        {"n": Running("sum", F.lit(1)), "last": Running("last", F.col("pitch"), upto=False)},
+    )
+    assert executed(index) == (1, 1, 3)
+    scans, moved, _ = executed(tokens.order_notes(stored["notes"]))
+    assert (scans, moved) == (1, 1)
+    steps = tokens.note_steps(stored["notes"])
+    cc = stored["cc"].withColumn("step", F.col("tick"))
+    scans, moved, _ = executed(tokens.order_performance_events(steps, cc))
+    assert (scans, moved) == (2, 1)
+    assert executed(tokens.performance_encode(steps, cc))[0] <= 3
+    probes = stored["notes"].selectExpr("file_id", "note_idx", "start_tick / 64D as t")
+    assert executed(notes.time_to_tick(stored["tempo"], probes))[0] == 2
+    stream = stored["notes"].selectExpr("file_id", "note_idx as pos", "2 + pitch as token")
+    assert executed(tokens.performance_decode(stream)[1])[:2] == (1, 1)
+
+
+def test_chunks_of_a_hot_file_are_spread(spark):
+    """A file with a third of all notes: no task of the row stages gets more than a few blocks of it."""
+    df = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, 0, 1 + id % 50) as file_id", "id as note_idx", "id * 10 as start_tick",
+        "id as start_bin", "id + 3 as end_bin", "id * 10 + 5 as end_tick",
+    )
+    got = chunks.chunk_by_silence(df, block=500)
+    want = chunks.chunk_by_silence(df, block=10**9)
+    columns = ("file_id", "note_idx", "chunk_idx", "chunk_first", "chunk_last", "chunk_start")
+    assert rows(got, *columns) == rows(want, *columns)
+    blocks = Blocks(df.where("file_id = 0"), ["file_id"], index_block("start_bin", 500), ["start_bin"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = blocks.df.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 4 and max(n for _, n in sizes) < 5_000
+
+
 def test_ordinal(hot):
     got = ordinal(hot.drop("idx"), ["file_id"], F.expr("id div 64"), ["id"], "idx")
     assert rows(got, "id", "idx") == rows(hot, "id", "idx")
