@@ -80,13 +80,10 @@ def _(t):
     return out.withColumn("n", F.greatest(F.size("meta"), F.size("note_seq")))
 
 
-BUCKET = "CAST('0x' || md5('0-' || example_id)[1:7] AS BIGINT) % 64"
-BATCHES = f"""b0 AS (SELECT *, {CONCAT} AS ids, {BUCKET} AS bucket, md5('0-' || example_id) AS h
-    FROM v_examples),
-  b1 AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY h, example_id) - 1) // 16 AS batch
-    FROM b0),
+BATCHES = f"""b0 AS (SELECT *, {CONCAT} AS ids, md5('0-' || example_id) AS h FROM v_examples),
+  b1 AS (SELECT *, (row_number() OVER (ORDER BY h, example_id) - 1) // 16 AS batch FROM b0),
   b2 AS (SELECT *, max(len(ids)) OVER w AS width, count(*) OVER w AS batch_rows,
-    max(len(note_seq)) OVER w AS note_width FROM b1 WINDOW w AS (PARTITION BY bucket, batch))"""
+    max(len(note_seq)) OVER w AS note_width FROM b1 WINDOW w AS (PARTITION BY batch))"""
 
 
 def padded_sql(col: str, width: str, pad: int) -> str:
@@ -95,12 +92,12 @@ def padded_sql(col: str, width: str, pad: int) -> str:
 
 
 def batches(t):
-    return ex.padded_batch(ex.concat_example(t.examples), 16, ex.example_pads(), buckets=64)
+    return ex.padded_batch(ex.concat_example(t.examples), 16, ex.example_pads())
 
 
 @register(
-    "padded_batch", "example_id:l bucket:l batch:l batch_rows:l input_ids:s attention_mask:s labels:s",
-    f"""WITH {BATCHES} SELECT example_id, bucket, batch, batch_rows,
+    "padded_batch", "example_id:l batch:l batch_rows:l input_ids:s attention_mask:s labels:s",
+    f"""WITH {BATCHES} SELECT example_id, batch, batch_rows,
           {padded_sql('ids', 'width', 103)} AS input_ids,
           {padded_sql('list_transform(ids, lambda x: 1)', 'width', 0)} AS attention_mask,
           {padded_sql('ids', 'width', 103)} AS labels FROM b2""",
@@ -110,8 +107,8 @@ def _(t):
 
 
 @register(
-    "drop_partial_batches", "example_id:l bucket:l batch:l",
-    f"WITH {BATCHES} SELECT example_id, bucket, batch FROM b2 WHERE batch_rows = 16",
+    "drop_partial_batches", "example_id:l batch:l",
+    f"WITH {BATCHES} SELECT example_id, batch FROM b2 WHERE batch_rows = 16",
 )
 def _(t):
     return ex.drop_partial_batches(batches(t), 16)
@@ -145,12 +142,12 @@ def _(t):
 
 
 @register(
-    "pad_labels", "example_id:l bucket:l batch:l labels:s",
-    f"""WITH {BATCHES} SELECT example_id, bucket, batch, {padded_sql('note_seq', 'note_width', 0)}
+    "pad_labels", "example_id:l batch:l labels:s",
+    f"""WITH {BATCHES} SELECT example_id, batch, {padded_sql('note_seq', 'note_width', 0)}
         AS labels FROM b2""",
 )
 def _(t):
-    rows = ex.assign_batches(t.examples, 16, buckets=64).withColumn("labels", F.col("note_seq"))
+    rows = ex.assign_batches(t.examples, 16).withColumn("labels", F.col("note_seq"))
     return texts(ex.pad_labels(rows), "labels")
 
 
@@ -289,21 +286,21 @@ BOUNDS, SIZES = [8, 12, 16, 24, 32, 48], [36, 23, 17, 11, 8, 5, 4]
 
 
 @register(
-    "bucket_by_length", "example_id:l length_bucket:l bucket:l batch:l targets:s",
+    "bucket_by_length", "example_id:l length_bucket:l batch:l targets:s",
     f"""WITH l AS (SELECT example_id, list_concat(note_seq, note_seq, note_seq) AS targets,
-          {BUCKET.replace('% 64', '% 4')} AS bucket, md5('0-' || example_id) AS h FROM v_examples),
+          md5('0-' || example_id) AS h FROM v_examples),
         k AS (SELECT *, {' + '.join(f'CASE WHEN len(targets) >= {b} THEN 1 ELSE 0 END' for b in BOUNDS)}
           AS length_bucket FROM l),
-        n AS (SELECT *, (row_number() OVER (PARTITION BY length_bucket, bucket ORDER BY h, example_id)
+        n AS (SELECT *, (row_number() OVER (PARTITION BY length_bucket ORDER BY h, example_id)
           - 1) // {SIZES}[length_bucket + 1] AS batch FROM k),
-        w AS (SELECT *, max(len(targets)) OVER (PARTITION BY length_bucket, bucket, batch) AS width
+        w AS (SELECT *, max(len(targets)) OVER (PARTITION BY length_bucket, batch) AS width
           FROM n)
-        SELECT example_id, length_bucket, bucket, batch, {padded_sql('targets', 'width', 0)} AS targets
+        SELECT example_id, length_bucket, batch, {padded_sql('targets', 'width', 0)} AS targets
         FROM w""",
 )
 def _(t):
     rows = t.examples.withColumn("targets", F.concat("note_seq", "note_seq", "note_seq"))
-    return texts(ex.bucket_by_length(rows, 64, tokens_per_batch=256, buckets=4), "targets")
+    return texts(ex.bucket_by_length(rows, 64, tokens_per_batch=256), "targets")
 
 
 @register(

@@ -296,22 +296,26 @@ def hash_below(
 
 
 def hash_rank(
-    df: DataFrame, ids: Sequence[str], seed: int, name: str, digits: int = 4
+    df: DataFrame,
+    ids: Sequence[str],
+    seed: int,
+    name: str,
+    digits: int = 4,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact 1-based rank of all rows in hash order without a global sort.
+    """Exact 1-based rank of all rows in hash order without a global sort, per group of ``within``.
 
-    Rows are counted per hash prefix (at most 16^digits groups), the counts are
-    summed up over that fixed-size table, and ranks are taken inside a prefix.
+    Rows are counted per hash prefix (at most 16^digits per group), the counts are
+    summed up over that table, and ranks are taken inside a prefix.
     """
+    at = [*within, "__prefix"]
     hashed = df.withColumn("__hash", hash_text(seed, *ids))
     hashed = hashed.withColumn("__prefix", F.substring("__hash", 1, digits))
-    counts = hashed.groupBy("__prefix").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "__prefix", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
-    )
-    inside = Window.partitionBy("__prefix").orderBy("__hash", *ids)
-    ranked = hashed.join(offsets, "__prefix").withColumn(
+    counts = hashed.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*within).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*at, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*at).orderBy("__hash", *ids)
+    ranked = hashed.join(offsets, at).withColumn(
         name, (F.col("__offset") + F.row_number().over(inside)).cast("bigint")
     )
-    return ranked.drop("__hash", "__prefix", "__offset")
+    return ranked.select(*[c for c in df.columns if c != name], name)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import dims
 from scorelake.functions import arrays as a
 from scorelake.functions.scalars import idiv
-from scorelake.functions.scans import hash_below, hash_text
+from scorelake.functions.scans import hash_below, hash_rank, spread_join
 
 CATEGORY_AT = list(dims.ATTRIBUTES).index("track_category") + 1
 
@@ -64,21 +64,15 @@ def assign_batches(
     size: Column | int,
     ids: Sequence[str] = ("example_id",),
     seed: int = 0,
-    buckets: int = 1024,
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``bucket`` and ``batch``: groups of ``size`` rows in hash order.
+    """Add ``batch``: ``size`` rows each in hash order, numbered from 0; only the last one may have fewer.
 
-    Rows are cut into hash buckets first, so batching never needs one global
-    order; each bucket may end with a smaller batch. Choose ``buckets`` so that a
-    bucket fits one task.
+    Each group of rows that agree in ``within`` is batched by itself. The place of a row follows from
+    counts per hash prefix and its place inside the prefix, so rows move once and no task orders all of them.
     """
-    hashed = rows.withColumn("__hash", hash_text(seed, *ids))
-    number = F.conv(F.substring("__hash", 1, 7), 16, 10).cast("bigint")
-    hashed = hashed.withColumn("bucket", F.pmod(number, F.lit(buckets)))
-    order = Window.partitionBy(*within, "bucket").orderBy("__hash", *ids)
-    place = F.row_number().over(order) - 1
-    return hashed.withColumn("batch", idiv(place, size)).drop("__hash")
+    ranked = hash_rank(rows, ids, seed, "__rank", within=within)
+    return ranked.withColumn("batch", idiv(F.col("__rank") - 1, size)).drop("__rank")
 
 
 def padded_batch(
@@ -87,16 +81,19 @@ def padded_batch(
     pads: dict[str, int],
     ids: Sequence[str] = ("example_id",),
     seed: int = 0,
-    buckets: int = 1024,
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Batches whose array columns are padded to the longest row of the batch."""
-    out = assign_batches(rows, size, ids, seed, buckets, within)
-    batch = Window.partitionBy(*within, "bucket", "batch")
-    widths = {f"__w_{c}": F.max(F.size(c)).over(batch) for c in pads}
-    out = out.withColumns({**widths, "batch_rows": F.count(F.lit(1)).over(batch)})
+    """Batches whose array columns are padded to the longest row of the batch; ``batch_rows`` counts it."""
+    return _pad(assign_batches(rows, size, ids, seed, within), pads, [*within, "batch"], "batch_rows")
+
+
+def _pad(batches: DataFrame, pads: dict[str, int], batch: list[str], count: str | None = None) -> DataFrame:
+    """Array columns padded to the longest of their batch: the lengths meet as one row per batch."""
+    widths = {f"__w_{c}": F.max(F.size(c)) for c in pads} | ({count: F.count(F.lit(1))} if count else {})
+    facts = batches.groupBy(*batch).agg(*[w.alias(n) for n, w in widths.items()])
+    out = spread_join(batches, facts, batch)
     padded = {c: a.pad_to(F.col(c), F.col(f"__w_{c}"), pad) for c, pad in pads.items()}
-    return out.withColumns(padded).drop(*widths)
+    return out.withColumns(padded).select(*batches.columns, *([count] if count else []))
 
 
 def example_pads(pad_id: int = dims.GPT_PAD) -> dict[str, int]:
@@ -109,10 +106,7 @@ def drop_partial_batches(batches: DataFrame, size: int) -> DataFrame:
 
 def pad_labels(batches: DataFrame, column: str = "labels") -> DataFrame:
     """Labels padded with 0 to the longest of their batch."""
-    width = F.max(F.size(column)).over(Window.partitionBy("bucket", "batch"))
-    return batches.withColumn("__w", width).withColumn(
-        column, a.pad_to(F.col(column), F.col("__w"), 0)
-    ).drop("__w")
+    return _pad(batches, {column: 0}, ["batch"])
 
 
 def relative_example(examples: DataFrame, maxlen: int = 512, sos: int = 422) -> DataFrame:

@@ -433,14 +433,20 @@ def word_events(tokens: DataFrame, vocab: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def match_event_triples(
-    events: DataFrame, keys: Sequence[str] = ("file_id",), grid: int = 32, bar_ticks: int = 1920
+    events: DataFrame,
+    keys: Sequence[str] = ("file_id",),
+    grid: int = 32,
+    bar_ticks: Column | int = 1920,
 ) -> DataFrame:
     """Notes, chords and tempos spelled by consecutive words, with their ticks.
 
+    ``bar_ticks`` may be a column of the events, where files differ in meter.
+
     A match must start at least three words before the end. Bars after the first
     word count up the bar number.
     """
     keys = list(keys)
+    bar_ticks = F.lit(bar_ticks) if isinstance(bar_ticks, int) else bar_ticks
     ahead = {f"n{i}": ("name", i) for i in (1, 2, 3)} | {f"v{i}": ("val", i) for i in (1, 2, 3)}
     rows = near(events, keys, "ev", ahead)
     bars = F.when((F.col("name") == "Bar") & (F.col("ev") > 0), 1).otherwise(0)
@@ -456,7 +462,7 @@ def match_event_triples(
     rows = rows.where(F.col("kind").isNotNull())
     place = F.split("val", "/")[0].cast("bigint") - 1
     start = F.col("bar") * bar_ticks + s.idiv(place * bar_ticks, grid)
-    step = bar_ticks // (4 * grid)
+    step = s.duration_step(bar_ticks, grid)
     is_note = F.col("kind") == "note"
     number = lambda c: F.expr(f"try_cast({c} as bigint)")
     return rows.select(
@@ -472,11 +478,17 @@ def match_event_triples(
 
 
 def bar_decode(
-    tokens: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("file_id",), beats: int = 4
+    tokens: DataFrame,
+    vocab: DataFrame,
+    keys: Sequence[str] = ("file_id",),
+    beats: Column | int = 4,
 ) -> DataFrame:
-    """Notes, chords and tempos of bar tokens (keys, pos, token)."""
+    """Notes, chords and tempos of bar tokens (keys, pos, token).
+
+    ``beats`` a bar are those of the file's meter: a number, or a column of the tokens.
+    """
     events = word_events(tokens, vocab, keys)
-    return match_event_triples(events, keys, bar_ticks=480 * beats)
+    return match_event_triples(events, keys, bar_ticks=beats * 480)
 
 
 def expand_tempo_to_beats(tempo: DataFrame, beat: int = 480) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from scorelake import dims
 from scorelake.functions import arrays as a
-from scorelake.operators import chunks, examples, meta, noise, notes, retrieval, tokens, tracks
+from scorelake.functions.scalars import meter_parts
+from scorelake.functions.scans import ordinal
+from scorelake.operators import chunks, examples, meta, noise, notes, retrieval, tokens, tracks, windows
 from scorelake.plans import corpus
 from scorelake.sources import catalog, sinks
 from tests.conftest import SF, rows
@@ -56,8 +58,6 @@ def test_performance_round_trip(spark):
     stepped = tokens.note_steps(df)
     encoded = tokens.performance_encode(stepped)
     pos = encoded.selectExpr("file_id", "token", "sub", "ord")
-    from scorelake.functions.scans import ordinal
-
     stream = ordinal(pos, ["file_id"], F.col("ord"), ["ord", "sub"], "pos")
     back, cc = tokens.performance_decode(stream, block=50)
     lead = stepped.groupBy("file_id").agg(F.min("start_step").alias("t0"))
@@ -77,8 +77,6 @@ def test_bar_round_trip(spark):
         data, "file_id int, note_idx bigint, start_tick bigint, end_tick bigint, pitch int, velocity int"
     ).withColumn("end_tick", F.col("start_tick") + 15 * (1 + F.col("note_idx") % 100))
     encoded = tokens.bar_encode(tokens.note_items(df, ["file_id"]))
-    from scorelake.functions.scans import ordinal
-
     stream = ordinal(encoded, ["file_id"], F.col("bar"), ["bar", "place", "sub"], "pos")
     back = tokens.bar_decode(stream, dims.bar_vocab(spark))
     columns = ("file_id", "start_tick", "end_tick", "pitch", "velocity")
@@ -203,6 +201,56 @@ def test_length_buckets():
     assert examples.length_buckets(8, 4) == ([], [1])
 
 
+def test_one_partial_batch_per_length_bucket(tables):
+    df = tables.examples
+    n = df.count()
+    sizes = examples.assign_batches(df, 16).groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in sizes) == sorted([16] * (n // 16) + ([n % 16] if n % 16 else []))
+    assert {r.batch for r in sizes} == set(range(-(-n // 16)))
+    _, rule = examples.length_buckets(64, 256)
+    rows_ = df.withColumn("targets", F.concat("note_seq", "note_seq"))
+    out = examples.bucket_by_length(rows_, 64, tokens_per_batch=256).groupBy("length_bucket", "batch").count()
+    partial = out.where(F.col("count") < F.get(F.array(*map(F.lit, rule)), F.col("length_bucket")))
+    assert partial.groupBy("length_bucket").count().where("count > 1").isEmpty()
+
+
+def test_bar_encodings_follow_the_meter(spark):
+    """2/2 counts two beats a bar, eighths half a beat each."""
+    meters = spark.createDataFrame([("4/4",), ("2/2",), ("6/8",), ("5/8",), ("3/4",)], "m string")
+    ticks = meters.select(windows.encoding_bar_ticks(*meter_parts(F.col("m"))).alias("t"))
+    assert [r.t for r in ticks.collect()] == [1920, 960, 1440, 1200, 1440]
+    header = spark.createDataFrame([(1, "4/4"), (2, "2/2"), (3, "6/8"), (4, None)], "file_id long, time_signature string")
+    keys = corpus.SEGMENT
+    segments = spark.createDataFrame(
+        [(f, 1, 0, 4, 0, i, 480 * i, 480 * i + 480, 60 + i, 64) for f in (1, 2, 3, 4) for i in range(12)],
+        "file_id long, track_idx long, chunk_idx int, n_bars int, window_idx int, note_idx long, start_tick long,"
+        " end_tick long, pitch int, velocity int",
+    )
+    bars = {r.file_id: r.note_seq.count(2) for r in corpus.encode_notes(segments, header, "bar", keys).collect()}
+    assert bars == {1: 3, 2: 6, 3: 4, 4: 3}
+    words = {r.file_id: r.note_seq for r in corpus.encode_notes(segments, header, "compound", keys).collect()}
+    assert all(len(w) % 7 == 0 for w in words.values()) and len(words[2]) > len(words[1])
+    sung = corpus.encode_notes(segments, header, "bar_detected", keys).collect()
+    assert {r.file_id for r in sung} == {1, 2, 3, 4} and all(r.note_seq[-1] == 1 for r in sung)
+    with pytest.raises(ValueError, match="encoder"):
+        corpus.encode_notes(segments, header, "other", keys)
+
+
+def test_bar_decode_by_each_files_beats(spark):
+    notes_ = [(f, "Note", 480 * i, 480 * i + 240, 60 + i, 64, i, None) for f in (1, 2) for i in range(12)]
+    items = spark.createDataFrame(
+        notes_, "file_id long, name string, start_tick long, end_tick long, pitch int, velocity int, note_idx long, chord string"
+    ).withColumn("beats", F.when(F.col("file_id") == 1, 4).otherwise(3))
+    coded = tokens.bar_encode(items, ["file_id"], F.col("beats") * 480)
+    stream = ordinal(coded, ["file_id"], F.col("bar"), ["bar", "place", "sub"], "pos")
+    stream = stream.withColumn("beats", F.when(F.col("file_id") == 1, 4).otherwise(3))
+    back = tokens.bar_decode(stream, dims.bar_vocab(spark), beats=F.col("beats")).where("kind = 'note'")
+    # a third of a bar is no point of the grid: half a grid step is lost at most
+    want = {(r.file_id, r.pitch): r.start_tick for r in items.collect()}
+    got = {(r.file_id, r.pitch): r.start_tick for r in back.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1440 / 64 for k in want)
+
+
 def test_shard_names_beyond_four_digits(spark):
     shards = spark.createDataFrame([(0,), (9_999,), (12_345,), (123_456,)], "shard long")
     names = shards.select(sinks.shard_name(F.col("shard"))).collect()
@@ -331,7 +379,7 @@ def test_pushdown(spark, tables):
 
 
 def test_training_batches(tables):
-    out = corpus.training_batches(tables.examples, 8, 30, ["example_id"], buckets=4)
+    out = corpus.training_batches(tables.examples, 8, 30, ["example_id"])
     sizes = out.groupBy("bucket", "batch").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.size("input_ids")).alias("w")
     )
