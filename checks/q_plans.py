@@ -141,6 +141,31 @@ def web_examples_bar(t):
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
 
 
+STEADY_SQL = WEB_SQL.replace(
+    "FROM tempo_a a JOIN v_attrs USING (file_id)),",
+    """FROM tempo_a a JOIN v_attrs USING (file_id)
+    WHERE file_id NOT IN (SELECT file_id FROM v_events WHERE type = 'key_signature' AND value % 2 = 0
+        GROUP BY file_id HAVING count(*) > 8)
+      AND file_id NOT IN (SELECT file_id FROM v_events WHERE type = 'time_signature' AND value % 9 = 0
+        GROUP BY file_id HAVING count(*) > 1)),""",
+)
+
+
+@register(
+    "web_examples_steady",
+    "file_id:l track_idx:l chunk_idx:l n_bars:l window_idx:l meta:s note_seq:s",
+    f"""WITH {STEADY_SQL} SELECT {SEG}, array_to_string(meta, ',') AS meta,
+          array_to_string(note_seq, ',') AS note_seq FROM examples""",
+)
+def web_examples_steady(t):
+    keys = t.midi_events.where("type = 'key_signature' and value % 2 = 0")
+    meters = t.midi_events.where("type = 'time_signature' and value % 9 = 0")
+    out = corpus.web_examples(
+        t.notes_dense, t.tempo, t.tempo_end, header(t), key_changes=keys, meter_changes=meters
+    )
+    return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
+
+
 # --- catalogue --------------------------------------------------------------
 
 SAMPLES_SQL = """(SELECT CAST(c_custkey AS VARCHAR) AS id, 60 + c_custkey % 160 AS bpm,
@@ -325,6 +350,43 @@ def tagged_examples(t):
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
 
 
+# --- augmentation -----------------------------------------------------------
+
+KEY_LIST = "[" + ", ".join(f"'{k}'" for k in dims.KEY_NAMES) + "]"
+AUGMENT_SQL = f"""
+  d AS (SELECT t.file_id, bpm, end_sec, lead(time_sec, 1, end_sec) OVER (PARTITION BY t.file_id ORDER BY seq)
+      - time_sec AS dur FROM v_tempo t JOIN v_tempo_end e USING (file_id)),
+  pace AS (SELECT file_id, CASE WHEN count(*) = 1 THEN max(bpm)
+      ELSE CAST(floor(sum(bpm * dur) / max(end_sec)) AS BIGINT) // 5 * 5 END AS v FROM d GROUP BY file_id),
+  f AS (SELECT file_id, file_id % 24 AS k, arg_min(start_tick, note_idx) AS off FROM v_notes_dense
+    WHERE track_name = 'chord' GROUP BY file_id),
+  span AS (SELECT file_id, min(pitch + file_id % 40) AS lo, max(pitch + file_id % 40) AS hi, count(*) AS n,
+      sum(pitch + file_id % 40) AS p, sum(start_tick) AS st, sum(end_tick) AS et
+    FROM v_notes_dense WHERE track_name <> 'chord' GROUP BY file_id),
+  aug AS (SELECT file_id * 60 + (s + 6) * 5 + b + 2 AS variant, file_id AS source_id,
+      concat_ws('_', 'f' || file_id, {KEY_LIST}[k // 12 * 12 + (k % 12 + s + 12) % 12 + 1], v + 5 * b) AS stem,
+      n, p + n * s AS pitches, st - n * off AS starts, et - n * off AS ends
+    FROM span JOIN f USING (file_id) JOIN pace USING (file_id) CROSS JOIN range(-6, 6) r(s) CROSS JOIN range(-2, 3) q(b)
+    WHERE lo + s >= 0 AND hi + s <= 127)"""
+
+
+@register(
+    "augment_catalog", "file_id:l source_id:l stem:s n:l pitches:l starts:l ends:l",
+    f"WITH {AUGMENT_SQL} SELECT variant AS file_id, source_id, stem, n, pitches, starts, ends FROM aug",
+)
+def augment_catalog(t):
+    note_rows = t.notes_dense.withColumn("pitch", F.expr("pitch + cast(file_id % 40 as int)"))
+    files = t.notes_dense.select("file_id").distinct().selectExpr(
+        "file_id", "concat('f', file_id) as stem", "file_id % 24 as key_number"
+    )
+    named, rows = corpus.augment_catalog(files, note_rows, t.tempo, t.tempo_end)
+    sums = rows.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pitch").alias("pitches"), F.sum("start_tick").alias("starts"),
+        F.sum("end_tick").alias("ends"),
+    )
+    return named.join(sums, "file_id")
+
+
 # --- the mix of all corpora, split and written ------------------------------
 
 MIX = f"""(SELECT concat_ws('-', 'web', {SEG}) AS example_id, 'web' AS profile, meta, 'unknown' AS chord_hash,

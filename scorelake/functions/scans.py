@@ -123,18 +123,18 @@ class Blocks:
                 carry[n] = (F.lag if s.kind == "prev" else F.lead)(total).over(along)
             else:
                 carry[n] = _over(s.kind, total, _upto(along, False))
-        carried = totals.select(*self.at, *[c.alias(f"__c_{n}") for n, c in carry.items()])
         # most keys have one block, and nothing to carry
-        carried = carried.where(reduce(or_, [F.col(f"__c_{n}").isNotNull() for n in specs]))
+        carried = totals.select(*self.at, *[c.alias(f"__c_{n}") for n, c in carry.items()]).where(
+            reduce(or_, [F.col(f"__c_{n}").isNotNull() for n in specs])
+        )
         inside = Window.partitionBy(*self.at).orderBy(*self.order)
-        rows = rows.withColumns({f"__h_{n}": _inside(s, inside) for n, s in specs.items()})
+        here = rows.select("*", *[_inside(s, inside).alias(f"__h_{n}") for n, s in specs.items()])
         # hashing the few summary rows spares a second sort of the rows
-        rows = rows.join(carried.hint("shuffle_hash"), self.at, "left")
-        rows = rows.withColumns(
-            {n: _merge(s.kind, F.col(f"__c_{n}"), F.col(f"__h_{n}")) for n, s in specs.items()}
+        out = here.join(carried.hint("shuffle_hash"), self.at, "left").select(
+            *[c for c in rows.columns if c not in specs],
+            *[_merge(s.kind, F.col(f"__c_{n}"), F.col(f"__h_{n}")).alias(n) for n, s in specs.items()],
         )
-        rows = rows.drop(*[f"__{x}_{n}" for n in specs for x in "hc"])
-        return self._with(_fenced(rows))
+        return self._with(_fenced(out))
 
     def with_columns(self, columns: dict[str, Column]) -> Blocks:
         """Columns computed from each row by itself."""

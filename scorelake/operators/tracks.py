@@ -88,6 +88,12 @@ def reject_unstable(changes: DataFrame, max_changes: int = dims.MAX_CHANGES) ->
     return counts.where(F.col("changes") <= max_changes)
 
 
+def unsteady(changes: DataFrame, most: int = dims.MAX_CHANGES) -> DataFrame:
+    """Files with more than ``most`` rows in a change list; files without any row are steady."""
+    counts = changes.groupBy("file_id").agg(F.count(F.lit(1)).alias("changes"))
+    return counts.where(F.col("changes") > most).select("file_id")
+
+
 def reject_empty(files: DataFrame, notes: DataFrame) -> DataFrame:
     """Files that hold at least one note and end after time zero."""
     filled = notes.groupBy("file_id").agg(F.max("end_tick").alias("e")).where(F.col("e") > 0)

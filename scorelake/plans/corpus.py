@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,22 @@ SEGMENT = [*CHUNK, "n_bars", "window_idx"]
 ENCODERS = ("performance", "bar", "bar_detected", "compound")
 
 
-def file_facts(tempo: DataFrame, ends: DataFrame, header: DataFrame) -> DataFrame:
+def file_facts(
+    tempo: DataFrame,
+    ends: DataFrame,
+    header: DataFrame,
+    key_changes: DataFrame | None = None,
+    meter_changes: DataFrame | None = None,
+) -> DataFrame:
     """Mean tempo and bar length of the files that are stable enough to use.
 
-    ``header`` is (file_id, audio_key, time_signature, path, ...), one row a file.
+    ``header`` is (file_id, audio_key, time_signature, path, ...), one row a file. The change lists
+    have a row per key or meter event; files with more than eight of either are left out.
     """
     stable = tracks.reject_unstable(tempo).select("file_id")
+    for changes in (key_changes, meter_changes):
+        if changes is not None:
+            stable = stable.join(tracks.unsteady(changes), "file_id", "left_anti")
     mean = notes.avg_bpm(tempo, ends).join(stable, "file_id", "left_semi")
     numerator, denominator = meter_parts(F.coalesce("time_signature", F.lit("4/4")))
     facts = header.join(mean, "file_id").withColumnRenamed("avg_bpm", "bpm").drop("changes")
@@ -182,14 +194,20 @@ def web_examples(
     header: DataFrame,
     profile: Profile = WEB,
     encoder: str = "performance",
+    key_changes: DataFrame | None = None,
+    meter_changes: DataFrame | None = None,
 ) -> DataFrame:
     """Training examples of a chunked corpus, one row per window segment.
 
     Facts, chunks and segments are each read by several branches, so each is
-    written to the checkpoint folder once.
+    written to the checkpoint folder once. Given change lists, files with more than eight
+    key or meter events have no chunks, and files with more than one meter no windows.
     """
-    facts = cut_lineage(file_facts(tempo, ends, header))
-    chunk_rows = cut_lineage(chunk_notes(note_rows, facts, profile))
+    facts = cut_lineage(file_facts(tempo, ends, header, key_changes, meter_changes))
+    chunk_rows = chunk_notes(note_rows, facts, profile)
+    if meter_changes is not None:
+        chunk_rows = chunk_rows.join(tracks.unsteady(meter_changes, 1), "file_id", "left_anti")
+    chunk_rows = cut_lineage(chunk_rows)
     unknown = F.lit(None).cast("string")
     known = facts.select(
         "file_id", "bpm", "audio_key", "time_signature",
@@ -286,6 +304,42 @@ def catalog_examples(
     return encoded.join(tokens.pack_tokens(sounding, ["file_id"], ["pos"]), "file_id")
 
 
+def augment_catalog(
+    files: DataFrame,
+    note_rows: DataFrame,
+    tempo: DataFrame,
+    ends: DataFrame,
+    key_shifts: Sequence[int] = notes.KEY_SHIFTS,
+    tempo_shifts: Sequence[int] = notes.TEMPO_SHIFTS,
+) -> tuple[DataFrame, DataFrame]:
+    """Files and notes of every key and tempo variant, as ``catalog_examples`` takes them.
+
+    ``files`` is (file_id, stem, key_number). A variant is named stem_key_bpm and numbered in
+    ``file_id``, ``source_id`` is the file it comes from. Variants with a pitch outside of 0..127
+    are left out, as are files without a chord track, a key or a tempo. Notes are moved once
+    per key; tempo variants of a key share them.
+    """
+    keys = max(key_shifts) - min(key_shifts) + 1
+    bpms = max(tempo_shifts) - min(tempo_shifts) + 1
+    wanted = notes.augment_grid(files.select("file_id", "key_number"), key_shifts, [0]).drop("bpm_shift")
+    moved = notes.transpose_notes(note_rows, wanted.where(F.col("key_number").isNotNull()))
+    at = ["file_id", "key_shift", "new_key"]
+    span = moved.groupBy(*at).agg(F.min("pitch").alias("lo"), F.max("pitch").alias("hi"))
+    span = span.where((F.col("lo") >= 0) & (F.col("hi") <= 127)).drop("lo", "hi")
+    paced = notes.augment_bpm(tempo, ends, tempo_shifts).groupBy("file_id", "bpm_shift").agg(F.max("bpm").alias("bpm"))
+    variant = (F.col("key_shift") - min(key_shifts)) * bpms + F.col("bpm_shift") - min(tempo_shifts)
+    named = span.join(paced, "file_id").join(files.select("file_id", "stem"), "file_id").select(
+        (F.col("file_id") * (keys * bpms) + variant).cast("bigint").alias("variant_id"),
+        F.col("file_id").alias("source_id"), "key_shift",
+        F.concat_ws("_", "stem", dims.indexed(dims.KEY_NAMES, F.col("new_key")), F.col("bpm").cast("string")).alias("stem"),
+    )
+    rows = moved.withColumnRenamed("file_id", "source_id").join(
+        named.select("variant_id", "source_id", "key_shift"), ["source_id", "key_shift"]
+    )
+    rows = rows.drop("source_id", "key_shift", "new_key").withColumnRenamed("variant_id", "file_id")
+    return named.withColumnRenamed("variant_id", "file_id").drop("key_shift"), rows
+
+
 def encoded_tempo(header: DataFrame) -> DataFrame:
     """Tempo of each file, 120 where the catalogue has none."""
     return header.select("file_id", F.coalesce("bpm", F.lit(120)).alias("bpm"))

@@ -236,6 +236,40 @@ def test_bar_encodings_follow_the_meter(spark):
         corpus.encode_notes(segments, header, "other", keys)
 
 
+def test_files_with_many_key_or_meter_changes_have_no_examples(spark, tables):
+    from checks.q_plans import header
+
+    def files(**changes):
+        out = corpus.web_examples(tables.notes_dense, tables.tempo, tables.tempo_end, header(tables), **changes)
+        return {r.file_id for r in out.select("file_id").distinct().collect()}
+
+    every = files()
+    one, two = sorted(every)[:2]
+    changes = lambda *n: spark.createDataFrame([(f, i) for f, k in n for i in range(k)], "file_id long, at long")
+    assert len(every) > 2
+    assert files(key_changes=changes((one, 8), (two, 9)), meter_changes=changes((one, 1))) == every - {two}
+    assert files(meter_changes=changes((one, 2), (two, 1))) == every - {one}
+
+
+def test_augmented_files(spark):
+    notes_ = [(1, i, "chord" if i < 2 else "main_melody", 100 + 10 * i, 200 + 10 * i, 60 + i) for i in range(6)]
+    notes_ += [(2, 0, "main_melody", 0, 10, 60), (3, 0, "chord", 5, 9, 60), (3, 1, "main_melody", 7, 9, 124)]
+    note_rows = spark.createDataFrame(
+        notes_, "file_id long, note_idx long, track_name string, start_tick long, end_tick long, pitch int"
+    )
+    files = spark.createDataFrame([(1, "a", 11), (2, "b", 0), (3, "c", 14)], "file_id long, stem string, key_number int")
+    tempo = spark.createDataFrame([(f, 0, 0, 102) for f in (1, 2, 3)], "file_id long, seq long, time_sec long, bpm int")
+    ends = spark.createDataFrame([(f, 10) for f in (1, 2, 3)], "file_id long, end_sec long")
+    named, moved = corpus.augment_catalog(files, note_rows, tempo, ends)
+    got = {r.stem: (r.file_id, r.source_id) for r in named.collect()}
+    major = ["fmajor", "gbmajor", "gmajor", "abmajor", "amajor", "bbmajor", "bmajor", "cmajor", "dbmajor", "dmajor", "ebmajor", "emajor"]
+    minor = ["g#minor", "aminor", "bbminor", "bminor", "cminor", "c#minor", "dminor", "ebminor", "eminor", "fminor"]
+    assert set(got) == {f"{s}_{k}_{b}" for s, keys in (("a", major), ("c", minor)) for k in keys for b in (92, 97, 102, 107, 112)}
+    assert len({i for i, _ in got.values()}) == len(got)
+    here = {(r.start_tick, r.end_tick, r.pitch) for r in moved.where(F.col("file_id") == got["a_cmajor_97"][0]).collect()}
+    assert here == {(10 * i, 100 + 10 * i, 61 + i) for i in range(2, 6)}
+
+
 def test_bar_decode_by_each_files_beats(spark):
     notes_ = [(f, "Note", 480 * i, 480 * i + 240, 60 + i, 64, i, None) for f in (1, 2) for i in range(12)]
     items = spark.createDataFrame(
