@@ -414,7 +414,7 @@ def test_pushdown(spark, tables):
 
 def test_training_batches(tables):
     out = corpus.training_batches(tables.examples, 8, 30, ["example_id"])
-    sizes = out.groupBy("bucket", "batch").agg(
+    sizes = out.groupBy("batch").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.size("input_ids")).alias("w")
     )
     assert rows(sizes.select("n", "w").distinct()) == [(8, 1)]
