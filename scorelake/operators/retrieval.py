@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.arrays import bracketed
 from scorelake.functions.scalars import parse_ids
-from scorelake.functions.scans import near, spread_join
+from scorelake.functions.scans import near
 from scorelake.operators.tokens import order_notes
+from scorelake.session import cut_lineage
 
 #: Passages scored at once.
 TILE_ROWS = 512
@@ -21,6 +22,11 @@ QUERY_BYTES = 64 << 20
 #: Queries scored at once against a tile.
 QUERIES_AT_ONCE = 4096
 SCORE_DECIMALS = 9
+#: Library prints of a block.
+BLOCK_PRINTS = 1 << 20
+#: Library prints walked at once inside a block, and pairs of prints held at once.
+RANGE_ROWS = 1 << 18
+PAIRS_AT_ONCE = 1 << 21
 
 
 def title_and_body(rows: DataFrame, ids: str = "ids", size: int = 5) -> DataFrame:
@@ -175,24 +181,167 @@ def fingerprints(notes: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFr
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fingerprint_match(queries: DataFrame, library: DataFrame) -> DataFrame:
-    """Best (candidate, tick offset) of each query recording by matching prints.
+def _codes(columns: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each distinct row of the columns, the same for the rows of both sides."""
+    size = len(columns[0][0])
+    code = np.zeros(size + len(columns[0][1]), np.int64)
+    for pair in columns:
+        values, place = np.unique(np.concatenate(pair), return_inverse=True)
+        code = np.unique(code * len(values) + place, return_inverse=True)[1]
+    return code[:size], code[size:]
 
-    Prints are counted before the join; a print that is frequent in the library is
-    spread over salts, and every match votes.
+
+class _Library:
+    """Prints of some recordings, by candidate range and print."""
+
+    def __init__(self, prints: np.ndarray, candidate: np.ndarray, tick: np.ndarray, n: np.ndarray, ranges: int) -> None:
+        self.ids, self.place = np.unique(candidate, return_inverse=True)
+        self.low = tick.min()
+        self.parts = []
+        share = np.minimum(np.arange(ranges + 1) * -(-len(self.ids) // ranges), len(self.ids))
+        part = np.searchsorted(share, self.place, side="right") - 1
+        order = np.lexsort((self.place, prints, part))
+        for number, rows in enumerate(np.split(order, np.searchsorted(part[order], np.arange(1, ranges)))):
+            if len(rows):
+                self.parts.append((prints[rows], self.place[rows] - share[number], tick[rows], n[rows], share[number]))
+
+
+def _pairs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each asked print beside each of the ``count`` places from ``first`` on."""
+    asked = np.repeat(np.arange(len(count)), count)
+    return asked, np.arange(len(asked)) - np.repeat(np.cumsum(count) - count - first, count)
+
+
+def _top_vote(place: np.ndarray, offset: np.ndarray, votes: np.ndarray) -> tuple[int, int, int]:
+    """(votes, place, offset) of the most votes, then of the lowest place and offset."""
+    low = offset.min()
+    span = int(offset.max()) - int(low) + 1
+    if span * (int(place.max()) + 1) < 2**63:
+        key = place * span + (offset - low)
+        if (votes == 1).all():
+            key.sort()
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            total = np.diff(begin, append=len(key))
+        else:
+            order = np.argsort(key)
+            key, votes = key[order], votes[order]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            total = np.add.reduceat(votes, begin)
+        best = int(total.argmax())
+        found = divmod(int(key[begin[best]]), span)
+        return int(total[best]), found[0], found[1] + int(low)
+    order = np.lexsort((offset, place))
+    place, offset, votes = place[order], offset[order], votes[order]
+    new = (place[1:] != place[:-1]) | (offset[1:] != offset[:-1])
+    begin = np.flatnonzero(np.concatenate([[True], new]))
+    total = np.add.reduceat(votes, begin)
+    best = int(total.argmax())
+    return int(total[best]), int(place[begin[best]]), int(offset[begin[best]])
+
+
+def _count_votes(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Best (candidate, offset) of each query among the recordings of one cell.
+
+    Candidates are walked range by range, lowest first. Beyond the first range only those are counted
+    by offset whose votes at all offsets together beat the best so far: no offset of the others can.
+    """
+    marks = [(asked[c].to_numpy(), known[c].to_numpy()) for c in ("pitch", "interval", "gap")]
+    mine, theirs = _codes(marks)
+    library = _Library(
+        theirs, known["candidate"].to_numpy(), known["tick"].to_numpy(), known["n"].to_numpy(),
+        max(1, -(-len(known) // RANGE_ROWS)),
+    )
+    order = np.lexsort((mine, asked["query_id"].to_numpy()))
+    mine, query = mine[order], asked["query_id"].to_numpy()[order]
+    qt, qn = asked["qt"].to_numpy()[order], asked["qn"].to_numpy()[order]
+    names, begin = np.unique(query, return_index=True)
+    begin = np.append(begin, len(query))
+    best = [(0, 0, 0)] * len(names)
+    for prints, place, tick, n, shift in library.parts:
+        first = np.searchsorted(prints, mine)
+        count = np.searchsorted(prints, mine, side="right") - first
+        single = (n == 1).all()
+        for number in range(len(names)):
+            low, high = begin[number], begin[number + 1]
+            for rows in _bounded(count[low:high], place, first[low:high]):
+                found = _best_of(rows, place, tick, n, single, qt[low:high], qn[low:high], best[number][0])
+                if found is not None:
+                    best[number] = (found[0], found[1] + shift, found[2])
+    out = [(q, int(library.ids[b[1]]), b[2], b[0]) for q, b in zip(names, best) if b[0]]
+    return pd.DataFrame(out, columns=["query_id", "candidate", "tick_offset", "votes"]).astype("int64")
+
+
+def _bounded(count: np.ndarray, place: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first, count) of the places per asked print, cut by candidate into at most about ``PAIRS_AT_ONCE`` pairs."""
+    total = int(count.sum())
+    if not total:
+        return
+    if total <= PAIRS_AT_ONCE:
+        yield first, count
+        return
+    cuts = np.linspace(0, place.max() + 1, -(-total // PAIRS_AT_ONCE) + 1).astype(np.int64)
+    ends = np.stack([f + np.searchsorted(place[f : f + c], np.unique(cuts)) for f, c in zip(first, count)], axis=1)
+    for start, end in zip(ends[:-1], ends[1:]):
+        if (end > start).any():
+            yield start, end - start
+
+
+def _best_of(rows, place, tick, n, single, qt, qn, least: int) -> tuple[int, int, int] | None:
+    """The best (votes, place, offset) with more than ``least`` votes."""
+    asked, at = _pairs(*rows)
+    where, votes = place[at], None
+    if not single or (qn != 1).any():
+        votes = n[at] * qn[asked]
+    if least:
+        reach = np.bincount(where, votes)
+        keep = np.flatnonzero(reach[where] > least)
+        if not len(keep):
+            return None
+        asked, at, where = asked[keep], at[keep], where[keep]
+        votes = votes if votes is None else votes[keep]
+    found = _top_vote(where, tick[at] - qt[asked], np.ones(len(at), np.int64) if votes is None else votes)
+    return found if found[0] > least else None
+
+
+def _vote_cell(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    if asked.empty or known.empty:
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "candidate", "tick_offset", "votes")})
+    return _count_votes(asked, known)
+
+
+def _dealt(prints: DataFrame, recording: str, blocks: int, own: str, across: str, copies: int) -> DataFrame:
+    """Prints in blocks of whole recordings, one copy for each block of the other side."""
+    block = F.pmod(F.xxhash64(recording), F.lit(blocks)).cast("int")
+    return prints.withColumns({own: block, across: F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
+
+
+def fingerprint_match(queries: DataFrame, library: DataFrame, block_prints: int = BLOCK_PRINTS) -> DataFrame:
+    """Best (candidate, tick offset) of each query recording by matching prints; every match votes.
+
+    Queries and library are cut by recording into blocks of about ``block_prints`` prints, and a task
+    counts the votes of one block of each, query by query, so the votes never leave it:
+    only blocks and one row per query and cell are shuffled. Time is still that of all matching pairs,
+    and the prints of one recording fit a task.
     """
     mark = ["pitch", "interval", "gap"]
-    asked = fingerprints(queries).select(
+    asked = cut_lineage(fingerprints(queries).select(
         *mark, F.col("file_id").alias("query_id"), F.col("tick").alias("qt"), F.col("n").alias("qn")
+    ))
+    known = cut_lineage(
+        fingerprints(library).join(asked.select(*mark).distinct(), mark, "left_semi").select(
+            *mark, F.col("file_id").alias("candidate"), "tick", "n"
+        )
     )
-    known = fingerprints(library).select(
-        *mark, F.col("file_id").alias("candidate"), "tick", "n"
-    )
-    votes = spread_join(known, asked, mark).groupBy(
-        "query_id", "candidate", (F.col("tick") - F.col("qt")).alias("tick_offset")
-    ).agg(F.sum(F.col("n") * F.col("qn")).alias("votes"))
+    # a block of queries holds twice as many prints: each copy of the library costs more than one of the queries
+    rows = max(1, -(-asked.count() // (2 * block_prints)))
+    columns = max(1, -(-known.count() // block_prints))
+    asked = _dealt(asked, "query_id", rows, "__row", "__column", columns)
+    known = _dealt(known, "candidate", columns, "__column", "__row", rows)
+    cells = asked.groupBy("__row", "__column").cogroup(known.groupBy("__row", "__column"))
+    schema = "query_id bigint, candidate bigint, tick_offset bigint, votes bigint"
+    found = cells.applyInPandas(_vote_cell, schema)
     best = F.max_by(
         F.struct("candidate", "tick_offset", "votes"),
         F.struct("votes", -F.col("candidate"), -F.col("tick_offset")),
     )
-    return votes.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.*")
+    return found.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.*")

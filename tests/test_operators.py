@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -424,3 +426,37 @@ def test_transposed_key(spark):
     df = spark.createDataFrame([(0, -3), (11, 2), (12, -1), (23, 1)], "k int, s int")
     got = df.select(notes.transposed_key(F.col("k"), F.col("s")))
     assert [r[0] for r in got.collect()] == [9, 1, 23, 12]
+
+
+@pytest.mark.parametrize(("block", "spread"), [(1 << 20, 1), (40, 1), (40, 2**50)])
+def test_votes_stay_in_cells_and_equal_all_pairs(spark, monkeypatch, block, spread):
+    """Any cut into blocks and ranges finds the best offset of all pairs; copies tie by the smallest id."""
+    draw = random.Random(5)
+    rows = [(f, i, 60 + draw.randrange(3), spread * 120 * draw.randrange(20)) for f in range(12) for i in range(20)]
+    rows += [(f + 100, i, p, s) for f, i, p, s in rows if f < 3]
+    library = spark.createDataFrame(rows, "file_id long, note_idx long, pitch int, start_tick long")
+    asked = library.where("file_id % 2 = 0").withColumn("start_tick", F.col("start_tick") + 7)
+
+    def prints(df):
+        return [tuple(r) for r in retrieval.fingerprints(df).select(
+            "file_id", "pitch", "interval", "gap", "tick", "n").collect()]
+
+    votes, known = Counter(), prints(library)
+    for q, qp, qi, qg, qt, qn in prints(asked):
+        for c, p, i, g, t, n in known:
+            if (p, i, g) == (qp, qi, qg):
+                votes[q, c, t - qt] += n * qn
+    want = {}
+    for (q, c, off), n in votes.items():
+        want[q] = min(want.get(q, (1, 0, 0)), (-n, c, off))
+    got = retrieval.fingerprint_match(asked, library, block).collect()
+    assert {(r.query_id, r.candidate, r.tick_offset, r.votes) for r in got} == {
+        (q, c, off, -n) for q, (n, c, off) in want.items()
+    }
+    assert len(got) == len(want)
+    monkeypatch.setattr(retrieval, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(retrieval, "RANGE_ROWS", 40)
+    queries = retrieval.fingerprints(asked).withColumnsRenamed({"file_id": "query_id", "tick": "qt", "n": "qn"})
+    sides = queries.toPandas(), retrieval.fingerprints(library).withColumnRenamed("file_id", "candidate").toPandas()
+    local = retrieval._count_votes(*sides)
+    assert set(local.itertuples(index=False, name=None)) == {(q, c, off, -n) for q, (n, c, off) in want.items()}
