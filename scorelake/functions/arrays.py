@@ -20,8 +20,10 @@ def pad_to(ids: Column, length: Column, pad: int) -> Column:
     return F.concat(ids, repeated(pad, length - F.size(ids)))
 
 
-def pad_or_cut(ids: Column, maxlen: int, pad: int = dims.PAD) -> Column:
-    """Pad at the end; of a longer array keep the last ``maxlen`` items."""
+def pad_or_cut(ids: Column, maxlen: int, pad: int = dims.PAD, cut: bool = True) -> Column:
+    """Pad at the end; of a longer array keep the last ``maxlen`` items, all without ``cut``."""
+    if not cut:
+        return pad_to(ids, F.lit(maxlen), pad)
     start = F.greatest(F.size(ids) - maxlen, F.lit(0)) + 1
     return pad_to(F.slice(ids, start, F.lit(maxlen)), F.lit(maxlen), pad)
 

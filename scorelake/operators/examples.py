@@ -109,12 +109,17 @@ def pad_labels(batches: DataFrame, column: str = "labels") -> DataFrame:
     return _pad(batches, {column: 0}, ["batch"])
 
 
-def relative_example(examples: DataFrame, maxlen: int = 512, sos: int = 422) -> DataFrame:
-    """Decoder input shifted by a start token, padded notes and shifted attributes."""
+def relative_example(
+    examples: DataFrame, maxlen: int = 512, sos: int = 422, cut: bool = True
+) -> DataFrame:
+    """Decoder input shifted by a start token, padded notes and shifted attributes.
+
+    Without ``cut`` sequences longer than ``maxlen`` stay whole.
+    """
     return examples.withColumns(
         {
-            "dec_input": a.pad_or_cut(a.shift_right(F.col("note_seq"), sos), maxlen),
-            "dec_output": a.pad_or_cut(F.col("note_seq"), maxlen),
+            "dec_input": a.pad_or_cut(a.shift_right(F.col("note_seq"), sos), maxlen, cut=cut),
+            "dec_output": a.pad_or_cut(F.col("note_seq"), maxlen, cut=cut),
             "enc_input": a.without_meta_offset(F.col("meta")),
         }
     )
