@@ -194,7 +194,7 @@ class Tables:
     def progressions(self) -> DataFrame:
         """One chord array per file; a file is one order, so the array is short."""
         packed = self.chords.groupBy("file_id").agg(
-            F.array_sort(F.collect_list(F.struct("idx", "chord"))).alias("c")
+            F.sort_array(F.collect_list(F.struct("idx", "chord"))).alias("c")
         )
         return packed.select("file_id", F.col("c.chord").alias("progression"))
 
@@ -203,7 +203,7 @@ class Tables:
         """One row per order: 18 attribute ids and a short token array."""
         token = F.struct(*LINE_ORDER, F.expr("cast(2 + l_partkey % 420 as int)").alias("t"))
         packed = self.lineitem.groupBy("l_orderkey").agg(
-            F.array_sort(F.collect_list(token)).alias("s")
+            F.sort_array(F.collect_list(token)).alias("s")
         )
         return packed.select(
             F.col("l_orderkey").alias("example_id"),

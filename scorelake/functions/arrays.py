@@ -50,13 +50,17 @@ def strip_special(ids: Column, special: Sequence[int], eos: int) -> Column:
     return F.concat(kept, F.array(F.lit(eos)))
 
 
+def fraction_digits(seed: int, row: Column, salt, place: Column) -> Column:
+    """The seven hex digits behind ``fraction``."""
+    text = F.concat_ws("-", F.lit(f"{seed}-{salt}"), row.cast("string"), place.cast("string"))
+    return F.substring(F.md5(text), 1, 7)
+
+
 def fraction(seed: int, row: Column, salt, place: Column | int = 0) -> Column:
     """Reproducible number in [0, 1) with 28 bits, from md5 of seed, row and place."""
     place = F.lit(place) if isinstance(place, int) else place
-    text = F.concat_ws(
-        "-", F.lit(str(seed)), F.lit(salt), row.cast("string"), place.cast("string")
-    )
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint") / F.lit(float(16**7))
+    digits = fraction_digits(seed, row, salt, place)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(16**7))
 
 
 def random_below(limit: Column, seed: int, row: Column, salt: str, place=0) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import dims
-from scorelake.functions.arrays import fraction
+from scorelake.functions.arrays import fraction, fraction_digits
 
 #: Draws have 28 bits; the table of the Poisson distribution ends where they no longer tell.
 _DRAW = 2.0**-28
@@ -54,10 +54,14 @@ class _Steps:
     def draw(self, salt: str, place: Column | int = 0) -> Column:
         return fraction(self.seed, self.row, salt, place)
 
+    def digits(self, salt: str, place: Column) -> Column:
+        """The draw as seven hex digits, which sort as it does."""
+        return fraction_digits(self.seed, self.row, salt, place)
+
     def shuffled(self, salt: str, count: Column) -> Column:
         """0 .. count - 1 in random order."""
-        places = F.transform(_upto(count), lambda i: F.struct(self.draw(salt, i).alias("h"), i.alias("i")))
-        return F.transform(F.array_sort(places), lambda x: x["i"])
+        places = F.transform(_upto(count), lambda i: F.struct(self.digits(salt, i).alias("h"), i.alias("i")))
+        return F.transform(F.sort_array(places), lambda x: x["i"])
 
     def filler(self, salt: str, place: Column) -> Column:
         """The mask id, or at times a random id."""
@@ -72,7 +76,7 @@ class _Steps:
         df = df.withColumn("__heads", heads)
         heads, count = F.col("__heads"), F.size("__heads")
         chosen = F.slice(self.shuffled("permute", count), F.lit(1), F.ceil(count * self.noise.permute).cast("int"))
-        df = df.withColumn("__chosen", chosen).withColumn("__places", F.array_sort("__chosen"))
+        df = df.withColumn("__chosen", chosen).withColumn("__places", F.sort_array("__chosen"))
         chosen, places = F.col("__chosen"), F.col("__places")
 
         def sentence(j: Column) -> Column:
@@ -92,7 +96,7 @@ class _Steps:
         old = F.array_except(_upto(F.col("__total")), F.col("__new"))
         kept = F.zip_with(old, "__body", lambda p, x: F.struct(p.alias("p"), x.cast("int").alias("x")))
         added = F.transform("__new", lambda p: F.struct(p.alias("p"), self.filler("insert", p).alias("x")))
-        return df.withColumn("__body", F.transform(F.array_sort(F.concat(kept, added)), lambda s: s["x"]))
+        return df.withColumn("__body", F.transform(F.sort_array(F.concat(kept, added)), lambda s: s["x"]))
 
     def mask(self, df: DataFrame) -> DataFrame:
         """Spans of Poisson length become one mask each, an empty span inserts one.
@@ -107,8 +111,7 @@ class _Steps:
         df = df.withColumn("__budget", budget).withColumn("__gaps", F.size("__body") - F.col("__budget") + 1)
         budget, gaps = F.col("__budget"), F.col("__gaps")
 
-        def drawn(i: Column) -> Column:
-            u = self.draw("length", i)
+        def drawn(u: Column, i: Column) -> Column:
             return F.when(i + 1 == budget, budget).otherwise(F.size(F.filter(table, lambda t: t <= u)))
 
         def fitted(acc: Column, length: Column) -> Column:
@@ -117,20 +120,24 @@ class _Steps:
             return F.when(rest > 0, F.struct((acc["sum"] + length).alias("sum"), more.alias("lengths"))).otherwise(acc)
 
         empty = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("lengths"))
-        df = df.withColumn("__drawn", F.transform(_upto(budget), drawn))
+        # drawn before the lookup, whose lambda would draw again for each entry of the table
+        draws = F.transform(_upto(budget), lambda i: self.draw("length", i))
+        df = df.withColumn("__drawn", F.transform(draws, drawn))
         df = df.withColumn("__lengths", F.aggregate("__drawn", empty, fitted, lambda acc: acc["lengths"]))
         lengths, spans = F.col("__lengths"), F.size("__lengths")
         df = df.withColumn("__order", self.shuffled("gap", gaps))
 
         def shared(q: Column) -> Column:
             mine = F.filter(lengths, lambda _, j: j % gaps == q)
-            return F.when(spans <= gaps, F.get(lengths, q)).otherwise(F.aggregate(mine, F.lit(0), lambda a, x: a + x))
+            return F.aggregate(mine, F.lit(0), lambda a, x: a + x)
 
-        placed = F.transform(
-            _upto(F.least(spans, gaps)),
-            lambda q: F.struct(F.get(F.col("__order"), q).alias("gap"), shared(q).alias("length")),
+        # the order is an argument here: looked up inside a lambda, Spark would draw it again for each span
+        fewer = F.when(spans <= gaps, lengths).otherwise(F.transform(_upto(gaps), shared))
+        placed = F.zip_with(
+            F.slice("__order", F.lit(1), F.least(spans, gaps)), fewer,
+            lambda gap, length: F.struct(gap.alias("gap"), length.alias("length")),
         )
-        df = df.withColumn("__spans", F.array_sort(placed))
+        df = df.withColumn("__spans", F.sort_array(placed))
         body = F.col("__body")
 
         def replaced(acc: Column, span: Column) -> Column:

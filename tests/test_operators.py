@@ -460,3 +460,12 @@ def test_votes_stay_in_cells_and_equal_all_pairs(spark, monkeypatch, block, spre
     sides = queries.toPandas(), retrieval.fingerprints(library).withColumnRenamed("file_id", "candidate").toPandas()
     local = retrieval._count_votes(*sides)
     assert set(local.itertuples(index=False, name=None)) == {(q, c, off, -n) for q, (n, c, off) in want.items()}
+
+
+def test_noise_draws_outside_of_lookups(spark):
+    """Spark repeats what stands in a lambda for each entry looked at, so neither holds draws."""
+    df = spark.createDataFrame([(1, [422, 5, 6, 7, 1])], "example_id long, note_seq array<int>")
+    out = noise.denoise_corrupt(df, noise.Noise(mask=0.3)).select("input_ids")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= (cast(conv" not in plan
+    assert "get(transform(" not in plan
