@@ -164,11 +164,11 @@ def _(t):
     f"WITH RECURSIVE {SEGMENTS} SELECT file_id, st AS start_tick, et AS end_tick, root, score FROM best",
 )
 def _(t):
-    return chords.best_chord_segment(chords.chord_segments(t.notes_dense))
+    return chords.best_segments(t.notes_dense)
 
 
 def best(t):
-    return cut_lineage(chords.best_chord_segment(chords.chord_segments(t.notes_dense)))
+    return cut_lineage(chords.best_segments(t.notes_dense))
 
 
 @register(

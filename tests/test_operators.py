@@ -13,7 +13,7 @@ from scorelake import dims
 from scorelake.functions import arrays as a
 from scorelake.functions.scalars import meter_parts
 from scorelake.functions.scans import ordinal
-from scorelake.operators import chunks, examples, meta, noise, notes, retrieval, tokens, tracks, windows
+from scorelake.operators import chords, chunks, examples, meta, noise, notes, retrieval, tokens, tracks, windows
 from scorelake.plans import corpus
 from scorelake.sources import catalog, sinks
 from tests.conftest import SF, rows
@@ -469,3 +469,15 @@ def test_noise_draws_outside_of_lookups(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "<= (cast(conv" not in plan
     assert "get(transform(" not in plan
+
+
+def test_best_segments_are_chosen_without_another_shuffle(tables):
+    """Same rows as the general choice among segments; the segments of a beat are not grouped again."""
+    whole = chords.best_chord_segment(chords.chord_segments(tables.notes_dense))
+    best = chords.best_segments(tables.notes_dense)
+    assert rows(best, *whole.columns) == rows(whole)
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert shuffles(best) < shuffles(whole)
