@@ -11,7 +11,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,15 +29,17 @@ def write_table(
 ) -> None:
     """Write a new version of the table at ``path`` and commit it.
 
-    The version is counted as it was written; its commit is one line added to the log, which
+    Rows are counted by the tasks that write them; the commit is one line added to the log, which
     Spark's own commit makes visible as a whole.
     """
     spark = df.sparkSession
     version = uuid.uuid4().hex
-    out = df.write.format(form).options(**options).mode("errorifexists")
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    out = counted.write.format(form).options(**options).mode("errorifexists")
     (out.partitionBy(*parts) if parts else out).save(f"{path}/versions/{version}")
     schema = df.schema.json()
-    rows = _version(spark, path, version, form, schema, options).count()
+    rows = seen.get["rows"]
     number = 1 + max((c.number for c in commits(spark, path)), default=0)
     line = (number, version, form, schema, ",".join(parts), rows)
     commit = spark.createDataFrame([line], COMMIT)
