@@ -350,6 +350,7 @@ SHIFTED = f"""list_transform([chord], lambda c: ['a','bb','b','c','db','d','eb',
         SELECT * FROM bar_tokens""",
 )
 def _(t):
+    t = t.written("lines")
     roots = F.array(*[F.lit(r) for r in ("a", "bb", "b", "c", "db", "d", "eb")])
     sample_keys = t.notes_dense.select("file_id").distinct().select(
         "file_id", F.lit("a").alias("origin_key"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.scans import ordinal
+from scorelake.session import cut_lineage
 
 LINE_ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -23,6 +24,7 @@ def pick(values: list, index: str) -> str:
     return f"element_at(array({items}), cast({index} as int) + 1)"
 
 
+CHORD = pick(["C", "F", "G", "Am", "Dm7", "Bb"], "l_partkey % 6")
 ATTRS = {
     "bpm": "if(c_custkey % 9 = 0, null, if(c_custkey % 5 = 0, 120, 40 + c_custkey % 200))",
     "audio_key": pick(["cmajor", "c#minor", "bbmajor", "hmajor", None], "c_nationkey % 5"),
@@ -60,6 +62,17 @@ class Tables:
             return self.read(name)
         raise AttributeError(name)
 
+    def written(self, *views: str) -> Tables:
+        """The same tables with some numbered views as files, for jobs that read them in many branches.
+
+        Else every branch numbers all rows again. Views that were built from them before stay as they are.
+        """
+        for name in views:
+            rows = getattr(self, name)
+            # no view reads the price but to number lines
+            setattr(self, name, cut_lineage(rows.drop("l_extendedprice")))
+        return self
+
     @cached_property
     def lines(self) -> DataFrame:
         df = self.lineitem.select(*LINE_ORDER)
@@ -184,19 +197,16 @@ class Tables:
     def chords(self) -> DataFrame:
         df = self.lineitem.select(*LINE_ORDER)
         df = ordinal(df, ["l_orderkey"], F.col("l_linenumber"), LINE_ORDER, "idx")
-        return df.selectExpr(
-            "l_orderkey as file_id", "idx",
-            """element_at(array('C', 'F', 'G', 'Am', 'Dm7', 'Bb'),
-               cast(l_partkey % 6 + 1 as int)) as chord""",
-        )
+        return df.selectExpr("l_orderkey as file_id", "idx", f"{CHORD} as chord")
 
     @cached_property
     def progressions(self) -> DataFrame:
-        """One chord array per file; a file is one order, so the array is short."""
-        packed = self.chords.groupBy("file_id").agg(
-            F.sort_array(F.collect_list(F.struct("idx", "chord"))).alias("c")
+        """One chord array per file; a file is one order, so the array is short and numbers nothing."""
+        # lines that agree in number and part have the same chord, whatever comes first
+        packed = self.lineitem.groupBy(F.col("l_orderkey").alias("file_id")).agg(
+            F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("c")
         )
-        return packed.select("file_id", F.col("c.chord").alias("progression"))
+        return packed.selectExpr("file_id", f"transform(c.l_partkey, l_partkey -> {CHORD}) as progression")
 
     @cached_property
     def examples(self) -> DataFrame:

@@ -41,12 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` to the shared folder and continue from the files.
 
     Used between stages whose input is read more than once, so that a lost
-    executor re-reads files instead of repeating the stages before.
+    executor re-reads files instead of repeating the stages before. Files are
+    Parquet, so each branch reads the columns it names.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
