@@ -112,7 +112,7 @@ def web_rows(t):
           array_to_string(note_seq, ',') AS note_seq FROM examples""",
 )
 def web_examples(t):
-    out = web_rows(t)
+    out = web_rows(t.written("lines", "tempo"))
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
 
 
@@ -137,6 +137,7 @@ WEB_BAR_SQL = f"""
           array_to_string(b.note_seq, ',') AS note_seq FROM en JOIN bar_lists b USING ({SEG})""",
 )
 def web_examples_bar(t):
+    t = t.written("lines", "tempo")
     out = corpus.web_examples(t.notes_dense, t.tempo, t.tempo_end, header(t), encoder="bar")
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
 
@@ -158,6 +159,7 @@ STEADY_SQL = WEB_SQL.replace(
           array_to_string(note_seq, ',') AS note_seq FROM examples""",
 )
 def web_examples_steady(t):
+    t = t.written("lines", "tempo", "_user_events")
     keys = t.midi_events.where("type = 'key_signature' and value % 2 = 0")
     meters = t.midi_events.where("type = 'time_signature' and value % 9 = 0")
     out = corpus.web_examples(

@@ -113,30 +113,33 @@ def pair_notes_fifo(
     )
 
 
-def matched_offs(rows: DataFrame, keys: Sequence[str], idx: str, block: int) -> DataFrame:
+def matched_offs(
+    rows: DataFrame, keys: Sequence[str], idx: str, block: int, whole: bool = False
+) -> DataFrame:
     """Number opening rows (delta 1) and matched closing rows (delta -1) per key.
 
     Adds ``ons`` (openings so far), ``offs`` (matched closings so far) and
     ``matched``: a closing that takes the running balance to a new minimum has nothing open.
+    ``whole`` takes plain windows, for keys of few rows.
     """
     delta = F.col("delta")
-    scan = Blocks(rows, keys, index_block(idx, block), [idx]).add(
-        {
-            "__balance": Running("sum", delta),
-            "ons": Running("sum", (delta == 1).cast("int")),
-            "__offs": Running("sum", (delta == -1).cast("int")),
-        }
-    )
-    scan = scan.add(
-        {
-            "__low": Running("min", F.col("__balance")),
-            "__low_before": Running("min", F.col("__balance"), upto=False),
-        }
-    )
+    sums = {
+        "__balance": Running("sum", delta),
+        "ons": Running("sum", (delta == 1).cast("int")),
+        "__offs": Running("sum", (delta == -1).cast("int")),
+    }
+    lows = {
+        "__low": Running("min", F.col("__balance")),
+        "__low_before": Running("min", F.col("__balance"), upto=False),
+    }
+    if whole:
+        out = running(running(rows, keys, None, [idx], sums, whole), keys, None, [idx], lows, whole)
+    else:
+        out = Blocks(rows, keys, index_block(idx, block), [idx]).add(sums).add(lows).rows()
     low = F.least(F.lit(0), F.col("__low"))
     fresh = low < F.least(F.lit(0), F.col("__low_before"))
-    out = scan.with_columns({"offs": F.col("__offs") + low, "matched": (delta == -1) & ~fresh})
-    return out.rows().select(*rows.columns, "ons", "offs", "matched")
+    out = out.withColumns({"offs": F.col("__offs") + low, "matched": (delta == -1) & ~fresh})
+    return out.select(*rows.columns, "ons", "offs", "matched")
 
 
 def exclude_keyswitch(notes: DataFrame, velocity: int | None = dims.KEYSWITCH_VELOCITY) -> DataFrame:

@@ -121,8 +121,7 @@ def encode_notes(
     if encoder not in ENCODERS:
         raise ValueError(f"encoder is one of {', '.join(ENCODERS)}")
     if encoder == "performance":
-        coded = tokens.performance_encode(tokens.note_steps(segments), None, keys, whole=True)
-        return tokens.pack_tokens(coded, keys)
+        return tokens.performance_arrays(tokens.note_steps(segments), keys)
     if encoder == "bar_detected":
         items = tokens.items_union(segments, detect_chords(segments, keys), keys)
     else:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.views import Tables
+from scorelake.operators import tokens
 from scorelake.session import cut_lineage
 from tests.conftest import SF, rows
 from tests.test_scans import executed
@@ -29,3 +30,13 @@ def test_progressions_follow_the_numbered_chords(tables):
     packed = tables.chords.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("idx", "chord"))).alias("c"))
     assert rows(tables.progressions) == rows(packed.select("file_id", "c.chord"))
     assert executed(tables.progressions)[2] == 1
+
+
+def test_performance_arrays(spark, tables):
+    """The arrays are the long form packed; notes are shuffled once."""
+    held = cut_lineage(tables.notes_dense)
+    steps = tokens.note_steps(held)
+    arrays = tokens.performance_arrays(steps)
+    coded = tokens.performance_encode(steps)
+    assert rows(arrays) == rows(tokens.pack_tokens(coded, ["file_id"]))
+    assert executed(arrays) == (1, 0, 1)
