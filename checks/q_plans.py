@@ -252,7 +252,7 @@ def catalog_rows(t):
         FROM en JOIN lists USING (file_id)""",
 )
 def catalog_examples(t):
-    out = catalog_rows(t)
+    out = catalog_rows(t.written("lines", "_user_events"))
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
 
 

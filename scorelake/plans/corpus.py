@@ -14,7 +14,7 @@ from scorelake.functions.scalars import (
     meter_parts,
     strip_inst_number,
 )
-from scorelake.functions.scans import index_block, ordinal, spread_join
+from scorelake.functions.scans import spread_join
 from scorelake.operators import chunks, examples, meta, notes, tokens, tracks, windows
 from scorelake.operators.chords import detect_chords
 from scorelake.profiles import CATALOG, TAGGED, WEB, Profile
@@ -297,10 +297,7 @@ def catalog_examples(
     )
     tempo = encoded_tempo(header)
     steps = tokens.note_steps(spread_join(melody.drop("bpm"), tempo, ["file_id"]))
-    coded = cut_lineage(tokens.performance_encode(steps))
-    coded = ordinal(coded, ["file_id"], index_block("ord"), ["ord", "sub"], "pos")
-    sounding = tokens.drop_keyswitch_tokens(coded, ["file_id"])
-    return encoded.join(tokens.pack_tokens(sounding, ["file_id"], ["pos"]), "file_id")
+    return encoded.join(tokens.performance_arrays(steps, drop_keyswitch=True), "file_id")
 
 
 def augment_catalog(

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from checks.views import Tables
+from scorelake import dims
+from scorelake.functions.scans import ordinal
 from scorelake.operators import tokens
 from scorelake.session import cut_lineage
 from tests.conftest import SF, rows
@@ -40,3 +42,21 @@ def test_performance_arrays(spark, tables):
     coded = tokens.performance_encode(steps)
     assert rows(arrays) == rows(tokens.pack_tokens(coded, ["file_id"]))
     assert executed(arrays) == (1, 0, 1)
+
+
+def test_performance_arrays_without_keyswitches(spark):
+    """Cut as the long form is; a key of keyswitches alone keeps its end token."""
+    switch = dims.KEYSWITCH_VELOCITY
+    notes_ = [(1, i, 240 * i, 240 * i + 480, 50 + i % 7, switch if i % 3 == 0 else 80) for i in range(40)]
+    notes_ += [(2, 0, 0, 480, 60, switch), (3, 0, 0, 480, 60, 80)]
+    df = spark.createDataFrame(
+        notes_, "file_id long, note_idx long, start_tick long, end_tick long, pitch int, velocity int"
+    )
+    steps = tokens.note_steps(cut_lineage(df.withColumn("bpm", F.lit(120))))
+    coded = ordinal(tokens.performance_encode(steps), ["file_id"], F.col("ord"), ["ord", "sub"], "pos")
+    want = tokens.pack_tokens(tokens.drop_keyswitch_tokens(coded, ["file_id"]), ["file_id"], ["pos"])
+    got = tokens.performance_arrays(steps, drop_keyswitch=True)
+    assert rows(got) == rows(want)
+    short = {r.file_id: r.note_seq for r in got.collect()}
+    assert short[2] == [dims.EOS] and len(short[1]) < coded.where("file_id = 1").count()
+    assert executed(got) == (1, 0, 1)
