@@ -312,28 +312,42 @@ def augment_catalog(
 
     ``files`` is (file_id, stem, key_number). A variant is named stem_key_bpm and numbered in
     ``file_id``, ``source_id`` is the file it comes from. Variants with a pitch outside of 0..127
-    are left out, as are files without a chord track, a key or a tempo. Notes are moved once
-    per key; tempo variants of a key share them.
+    are left out, as are files without a chord track, a key or a tempo. What the variants of a file
+    share is one row, written to the shared folder; rows are multiplied where they lie, and no moved note is shuffled.
     """
     keys = max(key_shifts) - min(key_shifts) + 1
     bpms = max(tempo_shifts) - min(tempo_shifts) + 1
-    wanted = notes.augment_grid(files.select("file_id", "key_number"), key_shifts, [0]).drop("bpm_shift")
-    moved = notes.transpose_notes(note_rows, wanted.where(F.col("key_number").isNotNull()))
-    at = ["file_id", "key_shift", "new_key"]
-    span = moved.groupBy(*at).agg(F.min("pitch").alias("lo"), F.max("pitch").alias("hi"))
-    span = span.where((F.col("lo") >= 0) & (F.col("hi") <= 127)).drop("lo", "hi")
-    paced = notes.augment_bpm(tempo, ends, tempo_shifts).groupBy("file_id", "bpm_shift").agg(F.max("bpm").alias("bpm"))
-    variant = (F.col("key_shift") - min(key_shifts)) * bpms + F.col("bpm_shift") - min(tempo_shifts)
-    named = span.join(paced, "file_id").join(files.select("file_id", "stem"), "file_id").select(
-        (F.col("file_id") * (keys * bpms) + variant).cast("bigint").alias("variant_id"),
-        F.col("file_id").alias("source_id"), "key_shift",
-        F.concat_ws("_", "stem", dims.indexed(dims.KEY_NAMES, F.col("new_key")), F.col("bpm").cast("string")).alias("stem"),
+    chord = F.col("track_name") == dims.CHORD_TRACK
+    span = note_rows.groupBy("file_id").agg(
+        F.min(F.when(~chord, F.col("pitch"))).alias("__lo"), F.max(F.when(~chord, F.col("pitch"))).alias("__hi"),
+        F.bool_or(chord).alias("__sung"),
+        F.min_by("start_tick", F.when(chord, F.col("note_idx"))).alias("__offset"),
     )
-    rows = moved.withColumnRenamed("file_id", "source_id").join(
-        named.select("variant_id", "source_id", "key_shift"), ["source_id", "key_shift"]
+    paced = notes.augment_bpm(tempo, ends, [0]).groupBy("file_id").agg(F.max("bpm").alias("bpm"))
+    known = files.where(F.col("key_number").isNotNull()).join(span.where("__sung"), "file_id").join(paced, "file_id")
+    known = cut_lineage(known)
+    key, pace = F.col("key_shift"), F.col("bpm_shift")
+
+    def variants(rows: DataFrame) -> DataFrame:
+        grid = notes.augment_grid(rows, key_shifts, tempo_shifts)
+        return grid.where((F.col("__lo") + key >= 0) & (F.col("__hi") + key <= 127))
+
+    variant = (key - min(key_shifts)) * bpms + pace - min(tempo_shifts)
+    variant = (F.col("file_id") * (keys * bpms) + variant).cast("bigint").alias("file_id")
+    new_key = dims.indexed(dims.KEY_NAMES, notes.transposed_key(F.col("key_number"), key))
+    bpm = (F.col("bpm") + pace * dims.BPM_STEP).cast("string")
+    named = variants(known).select(
+        variant, F.col("file_id").alias("source_id"), F.concat_ws("_", "stem", new_key, bpm).alias("stem")
     )
-    rows = rows.drop("source_id", "key_shift", "new_key").withColumnRenamed("variant_id", "file_id")
-    return named.withColumnRenamed("variant_id", "file_id").drop("key_shift"), rows
+    facts = known.select("file_id", "__lo", "__hi", "__offset")
+    rows = variants(spread_join(note_rows.where(~chord), facts, ["file_id"])).withColumns(
+        {
+            "pitch": F.col("pitch") + key,
+            "start_tick": F.col("start_tick") - F.col("__offset"),
+            "end_tick": F.col("end_tick") - F.col("__offset"),
+        }
+    )
+    return named, rows.select(*[c for c in note_rows.columns if c != "file_id"], variant)
 
 
 def encoded_tempo(header: DataFrame) -> DataFrame:

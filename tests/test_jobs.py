@@ -6,6 +6,7 @@ from checks.views import Tables
 from scorelake import dims
 from scorelake.functions.scans import ordinal
 from scorelake.operators import tokens
+from scorelake.plans import corpus
 from scorelake.session import cut_lineage
 from tests.conftest import SF, rows
 from tests.test_scans import executed
@@ -60,3 +61,17 @@ def test_performance_arrays_without_keyswitches(spark):
     short = {r.file_id: r.note_seq for r in got.collect()}
     assert short[2] == [dims.EOS] and len(short[1]) < coded.where("file_id = 1").count()
     assert executed(got) == (1, 0, 1)
+
+
+def test_no_moved_note_is_shuffled(spark):
+    """Variants are made where the notes lie: only notes and facts of files are shuffled."""
+    note_rows = spark.createDataFrame(
+        [(f, i, "chord" if i < 2 else "lead", 10 * i, 10 * i + 5, 60 + i) for f in range(5) for i in range(20)],
+        "file_id long, note_idx long, track_name string, start_tick long, end_tick long, pitch int",
+    )
+    files = spark.createDataFrame([(f, f"f{f}", f) for f in range(5)], "file_id long, stem string, key_number int")
+    tempo = spark.createDataFrame([(f, 0, 0, 100) for f in range(5)], "file_id long, seq long, time_sec long, bpm int")
+    ends = spark.createDataFrame([(f, 10) for f in range(5)], "file_id long, end_sec long")
+    named, moved = corpus.augment_catalog(files, cut_lineage(note_rows), tempo, ends)
+    assert executed(moved)[2] == 0
+    assert moved.count() == 5 * 18 * 60 and named.count() == 5 * 60
