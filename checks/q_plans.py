@@ -348,7 +348,7 @@ def tagged_rows(t):
           array_to_string(note_seq, ',') AS note_seq FROM examples""",
 )
 def tagged_examples(t):
-    out = tagged_rows(t)
+    out = tagged_rows(t.written("lines", "tempo"))
     return out.withColumns({"meta": joined("meta"), "note_seq": joined("note_seq")})
 
 
@@ -408,6 +408,7 @@ MIX = f"""(SELECT concat_ws('-', 'web', {SEG}) AS example_id, 'web' AS profile,
           array_to_string(meta, ',') AS input, array_to_string(note_seq, ',') AS target FROM ({MIX})""",
 )
 def training_corpus(t):
+    t = t.written("lines", "tempo", "_user_events")
     path = shared_folder(t.spark)
     out = corpus.training_corpus(web_rows(t), catalog_rows(t), tagged_rows(t), path, web_rows=500)
     return out.withColumns({"input": joined("input"), "target": joined("target")})

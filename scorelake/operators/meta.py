@@ -268,11 +268,13 @@ def parse_meta(
     heard = F.col("channel") != dims.CHORD_CHANNEL
     if profile.velocity_skips_keyswitch:
         heard = heard & (F.col("velocity") != profile.keyswitch_velocity)
+    # numbers aggregate in place; a struct makes Spark sort the notes first
+    first = F.col("note_idx") if "track_idx" in keys else F.struct("track_idx", "note_idx")
     stats = notes.groupBy(*keys).agg(
         F.avg(F.when(melody & sounding, F.col("pitch"))).alias("mean_pitch"),
         F.min(F.when(heard, F.col("velocity"))).alias("min_velocity"),
         F.max(F.when(heard, F.col("velocity"))).alias("max_velocity"),
-        F.min_by("program", F.struct("track_idx", "note_idx")).alias("program"),
+        F.min_by("program", first).alias("program"),
         F.min_by("start_tick", "note_idx").alias("a"),
         F.max_by("end_tick", "note_idx").alias("z"),
         (F.max("bar_ticks") if "bar_ticks" in notes.columns else F.lit(1920)).alias("bar_ticks"),

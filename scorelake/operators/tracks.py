@@ -51,13 +51,12 @@ def drop_tracks_by_name(events: DataFrame) -> DataFrame:
 
 def drop_named_note_tracks(notes: DataFrame) -> DataFrame:
     """The same rule on note rows: a track's channel is that of its first note."""
+    named = F.trim("track_name").isin(*dims.NON_MELODY_CHANNELS)
+    # a flag aggregates in place; a text makes Spark sort the notes first
     facts = notes.groupBy(*TRACK).agg(
-        F.min_by("channel", "note_idx").alias("c"),
-        F.trim(F.min_by("track_name", "note_idx")).alias("name"),
-    )
-    bad = F.col("name").isin(*dims.NON_MELODY_CHANNELS) | F.col("c").isin(
-        *dims.NON_MELODY_CHANNELS.values()
+        F.min_by("channel", "note_idx").alias("c"), F.min_by(named, "note_idx").alias("named")
     )
+    bad = F.col("named") | F.col("c").isin(*dims.NON_MELODY_CHANNELS.values())
     return spread_join(notes, facts.where(~bad).select(*TRACK), TRACK, "left_semi")
 
 
