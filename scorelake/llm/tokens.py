@@ -1,8 +1,18 @@
-"""Whole texts to token ids with a public tokenizer, inside Arrow batches."""
+"""Whole texts to token ids with a public tokenizer, inside Arrow batches.
+
+A byte-pair model works on pieces that never go from a character into white space after it,
+and most words of a batch were met before. So the tokenizer's model is asked for the ids of a
+word once, and they are remembered in a bounded table; a full table forgets words not met for
+longest. Texts that hold an added token's string, and tokenizers of other forms, take the
+tokenizer's own call for the whole text; so does a word with letters of other scripts.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -10,18 +20,145 @@ import pyarrow as pa
 
 #: Text encoded in one call; a longer single text is one call.
 ENCODE_BYTES = 1 << 18
+#: A worker remembers at most twice as many words (those of the last two fills), none longer than WORD_CHARS.
+WORDS, WORD_CHARS = 300_000, 48
 
+#: Unicode's White_Space: what ``\s`` means to the tokenizers (Python's has four control characters more).
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters in every version of Unicode that are their own NFC and have one lower-case letter.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
+#: Text that the patterns below cut as the tokenizers do.
+KNOWN = re.compile(f"[\x00-\x7f{LETTERS}]*")
+_SPACES = re.compile(f"[{SPACE}]")
+#: White space and the text behind it.
+_RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_SPACED_PIECES = re.compile(
+    f"{_SHORT}| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACE}{LETTERS}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+)
+_LOWER_PIECES = re.compile(f"{_SHORT}|[{LETTERS}]+|[0-9]|[^{SPACE}{LETTERS}0-9]+")
 
-@cache
-def _load(path: str, plain_specials: bool):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+#: Normalizer and pre-tokenizer of the two known forms, as a tokenizer's file states them.
+_SPACED = (None, _BYTE_LEVEL | {"use_regex": True})
+_LOWER = (
+    {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": _SHORT + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            _BYTE_LEVEL | {"use_regex": False},
+        ],
+    },
+)
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def _called(tokenizer, text: str) -> bytes:
+    return _bytes(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+
+class _Irregular(Exception):
+    """White space follows the space before a word."""
+
+
+class _Words(dict):
+    """Ids of words, as bytes; with ``bare``, a word's text has a space before it, and ``bare`` has those without."""
+
+    def __init__(self, tokenizer, pieces: re.Pattern, bare: _Words | None = None) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = plain_specials
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+        self.tokenizer, self.model, self.pieces, self.bare = tokenizer, tokenizer.model, pieces, bare
+        self.old: dict[str, bytes] = {}
+        to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        known = [c for c in map(chr, range(0x180)) if KNOWN.fullmatch(c)]
+        self.letters = {ord(c): to_bytes.pre_tokenize_str(c)[0][0] for c in known}
+
+    def __missing__(self, word: str) -> bytes:
+        if self.bare is not None and (not word or _SPACES.match(word)):
+            raise _Irregular
+        found = self.old.get(word)
+        if found is None:
+            found = self._ids(word)
+        if len(word) <= WORD_CHARS:
+            if len(self) >= WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+    def _ids(self, word: str) -> bytes:
+        lead = "" if self.bare is None else " "
+        if word.isascii() and word.isalpha() and word.islower():  # most words: one piece, spelt as its bytes
+            return self._piece(lead.translate(self.letters) + word)
+        text = lead + word
+        if not KNOWN.fullmatch(text):
+            return _called(self.tokenizer, text)
+        pieces = self.pieces.findall(text.lower() if self.pieces is _LOWER_PIECES else text)
+        if pieces == [text]:
+            return self._piece(text.translate(self.letters))
+        if self.bare is None:
+            return b"".join([self[p] for p in pieces])
+        first, *others = pieces  # a space and more: the text goes on after it
+        return b"".join([self[first[1:]], *(self.bare[p] for p in others)])
+
+    def _piece(self, letters: str) -> bytes:
+        return _bytes([t.id for t in self.model.tokenize(letters)])
+
+
+class _Encoder:
+    """A tokenizer and, where its form is known, the words met by this worker."""
+
+    def __init__(self, path: str, plain_specials: bool) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = plain_specials
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        rules = json.loads(tokenizer.to_str())
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        form = (rules["normalizer"], rules["pre_tokenizer"])
+        exact = rules["model"]["type"] == "BPE" and not rules["model"]["dropout"]
+        exact = exact and not any(t["normalized"] for t in rules["added_tokens"])
+        self.words = self.bare = None
+        if exact and form == _SPACED:
+            self.bare = _Words(tokenizer, _SPACED_PIECES)
+            self.words = _Words(tokenizer, _SPACED_PIECES, self.bare)
+        elif exact and form == _LOWER:
+            self.words = _Words(tokenizer, _LOWER_PIECES)
+
+    def __call__(self, text: str) -> bytes:
+        if self.words is None or any(a in text for a in self.added):
+            return _called(self.tokenizer, text)
+        if self.bare is None:
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        first, *others = text.split(" ")
+        try:
+            return b"".join([self.bare[first], *map(self.words.__getitem__, others)])
+        except _Irregular:
+            return b"".join(map(self.bare.__getitem__, _RUNS.findall(text)))
+
+
+@cache
+def _load(path: str, plain_specials: bool) -> _Encoder:
+    return _Encoder(path, plain_specials)
 
 
 def encode(path: str, texts: pa.Array, end_id: int, plain_specials: bool = False) -> list[np.ndarray]:
@@ -30,10 +167,8 @@ def encode(path: str, texts: pa.Array, end_id: int, plain_specials: bool = False
     The string of a special token in a text becomes that token, as the tokenizer's own call
     does it, or ordinary text with ``plain_specials``.
     """
-    tokenizer = _load(path, plain_specials)
-    values = [t or "" for t in texts.to_pylist()]
-    found = tokenizer.encode_batch_fast(values, add_special_tokens=False)
-    return [np.array([*f.ids, end_id], np.uint32) for f in found]
+    encoder, end = _load(path, plain_specials), _bytes([end_id])
+    return [np.frombuffer(encoder(t or "") + end, np.uint32) for t in texts.to_pylist()]
 
 
 def tokenizer_file(name: str) -> str:

@@ -1,8 +1,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from scorelake.llm import packing, tokenfiles
+from scorelake.llm import packing, tokenfiles, tokens
 from scorelake.llm.tokens import encode, tokenizer_file
 
 ROWS = [(i, f"Document {i} " * (i * 13 % 400)) for i in range(60)] + [(90, None), (91, ""), (92, "<|endoftext|> ü 日本"), (None, "x")]
@@ -45,6 +47,55 @@ def test_special_strings_as_the_tokenizer_reads_them(spark, docs_of, tmp_path):
     assert apart[4] == want[packing.TOKENIZER][4] and apart[1] != want[packing.TOKENIZER][1]
 
 
+def plain_call(name, texts, plain_specials=False):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file(name))
+    tokenizer.encode_special_tokens = plain_specials
+    return [[*f.ids, 7] for f in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+def odd_texts():
+    """Every character of the first planes among words and white space, and random mixtures of hard ones."""
+    chars = [chr(c) for c in [*range(0x2FFF), *range(0x3000, 0x20000, 37), 0xFB01, 0x1F600] if not 0xD800 <= c < 0xE000]
+    texts = [f"{c}a {c}{c}, b{c} {c} c{c}1 '{c}'s \n{c}  {c}d" for c in chars]
+    hard = [*"abAZ09 \n\t,.'!_-", "  ", "'s", "'LL", " 've", "\r\n", "\x1c", "\x1f", "\x00", "\x85", "\xa0", "\u3000", "\u2028", "\u200b"]
+    hard += ["\u0301", "e\u0301", "\xdf", "\xc9", "\u0130", "\u0131", "\u0149", "\u017f", "\u01c5", "\u03a3", "\u212a", "\xb2", "\xbd", "\u0663"]
+    hard += ["\u65e5\u672c", "\uac00", "\u1100\u1161", "\U0001f469\u200d", "<|endoftext|>", "<|start", "word", " the"]
+    rng = np.random.default_rng(4)
+    texts += ["".join(hard[i] for i in rng.integers(0, len(hard), n)) for n in rng.integers(0, 60, 3000)]
+    return [*texts, None, "", " ", "  ", "\n", " a", "a ", "x" * 5000, ("y" * 300 + " ") * 3]
+
+
+@pytest.mark.parametrize("name", [tokenfiles.TOKENIZER, packing.TOKENIZER])
+@pytest.mark.parametrize(("words", "special"), [(tokens.WORDS, False), (5, True)])
+def test_remembered_words_are_what_the_tokenizer_gives(monkeypatch, name, words, special):
+    monkeypatch.setattr(tokens, "WORDS", words)
+    tokens._load.cache_clear()
+    texts = odd_texts()
+    texts = texts if words > 5 else texts[-3000::2] + texts[:300]
+    found = encode(tokenizer_file(name), pa.array(texts), 7, special)
+    wrong = [t for t, f, w in zip(texts, found, plain_call(name, texts, special), strict=True) if f.tolist() != w]
+    assert not wrong
+    table = tokens._load(tokenizer_file(name), special).words
+    assert len(table) <= words and len(table.old) <= words and max(map(len, table)) <= tokens.WORD_CHARS
+    tokens._load.cache_clear()
+
+
+@pytest.mark.parametrize("name", [tokenfiles.TOKENIZER, packing.TOKENIZER])
+def test_the_tokenizer_is_asked_once_for_a_word(name):
+    tokens._load.cache_clear()
+    encoder = tokens._load(tokenizer_file(name), False)
+    encode(tokenizer_file(name), pa.array(["One word, and another.\nThe Straße; it's", "a third one, a third"]), 7)
+    for table in (encoder.words, encoder.bare):
+        if table is not None:
+            table.model = table.tokenizer = None
+    again = ["a word, and a third one it's another.\nThe Straße;"] * 50
+    found = encode(tokenizer_file(name), pa.array(again), 7)
+    tokens._load.cache_clear()
+    assert [f.tolist() for f in found] == plain_call(name, again)
+
+
 def test_packing_is_whole(docs_of):
     want = ids_of(packing.TOKENIZER, packing.END_ID)
     found = packing.pack(docs_of(ROWS), group_docs=20, with_ids=True).collect()
