@@ -21,7 +21,7 @@ import pyarrow as pa
 #: Text encoded in one call; a longer single text is one call.
 ENCODE_BYTES = 1 << 18
 #: A worker remembers at most twice as many words (those of the last two fills), none longer than WORD_CHARS.
-WORDS, WORD_CHARS = 300_000, 48
+WORDS, WORD_CHARS = 400_000, 48
 
 #: Unicode's White_Space: what ``\s`` means to the tokenizers (Python's has four control characters more).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,6 +32,7 @@ KNOWN = re.compile(f"[\x00-\x7f{LETTERS}]*")
 _SPACES = re.compile(f"[{SPACE}]")
 #: White space and the text behind it.
 _RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_STOPS = tuple(".,;:!?")
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED_PIECES = re.compile(
     f"{_SHORT}| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACE}{LETTERS}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -83,14 +84,15 @@ class _Words(dict):
     def __init__(self, tokenizer, pieces: re.Pattern, bare: _Words | None = None) -> None:
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.model, self.pieces, self.bare = tokenizer, tokenizer.model, pieces, bare
+        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, pieces
+        self.lead, self.bare = ("", self) if bare is None else (" ", bare)
         self.old: dict[str, bytes] = {}
         to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         known = [c for c in map(chr, range(0x180)) if KNOWN.fullmatch(c)]
         self.letters = {ord(c): to_bytes.pre_tokenize_str(c)[0][0] for c in known}
 
     def __missing__(self, word: str) -> bytes:
-        if self.bare is not None and (not word or _SPACES.match(word)):
+        if self.lead and (not word or _SPACES.match(word)):
             raise _Irregular
         found = self.old.get(word)
         if found is None:
@@ -103,22 +105,24 @@ class _Words(dict):
         return found
 
     def _ids(self, word: str) -> bytes:
-        lead = "" if self.bare is None else " "
-        if word.isascii() and word.isalpha() and word.islower():  # most words: one piece, spelt as its bytes
-            return self._piece(lead.translate(self.letters) + word)
-        text = lead + word
-        if not KNOWN.fullmatch(text):
-            return _called(self.tokenizer, text)
-        pieces = self.pieces.findall(text.lower() if self.pieces is _LOWER_PIECES else text)
+        if not KNOWN.fullmatch(word):
+            return _called(self.tokenizer, self.lead + word)
+        same = word.lower() if self.pieces is _LOWER_PIECES else word
+        if same.isalpha():  # most words are one piece
+            return self._piece(self.lead + same) if same == word else self[same]
+        if same[-1:] in _STOPS and same[:-1].isalpha():
+            return self[same[:-1]] + self.bare[same[-1]]
+        text = self.lead + same
+        pieces = self.pieces.findall(text)
         if pieces == [text]:
-            return self._piece(text.translate(self.letters))
-        if self.bare is None:
+            return self._piece(text)
+        if not self.lead:
             return b"".join([self[p] for p in pieces])
         first, *others = pieces  # a space and more: the text goes on after it
         return b"".join([self[first[1:]], *(self.bare[p] for p in others)])
 
-    def _piece(self, letters: str) -> bytes:
-        return _bytes([t.id for t in self.model.tokenize(letters)])
+    def _piece(self, text: str) -> bytes:
+        return _bytes([t.id for t in self.model.tokenize(text.translate(self.letters))])
 
 
 class _Encoder:
