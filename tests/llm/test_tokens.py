@@ -96,6 +96,24 @@ def test_the_tokenizer_is_asked_once_for_a_word(name):
     assert [f.tolist() for f in found] == plain_call(name, again)
 
 
+@pytest.mark.parametrize("name", [tokenfiles.TOKENIZER, packing.TOKENIZER])
+def test_a_repeated_word_is_looked_up_once_for_many_texts(monkeypatch, name):
+    looked = []
+
+    class Counted(tokens._Words):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(tokens, "_Words", Counted)
+    tokens._load.cache_clear()
+    texts = ["The cat, the dog\tand it's Über-日本.\nThe 12 cats " * n + "end" for n in (300, 200, 100)]
+    found = encode(tokenizer_file(name), pa.array(["", *texts, None]).slice(1), 7)
+    tokens._load.cache_clear()
+    assert [f.tolist() for f in found] == plain_call(name, [*texts, None])
+    assert len(looked) < 100
+
+
 def test_packing_is_whole(docs_of):
     want = ids_of(packing.TOKENIZER, packing.END_ID)
     found = packing.pack(docs_of(ROWS), group_docs=20, with_ids=True).collect()
