@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from scorelake.llm.common import raw_bytes
+from scorelake.llm.common import list_array, raw_bytes
 
 #: Text whose words are numbered together; a longer single text is by itself.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: A worker remembers at most twice as many pieces (those of the last two fills), none longer than WORD_CHARS.
 WORDS, WORD_CHARS = 340_000, 48
 
@@ -111,8 +111,8 @@ class _Words(dict):
         return found
 
     def _ids(self, piece: str) -> bytes:
-        if self.lower and piece[:1] == " ":
-            return self._ids(piece[1:]) if piece != " " else b""
+        if self.lower:
+            piece = piece.removeprefix(" ")
         if piece.isascii() and piece.isprintable():  # of these, only the space has another letter
             letters = piece.replace(" ", self.letters[32])
         elif KNOWN.fullmatch(piece):
@@ -134,8 +134,8 @@ class _Words(dict):
 
 
 def _id_lists(found: list[bytes]) -> pa.ListArray:
-    bounds = np.cumsum([0, *map(len, found)]) // 4
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.uint32)))
+    counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return list_array(pa.array(np.frombuffer(b"".join(found), np.uint32)), counts)
 
 
 class _Encoder:
@@ -217,7 +217,7 @@ class _Encoder:
             return _id_lists([])
         joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
         pieces = self.words.cut(" " + joined)
-        ids = _id_lists([self.words[p] for p in pieces])
+        ids = _id_lists(list(map(self.words.__getitem__, pieces)))
         firsts = np.flatnonzero(np.array([p[0] == " " for p in pieces]))  # a space only begins a word
         bounds = ids.offsets.to_numpy()[np.append(firsts, len(pieces))]
         return pa.ListArray.from_arrays(pa.array(bounds), ids.values)
