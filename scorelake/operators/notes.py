@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import dims
-from scorelake.functions.scalars import grid_start
+from scorelake.functions.scalars import grid_start, idiv
 from scorelake.functions.scans import (
     ROWS_PER_BLOCK,
     Blocks,
@@ -153,9 +153,16 @@ def augment_grid(
     key_shifts: Sequence[int] = KEY_SHIFTS,
     tempo_shifts: Sequence[int] = TEMPO_SHIFTS,
 ) -> DataFrame:
-    """Every file once per key shift and tempo shift (12 x 5 by default)."""
-    out = files.withColumn("key_shift", F.explode(F.array(*[F.lit(k) for k in key_shifts])))
-    return out.withColumn("bpm_shift", F.explode(F.array(*[F.lit(k) for k in tempo_shifts])))
+    """Every file once per key shift and tempo shift (12 x 5 by default).
+
+    The shifts are joined, not exploded: Spark takes exploded rows for as few as there were
+    before, and would broadcast all variants of some thousand files through the driver.
+    """
+    keys, paces = F.array(*[F.lit(k) for k in key_shifts]), F.array(*[F.lit(k) for k in tempo_shifts])
+    n, at = len(tempo_shifts), F.col("id").cast("int")
+    grid = files.sparkSession.range(0, len(key_shifts) * n, 1, 1)
+    grid = grid.select(F.get(keys, idiv(at, n).cast("int")).alias("key_shift"), F.get(paces, at % n).alias("bpm_shift"))
+    return files.drop("key_shift", "bpm_shift").crossJoin(grid)
 
 
 def transposed_key(key_number: Column, shift: Column) -> Column:

@@ -75,3 +75,26 @@ def test_no_moved_note_is_shuffled(spark):
     named, moved = corpus.augment_catalog(files, cut_lineage(note_rows), tempo, ends)
     assert executed(moved)[2] == 0
     assert moved.count() == 5 * 18 * 60 and named.count() == 5 * 60
+
+
+def test_variants_are_not_broadcast_for_the_few_files_they_come_from(spark):
+    """Variants are 60 to a file: what a join with them does follows from their own size."""
+    note_rows = spark.range(4000).selectExpr(
+        "id div 4 as file_id", "id % 4 as note_idx", "if(id % 4 = 0, 'chord', 'lead') as track_name",
+        "id % 4 as start_tick", "id % 4 + 5 as end_tick", "cast(60 + id % 9 as int) as pitch",
+    )
+    files = spark.range(1000).selectExpr("id as file_id", "concat('f', id) as stem", "cast(id % 24 as int) as key_number")
+    tempo = spark.range(1000).selectExpr("id as file_id", "0L as seq", "0L as time_sec", "100 as bpm")
+    named, _ = corpus.augment_catalog(files, note_rows, tempo, tempo.selectExpr("file_id", "10L as end_sec"))
+    # the files take some 10 kB, their variants some 4 MB
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "500k")
+    try:
+        both = named.join(spark.range(200_000).withColumnRenamed("id", "file_id"), "file_id")
+        assert both.count() == 60_000
+        counted = both.groupBy().count()
+        counted.collect()
+        plan = counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "HashedRelationBroadcastMode" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
