@@ -6,12 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.arrays import bracketed
 from scorelake.functions.scalars import parse_ids
-from scorelake.functions.scans import near
 from scorelake.operators.tokens import order_notes
 from scorelake.session import cut_lineage
 
@@ -27,6 +27,9 @@ BLOCK_PRINTS = 1 << 20
 #: Library prints walked at once inside a block, and pairs of prints held at once.
 RANGE_ROWS = 1 << 18
 PAIRS_AT_ONCE = 1 << 21
+#: What makes two prints equal, and the columns of the prints of both sides, their recording first.
+MARK = ["pitch", "interval", "gap"]
+ASKED, KNOWN = ["query_id", "qt", "qn", *MARK], ["candidate", "tick", "n", *MARK]
 
 
 def title_and_body(rows: DataFrame, ids: str = "ids", size: int = 5) -> DataFrame:
@@ -172,8 +175,9 @@ def retrieved_context(
 
 def fingerprints(notes: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
     """Count of each (pitch, interval to the next note, ticks to it) per place."""
-    ordered = order_notes(notes, keys)
-    rows = near(ordered, list(keys), "note_ord", {"p2": ("pitch", 1), "t2": ("start_tick", 1)})
+    # only what a print is made of is shuffled, and once
+    held = notes.select(*keys, "note_idx", "pitch", "start_tick")
+    rows = order_notes(held, keys, following={"p2": "pitch", "t2": "start_tick"})
     rows = rows.where(F.col("p2").isNotNull())
     return rows.groupBy(
         *keys, "pitch", (F.col("p2") - F.col("pitch")).alias("interval"),
@@ -239,13 +243,14 @@ def _top_vote(place: np.ndarray, offset: np.ndarray, votes: np.ndarray) -> tuple
     return int(total[best]), int(place[begin[best]]), int(offset[begin[best]])
 
 
-def _count_votes(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Best (candidate, offset) of each query among the recordings of one cell.
+def _count_votes(asked: pd.DataFrame, known: pd.DataFrame, so_far: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Best (candidate, offset) of each query among the recordings of one cell and ``so_far``, found in others.
 
-    Candidates are walked range by range, lowest first. Beyond the first range only those are counted
-    by offset whose votes at all offsets together beat the best so far: no offset of the others can.
+    Candidates are walked range by range, lowest first. Once there is a best, only those are counted by
+    offset whose votes at all offsets together beat it, or equal it where they might have
+    the smaller id: no offset of the others can.
     """
-    marks = [(asked[c].to_numpy(), known[c].to_numpy()) for c in ("pitch", "interval", "gap")]
+    marks = [(asked[c].to_numpy(), known[c].to_numpy()) for c in MARK]
     mine, theirs = _codes(marks)
     library = _Library(
         theirs, known["candidate"].to_numpy(), known["tick"].to_numpy(), known["n"].to_numpy(),
@@ -257,6 +262,10 @@ def _count_votes(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     names, begin = np.unique(query, return_index=True)
     begin = np.append(begin, len(query))
     best = [(0, 0, 0)] * len(names)
+    if so_far is not None:
+        held = zip(so_far["votes"], so_far["candidate"], so_far["tick_offset"])
+        for number, old in zip(np.searchsorted(names, so_far["query_id"]), held):
+            best[number] = tuple(map(int, old))
     for prints, place, tick, n, shift in library.parts:
         first = np.searchsorted(prints, mine)
         count = np.searchsorted(prints, mine, side="right") - first
@@ -264,10 +273,15 @@ def _count_votes(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         for number in range(len(names)):
             low, high = begin[number], begin[number + 1]
             for rows in _bounded(count[low:high], place, first[low:high]):
-                found = _best_of(rows, place, tick, n, single, qt[low:high], qn[low:high], best[number][0])
+                votes, candidate, _ = best[number]
+                lowest = library.ids[place[rows[0][rows[1] > 0]].min() + shift]
+                least = votes if candidate < lowest else max(0, votes - 1)
+                found = _best_of(rows, place, tick, n, single, qt[low:high], qn[low:high], least)
                 if found is not None:
-                    best[number] = (found[0], found[1] + shift, found[2])
-    out = [(q, int(library.ids[b[1]]), b[2], b[0]) for q, b in zip(names, best) if b[0]]
+                    name = int(library.ids[found[1] + shift])
+                    if found[0] > votes or name < candidate:
+                        best[number] = (found[0], name, found[2])
+    out = [(q, b[1], b[2], b[0]) for q, b in zip(names, best) if b[0]]
     return pd.DataFrame(out, columns=["query_id", "candidate", "tick_offset", "votes"]).astype("int64")
 
 
@@ -303,43 +317,69 @@ def _best_of(rows, place, tick, n, single, qt, qn, least: int) -> tuple[int, int
     return found if found[0] > least else None
 
 
-def _vote_cell(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    if asked.empty or known.empty:
-        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "candidate", "tick_offset", "votes")})
-    return _count_votes(asked, known)
+def _pack_block(columns: Sequence[str]):
+    """One row for all prints of a block: the number of the block, then each column as bytes."""
 
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([columns[0], columns[1]])
+        packed = {}
+        for name in columns:
+            steps = np.diff(group[name].to_numpy().astype("<i8"), prepend=0)
+            packed[name] = [zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), 3)]
+        return pd.DataFrame({"block": [int(key[0])], **packed})
 
-def _dealt(prints: DataFrame, recording: str, blocks: int, own: str, across: str, copies: int) -> DataFrame:
-    """Prints in blocks of whole recordings, one copy for each block of the other side."""
-    block = F.pmod(F.xxhash64(recording), F.lit(blocks)).cast("int")
-    return prints.withColumns({own: block, across: F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
+    return run
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<i8").ravel())
+
+
+def _packed(prints: DataFrame, columns: Sequence[str], blocks: int) -> DataFrame:
+    """Prints in blocks of whole recordings (the first column), a file of one row each."""
+    block = F.pmod(F.xxhash64(columns[0]), F.lit(blocks)).cast("int").alias("block")
+    schema = "block int, " + ", ".join(f"{c} binary" for c in columns)
+    return cut_lineage(prints.groupBy(block).applyInPandas(_pack_block(columns), schema), maxRecordsPerFile="1")
+
+
+def _vote_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Best (candidate, offset) of each query among the cells of one task."""
+    best: dict[int, pd.DataFrame] = {}
+    for batch in batches:
+        for row in batch.to_dict("records"):
+            asked = pd.DataFrame({c: _unpack(row[f"asked_{c}"]) for c in ASKED})
+            known = pd.DataFrame({c: _unpack(row[f"known_{c}"]) for c in KNOWN})
+            best[row["asked_block"]] = _count_votes(asked, known, best.get(row["asked_block"]))
+    yield from best.values()
 
 
 def fingerprint_match(queries: DataFrame, library: DataFrame, block_prints: int = BLOCK_PRINTS) -> DataFrame:
     """Best (candidate, tick offset) of each query recording by matching prints; every match votes.
 
     Queries and library are cut by recording into blocks of about ``block_prints`` prints, and a task
-    counts the votes of one block of each, query by query, so the votes never leave it:
-    only blocks and one row per query and cell are shuffled. Time is still that of all matching pairs,
+    counts the votes of one block of each, query by query, so the votes never leave it. Blocks are
+    written once; tasks read the pairs they count from there, so disk grows with the prints and not with the
+    pairs of blocks, and a task hands on one row per query. Time is still that of all matching pairs,
     and the prints of one recording fit a task.
     """
-    mark = ["pitch", "interval", "gap"]
-    asked = cut_lineage(fingerprints(queries).select(
-        *mark, F.col("file_id").alias("query_id"), F.col("tick").alias("qt"), F.col("n").alias("qn")
+    # a print without a pitch or a tick matches none
+    asked = cut_lineage(fingerprints(queries).dropna(subset=MARK).select(
+        *MARK, F.col("file_id").alias("query_id"), F.col("tick").alias("qt"), F.col("n").alias("qn")
     ))
+    # written, so that Spark knows how few they are and leaves out other prints before it counts them
+    marks = cut_lineage(asked.select(*MARK).distinct())
     known = cut_lineage(
-        fingerprints(library).join(asked.select(*mark).distinct(), mark, "left_semi").select(
-            *mark, F.col("file_id").alias("candidate"), "tick", "n"
+        fingerprints(library).join(marks, MARK, "left_semi").select(
+            *MARK, F.col("file_id").alias("candidate"), "tick", "n"
         )
     )
-    # a block of queries holds twice as many prints: each copy of the library costs more than one of the queries
-    rows = max(1, -(-asked.count() // (2 * block_prints)))
-    columns = max(1, -(-known.count() // block_prints))
-    asked = _dealt(asked, "query_id", rows, "__row", "__column", columns)
-    known = _dealt(known, "candidate", columns, "__column", "__row", rows)
-    cells = asked.groupBy("__row", "__column").cogroup(known.groupBy("__row", "__column"))
+    # a block of queries holds twice as many prints: fewer times is the library read
+    asked = _packed(asked, ASKED, max(1, -(-asked.count() // (2 * block_prints))))
+    known = _packed(known, KNOWN, max(1, -(-known.count() // block_prints)))
+    cells = known.toDF(*(f"known_{c}" for c in known.columns)).crossJoin(asked.toDF(*(f"asked_{c}" for c in asked.columns)))
     schema = "query_id bigint, candidate bigint, tick_offset bigint, votes bigint"
-    found = cells.applyInPandas(_vote_cell, schema)
+    found = cells.mapInPandas(_vote_cells, schema)
     best = F.max_by(
         F.struct("candidate", "tick_offset", "votes"),
         F.struct("votes", -F.col("candidate"), -F.col("tick_offset")),

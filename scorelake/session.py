@@ -40,13 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_base(spark)}/{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the files.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the files; ``options`` are the writer's.
 
     Used between stages whose input is read more than once, so that a lost
     executor re-reads files instead of repeating the stages before. Files are
     Parquet, so each branch reads the columns it names.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from scorelake import dims
 from scorelake.functions import arrays as a
 from scorelake.functions.scalars import meter_parts
-from scorelake.functions.scans import ordinal
+from scorelake.functions.scans import near, ordinal
 from scorelake.operators import chords, chunks, examples, meta, noise, notes, retrieval, tokens, tracks, windows
 from scorelake.plans import corpus
+from scorelake.session import cut_lineage
 from scorelake.sources import catalog, sinks
 from tests.conftest import SF, rows
+from tests.test_scans import executed
 
 
 def test_program_filter_compat(tables):
@@ -493,3 +495,50 @@ def test_a_write_reads_nothing_back(spark, tmp_path, monkeypatch):
     for name, df in {"some": shuffled, "none": shuffled.where("id < 0"), "empty": spark.range(0)}.items():
         sinks.write_table(df, str(tmp_path / name), ["part"] if "part" in df.columns else [])
         assert [c.rows for c in sinks.commits(spark, str(tmp_path / name))] == [90 if name == "some" else 0]
+
+
+def _recordings(spark, seed, files=12, size=20):
+    draw = random.Random(seed)
+    rows_ = [(f, i, 60 + draw.randrange(3), 120 * draw.randrange(20)) for f in range(files) for i in range(size)]
+    rows_ += [(f + 100, i, p, s) for f, i, p, s in rows_ if f < 3]
+    return spark.createDataFrame(rows_, "file_id long, note_idx long, pitch int, start_tick long")
+
+
+def test_prints_are_not_copied_for_each_pair_of_blocks(spark):
+    """Blocks are written once, however many meet: only one row per query and task is shuffled after that."""
+    library = _recordings(spark, 5)
+    found = retrieval.fingerprint_match(library.where("file_id % 2 = 0"), library, 40)
+    assert executed(found)[2] == 1
+    # one more query and a print without a pitch change nothing for the others
+    odd = spark.createDataFrame([(500, 0, None, 0), (500, 1, 60, None), (None, 0, 60, 0)], library.schema)
+    again = retrieval.fingerprint_match(library.where("file_id % 2 = 0").union(odd), library.union(odd), 40)
+    assert rows(again) == rows(found)
+
+
+def test_cells_of_a_task_share_their_best(spark):
+    """Cells counted one after the other, in any order, find the best of all; equal votes go to the smallest id."""
+    library = _recordings(spark, 7, 30)
+    known = retrieval.fingerprints(library).withColumnRenamed("file_id", "candidate").toPandas()
+    asked = retrieval.fingerprints(library.where("file_id % 3 = 0")).withColumnsRenamed(
+        {"file_id": "query_id", "tick": "qt", "n": "qn"}
+    ).toPandas()
+    want = retrieval._count_votes(asked, known)
+    parts = [known[known["candidate"] % 4 == k] for k in range(4)]
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1]):
+        best = None
+        for k in order:
+            best = retrieval._count_votes(asked, parts[k], best)
+        assert best.equals(want)
+
+
+def test_next_note_comes_with_the_order(spark):
+    """The same rows as a look at the neighbour afterwards; notes are shuffled once."""
+    draw = random.Random(2)
+    notes_ = [(draw.randrange(4), i, 50 + draw.randrange(9), 960 * draw.randrange(400)) for i in range(600)]
+    df = cut_lineage(spark.createDataFrame(notes_, "file_id long, note_idx long, pitch int, start_tick long"))
+    got = tokens.order_notes(df, following={"p2": "pitch", "t2": "start_tick"})
+    want = near(tokens.order_notes(df), ["file_id"], "note_ord", {"p2": ("pitch", 1), "t2": ("start_tick", 1)})
+    columns = [*df.columns, "note_ord", "p2", "t2"]
+    assert rows(got, *columns) == rows(want, *columns)
+    _, moved, shuffles = executed(retrieval.fingerprints(df))
+    assert moved == 1 and shuffles <= 4
