@@ -377,7 +377,8 @@ AUGMENT_SQL = f"""
     f"WITH {AUGMENT_SQL} SELECT variant AS file_id, source_id, stem, n, pitches, starts, ends FROM aug",
 )
 def augment_catalog(t):
-    t = t.written("lines", "tempo")
+    # a file's notes lie together (a long file's in several ranges), so a variant is summed up in few tasks
+    t = t.written("lines", by=["file_id", "note_idx"]).written("tempo")
     note_rows = t.notes_dense.withColumn("pitch", F.expr("pitch + cast(file_id % 40 as int)"))
     files = t.notes_dense.select("file_id").distinct().selectExpr(
         "file_id", "concat('f', file_id) as stem", "file_id % 24 as key_number"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,15 +63,16 @@ class Tables:
             return self.read(name)
         raise AttributeError(name)
 
-    def written(self, *views: str) -> Tables:
+    def written(self, *views: str, by: Sequence[str] = ()) -> Tables:
         """The same tables with some numbered views as files, for jobs that read them in many branches.
 
         Else every branch numbers all rows again. Views that were built from them before stay as they are.
+        ``by`` lays rows in ranges of these columns, for jobs that multiply the rows of a file and add them up again.
         """
         for name in views:
-            rows = getattr(self, name)
             # no view reads the price but to number lines
-            setattr(self, name, cut_lineage(rows.drop("l_extendedprice")))
+            rows = getattr(self, name).drop("l_extendedprice")
+            setattr(self, name, cut_lineage(rows.repartitionByRange(*by) if by else rows))
         return self
 
     @cached_property

@@ -98,3 +98,13 @@ def test_variants_are_not_broadcast_for_the_few_files_they_come_from(spark):
         assert "HashedRelationBroadcastMode" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_written_views_lie_in_ranges_where_asked(spark, tables):
+    """The same rows, each file of the view with a range of its own."""
+    laid = Tables(spark, SF).written("lines", by=["file_id", "note_idx"])
+    assert rows(laid.notes_dense) == rows(tables.notes_dense)
+    at = F.struct("file_id", "note_idx")
+    ends = laid.lines.groupBy(F.input_file_name()).agg(F.min(at), F.max(at)).drop("input_file_name()").collect()
+    ends = sorted((tuple(low), tuple(high)) for low, high in ends)
+    assert all(high < low for (_, high), (low, _) in zip(ends, ends[1:]))

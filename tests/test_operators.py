@@ -513,6 +513,7 @@ def test_prints_are_not_copied_for_each_pair_of_blocks(spark):
     odd = spark.createDataFrame([(500, 0, None, 0), (500, 1, 60, None), (None, 0, 60, 0)], library.schema)
     again = retrieval.fingerprint_match(library.where("file_id % 2 = 0").union(odd), library.union(odd), 40)
     assert rows(again) == rows(found)
+    assert retrieval.fingerprint_match(library, library.where("file_id < 0"), 40).count() == 0
 
 
 def test_cells_of_a_task_share_their_best(spark):
